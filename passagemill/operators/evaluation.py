@@ -71,7 +71,7 @@ def eval_metrics(rows: DataFrame, top_k: int = V.TOP_K) -> DataFrame:
         share(F.sum("precision")).alias("avg_precision_at_k"),
         *[share(F.sum(f"hits_{k}")).alias(f"hit_at_{k}") for k in (1, 3, 5)],
         F.round(F.sum(F.col("top1_score") * F.col("n")) / F.sum(scored), 6).alias("top1_score_mean"),
-        F.round(F.percentile("top1_score", F.lit(0.5), F.col("n")), 6).alias("top1_score_median"),
+        F.round(F.percentile("top1_score", F.lit(0.5), F.col("n")), 8).alias("top1_score_median"),
     )
 
 
@@ -105,8 +105,8 @@ def score_histogram(rows: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     every = rows.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return every.join(counts, "bin", "left").select(
         "bin",
-        F.round(lo + (hi - lo) * F.col("bin") / bins, 6).alias("lower"),
-        F.round(lo + (hi - lo) * (F.col("bin") + 1) / bins, 6).alias("upper"),
+        F.round(lo + (hi - lo) * F.col("bin") / bins, 8).alias("lower"),
+        F.round(lo + (hi - lo) * (F.col("bin") + 1) / bins, 8).alias("upper"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 

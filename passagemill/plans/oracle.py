@@ -613,7 +613,8 @@ oracle("citation_map", """
 SELECT query_id, n, chunk_id FROM (SELECT query_id, unnest(used_sources) AS n FROM top_answers)
 JOIN (SELECT query_id, rank AS n, chunk_id FROM top) USING (query_id, n)""", "top_answers", "top")
 oracle("source_table", f"""
-SELECT t.query_id, t.rank, list_contains(a.used_sources, t.rank) AS used, round(t.score, 4) AS score, t.title,
+SELECT t.query_id, t.rank, list_contains(a.used_sources, t.rank) AS used,
+       round(CAST(t.score AS DECIMAL(18, 6)), 4)::DOUBLE AS score, t.title,
        t.source_type, t.date, t.url, t.doc_id,
        CASE WHEN length(t.text) > 180 THEN substr(t.text, 1, 180) || '{V.ELLIPSIS}' ELSE t.text END AS snippet
 FROM top t JOIN top_answers a USING (query_id) WHERE list_contains(a.used_sources, t.rank)""", "top", "top_answers")
@@ -667,7 +668,7 @@ def metrics_sql(table: str, extra: str) -> str:
     return f"""
     SELECT count(*) AS n, {V.TOP_K} AS top_k, round(count(*) FILTER (hit) / count(*), 6) AS recall_at_k,
            round(sum(CASE WHEN hit THEN 1.0::DOUBLE / hit_rank ELSE 0 END) / count(*), 6) AS mrr_at_k, {hits},
-           round(avg(top1_score), 6) AS top1_score_mean, round(median(top1_score), 6) AS top1_score_median{extra}
+           round(avg(top1_score), 6) AS top1_score_mean, round(median(top1_score), 8) AS top1_score_median{extra}
     FROM {table}"""
 
 
@@ -679,7 +680,7 @@ oracle("eval_metrics_uncut", metrics_sql("rows_all", ""), "rows_all")
 oracle("eval_hit_ratio", "SELECT hit, count(*) AS n FROM rows_cut GROUP BY hit", "rows_cut")
 oracle("eval_rank_hist", "SELECT hit_rank, count(*) AS n FROM rows_all WHERE hit GROUP BY hit_rank", "rows_all")
 oracle("eval_score_hist", """
-SELECT bin, round(lo + (hi - lo) * bin / 10, 6) AS lower, round(lo + (hi - lo) * (bin + 1) / 10, 6) AS upper,
+SELECT bin, round(lo + (hi - lo) * bin / 10, 8) AS lower, round(lo + (hi - lo) * (bin + 1) / 10, 8) AS upper,
        (SELECT count(*) FROM rows_cut
         WHERE top1_score IS NOT NULL AND least(floor((top1_score - lo) / (hi - lo) * 10), 9) = bin) AS n
 FROM (SELECT unnest(range(10)) AS bin, lo, hi
