@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill import values as V
-from passagemill.functions.text import count_of, flatten, split_lines, strip
+from passagemill.functions.text import count_of, flatten, runs, strip, text_lines
 
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAG = r"<[/a-zA-Z!?][^<>]*>"
@@ -67,7 +67,7 @@ def shown_html(html: Column) -> Column:
 def text_nodes(html: Column) -> Column:
     """Non-blank text nodes, stripped, one per line; entities are decoded in one pass."""
     decoded = decode_entities(F.regexp_replace(html, TAG, NODE_BREAK))
-    nodes = F.transform(F.split(decoded, NODE_BREAK), lambda n: strip(n))
+    nodes = F.transform(runs(decoded, r"^\x01"), lambda n: strip(n))
     return F.array_join(F.filter(nodes, lambda n: n != ""), "\n")
 
 
@@ -113,7 +113,7 @@ def with_page_text(pages: DataFrame, html: str = "html", out: str = "text") -> D
 
 def clean_lines(c: Column) -> Column:
     """Drop tiny and table-like lines, then normalise spaces."""
-    lines = F.transform(split_lines(F.coalesce(c, F.lit(""))), lambda s: strip(s))
+    lines = F.transform(text_lines(F.coalesce(c, F.lit(""))), lambda s: strip(s))
     kept = F.filter(
         lines,
         lambda s: (F.length(s) >= V.LINE_MIN_CHARS)

@@ -78,7 +78,7 @@ def chunk_documents(
         F.col("date").cast("string").alias("date"),
         extra.alias("_extra"),
         given.alias("_given"),
-    ).where(F.col("_text") != "")
+    )
     derived = ids.doc_id(F.col("source_type"), F.col("url"), F.col("title"), F.col("_text"))
     named = text.withColumn(
         "_doc", F.when(strip(F.col("_given")) != "", F.col("_given")).otherwise(derived)
@@ -90,9 +90,11 @@ def chunk_documents(
     merged = F.map_concat(
         F.map_filter(defaults, lambda k, v: ~F.map_contains_key("_extra", k)), F.col("_extra")
     )
+    # Blank texts have no window.  They leave after the outer explode: a filter before
+    # it, or the one Spark infers for an inner explode, would cut every text twice.
     exploded = named.withColumn("extra", merged).select(
-        "*", F.posexplode(windows(F.col("_text"), size, overlap)).alias("part", "text")
-    )
+        "*", F.posexplode_outer(windows(F.col("_text"), size, overlap)).alias("part", "text")
+    ).where(F.col("part").isNotNull())
     return exploded.withColumn(
         "chunk_id", ids.chunk_id(F.col("source_type"), F.col("_doc"), F.col("part"))
     ).select(*CHUNK_COLUMNS, "part", *keep)

@@ -14,7 +14,9 @@ from passagemill.functions import predicates as P
 from passagemill.functions import text as X
 from passagemill.functions.vectors import l2_norm, normalize
 from passagemill.operators import answers as A
-from passagemill.operators import dedup, evaluation, feedback, filters, rerank, search, stats
+from passagemill.operators import dedup, evaluation, feedback, filters, search, stats
+from passagemill.operators import rerank as second_stage
+from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.encoding import hash_encoder
 from passagemill.plans import fixtures as D
 from passagemill.plans import ingest as I
@@ -168,10 +170,7 @@ def page_main_text(spark, sf):
 
 @query
 def clean_lines(spark, sf):
-    return _documents(spark, sf).select("doc_id", X_clean(F.col("text")).alias("text"))
-
-
-X_clean = H.clean_lines
+    return _documents(spark, sf).select("doc_id", H.clean_lines(F.col("text")).alias("text"))
 
 
 # --- Filters ----------------------------------------------------------------
@@ -346,14 +345,11 @@ def lexical_search(spark, sf):
 
 
 @query
-def rerank_results(spark, sf):
-    ranked = rerank.rerank(_search(spark, sf))
+def rerank(spark, sf):
+    ranked = second_stage.rerank(_search(spark, sf))
     return ranked.select("query_id", "rank", "chunk_id", "score")
 
 
-QUERIES["rerank"] = QUERIES.pop("rerank_results")
-
-
 @query
 def retrieval_debug(spark, sf):
     k = V.internal_k()
@@ -381,7 +377,7 @@ def answer_bullets(spark, sf):
 def answer_extractive(spark, sf):
     """Search, lenient type filter, second-stage scoring, answer: one row per question."""
     found = filters.filter_fallback(_search(spark, sf), {"web", "local"})
-    best = rerank.rerank(found)
+    best = second_stage.rerank(found)
     made = A.extractive_answers(best, D.queries(spark, sf))
     return made.select(
         "query_id", "markdown", _numbers(F.col("used_sources")).alias("used_sources"),
@@ -426,17 +422,17 @@ def source_table(spark, sf):
 # --- Ingest -----------------------------------------------------------------
 
 def _page_documents(spark, sf) -> DataFrame:
-    return I.page_documents(
+    """Extracted pages, written once for the corpus of before, the chunks and the log."""
+    documents = I.page_documents(
         D.table(spark, sf, "pages"), D.GOOD_MARKERS, D.BAD_MARKERS, as_of=F.lit(D.PAGE_DAY)
     )
+    return materialize(documents, "pages")
 
 
 def _page_chunks(documents: DataFrame) -> DataFrame:
     """New chunks where the English pages had been ingested before."""
-    from passagemill.operators.chunking import chunk_documents
-
-    before = documents.where((F.col("status") == "ok") & F.col("url").contains("/en/"))
-    return I.page_chunks(documents, chunk_documents(before))
+    before = chunk_documents(documents.where(F.col("url").contains("/en/")))
+    return I.page_chunks(documents, before)
 
 
 @query
@@ -450,13 +446,13 @@ def ingest_pages(spark, sf):
 
 @query
 def ingest_pages_log(spark, sf):
-    documents = materialize(_page_documents(spark, sf), "pages")
+    documents = _page_documents(spark, sf)
     return I.page_log(documents, _page_chunks(documents))
 
 
 @query
 def ingest_pages_report(spark, sf):
-    documents = materialize(_page_documents(spark, sf), "pages")
+    documents = _page_documents(spark, sf)
     return I.page_report(I.page_log(documents, _page_chunks(documents)))
 
 
@@ -493,7 +489,7 @@ def sync_corpus(spark, sf):
 
 @query
 def sync_summary(spark, sf):
-    documents = materialize(_page_documents(spark, sf), "pages")
+    documents = _page_documents(spark, sf)
     report = I.page_report(I.page_log(documents, _page_chunks(documents)))
     new, classified = _ingest_messages(spark, sf)
     return I.sync_summary(report, I.message_report(classified, new), index_ok=True)

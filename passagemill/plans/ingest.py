@@ -17,7 +17,7 @@ from passagemill.functions.predicates import is_fresh, is_relevant
 from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.dedup import only_new, truthy
 from passagemill.operators.ranking import top_per_group
-from passagemill.session import spread
+from passagemill.session import materialize, spread
 from passagemill.sources.schema import CHUNK_COLUMNS
 
 
@@ -28,7 +28,11 @@ def page_documents(
     origin: str = "pages",
 ) -> DataFrame:
     """Pages ``(page_id, url, html)`` as documents with a ``status``:
-    ``skipped`` (blank URL or not relevant), ``error`` (no content) or ``ok``."""
+    ``skipped`` (blank URL or not relevant), ``error`` (no content) or ``ok``.
+
+    Only ``ok`` documents keep their text.  No filter is put on the status here:
+    it would be pushed below the extraction and run all patterns a second time.
+    """
     day = (F.current_date() if as_of is None else as_of).cast("date").cast("string")
     url = X.strip(F.coalesce("url", F.lit("")))
     read = H.with_page_text(spread(pages).select("page_id", url.alias("url"), "html"))
@@ -40,18 +44,18 @@ def page_documents(
         .when(is_relevant(F.col("raw_text"), good, bad), F.lit("ok"))
         .otherwise(F.lit("skipped"))
     )
-    return read.select(
+    return read.withColumn("status", status).select(
         "page_id",
         F.lit(source_type).alias("source_type"),
         "url",
         H.page_title(F.col("html"), F.col("url")).alias("title"),
-        "raw_text",
+        F.when(F.col("status") == "ok", F.col("raw_text")).alias("raw_text"),
         day.alias("date"),
         F.create_map(
             F.lit("origin"), F.lit(origin), F.lit("doc_id"), doc, F.lit("seed_url"), F.col("url")
         ).alias("extra"),
         doc.alias("doc_id"),
-        status.alias("status"),
+        "status",
     )
 
 
@@ -65,9 +69,7 @@ def page_chunks(
     further parts.  ``refresh=True`` returns all chunks of the batch instead,
     for a caller that replaces the pages it re-reads.
     """
-    chunks = chunk_documents(
-        documents.where(F.col("status") == "ok"), size, overlap, keep=("page_id",)
-    )
+    chunks = chunk_documents(documents, size, overlap, keep=("page_id",))
     none = existing.limit(0) if refresh else existing
     return only_new(chunks, none, "chunk_id", [F.asc("page_id"), F.asc("part")])
 
@@ -95,8 +97,12 @@ def page_report(log: DataFrame, source: str = "web") -> DataFrame:
 def ingest_pages(
     pages: DataFrame, existing: DataFrame, good, bad=(), **options
 ) -> tuple[DataFrame, DataFrame]:
-    """``(new chunks, page log)``."""
-    documents = page_documents(pages, good, bad, **options)
+    """``(new chunks, page log)``.
+
+    The extracted documents are written once, so that the pages are read and
+    taken apart once for both results.
+    """
+    documents = materialize(page_documents(pages, good, bad, **options), "pages")
     chunks = page_chunks(documents, existing)
     return chunks, page_log(documents, chunks)
 
