@@ -66,7 +66,9 @@ class Best:
 
     def prune(self) -> pd.DataFrame:
         if not self.parts:
-            return pd.DataFrame({"query": np.empty(0, int), "score": np.empty(0), "chunk_id": []})
+            return pd.DataFrame({
+                "query": np.empty(0, int), "score": np.empty(0), "chunk_id": np.empty(0, object)
+            })
         best = pd.concat(self.parts, ignore_index=True).sort_values(
             ["query", "score", "chunk_id"], ascending=[True, False, True], ignore_index=True
         )
@@ -163,8 +165,8 @@ def _emit(questions, best: Best, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(kept["query"].to_numpy(), pa.int64())),
-            pa.array(kept["chunk_id"], pa.string()),
-            pa.array(kept["score"], pa.float64()),
+            pa.array(kept["chunk_id"].to_numpy(dtype=object), pa.string()),
+            pa.array(kept["score"].to_numpy(dtype=float), pa.float64()),
         ],
         schema=schema,
     )

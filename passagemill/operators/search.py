@@ -20,15 +20,13 @@ def candidates(
     queries: DataFrame, index: DataFrame, k: int, method: str = "vector"
 ) -> DataFrame:
     """The k best chunks of each question with their columns: ``query_id, query,
-    first_rank, score, chunk...``; no filter applied."""
+    keywords, first_rank, score, chunk...``; no filter applied."""
     pairs, n_queries = best_pairs(queries, index, k, method)
     pairs = pairs.withColumnRenamed("rank", "first_rank")
     if n_queries * k <= MAX_BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-    return (
-        index.select(*CHUNK_COLUMNS).join(pairs, "chunk_id")
-        .join(queries.select("query_id", "query"), "query_id")
-    )
+    asked = queries.select("query_id", "query", keywords(F.col("query")).alias("keywords"))
+    return index.select(*CHUNK_COLUMNS).join(pairs, "chunk_id").join(asked, "query_id")
 
 
 def search(
@@ -47,12 +45,14 @@ def search(
     """
     k = V.internal_k(top_k) if internal_k is None else internal_k
     found = candidates(queries, index, k, method)
-    passed = found.where((F.col("score") >= min_score) & ~is_noise(F.col("text")))
+    text = F.col("text")
+    useful = ~is_noise(text)
     if keyword_filter:
-        passed = passed.withColumn("_kws", keywords(F.col("query"))).where(
-            matches_keywords(F.col("text"), F.col("title"), F.col("url"), F.col("_kws"))
-        ).drop("_kws")
-    return with_rank(passed, ["query_id"], [F.asc("first_rank")]).drop("first_rank")
+        useful = useful & matches_keywords(text, F.col("title"), F.col("url"), F.col("keywords"))
+    # One condition that starts from the score: Spark would move a test of the text
+    # alone below the join and run it on every chunk of the corpus.
+    passed = found.where(F.when(F.col("score") >= min_score, useful).otherwise(False))
+    return with_rank(passed, ["query_id"], [F.asc("first_rank")]).drop("first_rank", "keywords")
 
 
 def cut(results: DataFrame, n: int) -> DataFrame:

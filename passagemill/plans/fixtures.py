@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.encoding import term_encoder
-from passagemill.session import spread
+from passagemill.session import materialize, spread
 
 TYPE_BY_LANG = {"en": "web", "de": "msg", "fr": "portal", "es": "local"}
 GOOD_MARKERS = (" the ", " que ")
@@ -150,9 +150,11 @@ def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    return means.join(text, "query_id", "left").select(
+    asked = means.join(text, "query_id", "left").select(
         "query_id", "query", normalize(vector_to_array("mean")).alias("embedding")
     )
+    # One row per label: written, so that the vectors are averaged once.
+    return materialize(asked, "questions")
 
 
 def completed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """The corpus, or an empty one where nothing was written yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], S.CHUNK)
-    return spark.read.schema(S.CHUNK).parquet(path)
+    return spark.read.schema(S.CHUNK).parquet(path).select(*S.CHUNK_COLUMNS)
 
 
 def append_corpus(chunks: DataFrame, path: str) -> None:

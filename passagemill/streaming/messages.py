@@ -12,12 +12,10 @@ from passagemill import values as V
 from passagemill.functions import ids
 from passagemill.functions import text as X
 from passagemill.functions.predicates import is_fresh
-from passagemill.operators.dedup import absent
+from passagemill.operators.dedup import only_new
 from passagemill.plans.ingest import message_chunks, message_text
 from passagemill.sources.corpus import append_corpus, read_corpus
 
-WATERMARK = "1 day"
-
 
 def message_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64
@@ -28,13 +26,14 @@ def message_stream(
 
 
 def fresh_messages(
-    stream: DataFrame, as_of: datetime, since_days: int | None = V.SINCE_DAYS,
-    watermark: str = WATERMARK,
+    stream: DataFrame, as_of: datetime, since_days: int | None = V.SINCE_DAYS
 ) -> DataFrame:
-    """Messages of the allowed age with text, one per key within the watermark.
+    """Messages of the allowed age with text, each key once.
 
-    The age test is an explicit filter: a watermark only bounds the state and
-    may let older rows pass.
+    The watermark lags by the allowed age and never passes ``as_of``, so it only
+    retires state of rows that the age test rejects anyway: no message is lost
+    for arriving late.  Without an age limit no state could ever be retired, and
+    the joins of the landing step do the work alone.
     """
     keyed = (
         stream.where(F.col("is_message") & is_fresh(F.col("ts"), F.lit(as_of), since_days))
@@ -43,7 +42,15 @@ def fresh_messages(
         .withColumn("text", message_text(F.col("text"), F.col("has_media")))
         .where(F.col("text") != "")
     )
-    return keyed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["message_key"])
+    if since_days is None or since_days <= 0:
+        return keyed
+    now = F.lit(as_of).cast("timestamp")
+    return (
+        keyed.withColumn("_seen_at", F.least(F.coalesce("ts", now), now))
+        .withWatermark("_seen_at", f"{since_days} days")
+        .dropDuplicatesWithinWatermark(["message_key"])
+        .drop("_seen_at")
+    )
 
 
 def run_message_ingest(
@@ -60,7 +67,8 @@ def run_message_ingest(
     def land(batch: DataFrame, batch_id: int) -> None:
         existing = read_corpus(spark, corpus_path)
         known = existing.select(F.col("extra")["message_key"].alias("message_key"))
-        new = absent(batch, known, "message_key").withColumn("status", F.lit("kept"))
+        new = only_new(batch, known, "message_key", [F.desc_nulls_last("ts"), F.asc("text")])
+        new = new.withColumn("status", F.lit("kept"))
         append_corpus(message_chunks(new, existing), corpus_path)
 
     query = (
