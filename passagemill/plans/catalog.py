@@ -459,7 +459,7 @@ def ingest_pages_report(spark, sf):
 def _ingest_messages(spark, sf):
     return I.ingest_messages(
         D.messages(spark, sf), D.known_messages(spark, sf),
-        F.lit(D.AS_OF).cast("timestamp_ntz"), D.CHANNEL_CAP, D.SINCE_DAYS,
+        D.as_of(), D.CHANNEL_CAP, D.SINCE_DAYS,
     )
 
 
@@ -503,7 +503,7 @@ def stream_messages(spark, sf):
     D.messages(spark, sf).select(*columns).write.parquet(arrivals)
     corpus.append_corpus(D.known_messages(spark, sf), table)
     source = stream.message_stream(spark, arrivals, D.MESSAGE_SCHEMA)
-    stream.run_message_ingest(source, table, scratch_path(spark, "progress"), D.AS_OF, D.SINCE_DAYS)
+    stream.run_message_ingest(source, table, scratch_path(spark, "progress"), D.as_of(), D.SINCE_DAYS)
     return corpus.read_corpus(spark, table).select(
         "chunk_id", F.col("extra")["message_key"].alias("message_key"), F.sha1("text").alias("text_hash")
     )

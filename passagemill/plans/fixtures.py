@@ -18,7 +18,7 @@ from passagemill.session import materialize, spread
 TYPE_BY_LANG = {"en": "web", "de": "msg", "fr": "portal", "es": "local"}
 GOOD_MARKERS = (" the ", " que ")
 BAD_MARKERS = (" und ",)
-AS_OF = dt.datetime(2024, 1, 3)
+AS_OF = "2024-01-03 00:00:00"
 SINCE_DAYS = 1
 CHANNEL_CAP = 50
 LEXICAL_MIN_SCORE = 0.2
@@ -26,6 +26,11 @@ VECTOR_MIN_SCORE = 0.2
 PAGE_DAY = dt.date(2024, 1, 3)
 
 
+def as_of():
+    """The moment of the run, free of any session time zone."""
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -189,8 +194,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
     return lab.join(title, "doc_id", "left").select(
         "doc_id",
-        F.date_format(F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + minutes, "yyyy-MM-dd HH:mm:ss")
-        .alias("ts"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + minutes).cast("string").alias("ts"),
         "query",
         F.when(good, 1).otherwise(-1).alias("rating"),
         F.when(F.col("toxic") == 1, "bad_answer").when(F.col("quality") == 0, "bad_retrieval")

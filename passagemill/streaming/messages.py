@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +24,7 @@ def message_stream(
 
 
 def fresh_messages(
-    stream: DataFrame, as_of: datetime, since_days: int | None = V.SINCE_DAYS
+    stream: DataFrame, as_of: Column, since_days: int | None = V.SINCE_DAYS
 ) -> DataFrame:
     """Messages of the allowed age with text, each key once.
 
@@ -36,7 +34,7 @@ def fresh_messages(
     the joins of the landing step do the work alone.
     """
     keyed = (
-        stream.where(F.col("is_message") & is_fresh(F.col("ts"), F.lit(as_of), since_days))
+        stream.where(F.col("is_message") & is_fresh(F.col("ts"), as_of.cast("timestamp"), since_days))
         .withColumn("channel", X.channel_handle(F.col("channel")))
         .withColumn("message_key", ids.message_key(F.col("channel"), F.col("msg_id")))
         .withColumn("text", message_text(F.col("text"), F.col("has_media")))
@@ -44,7 +42,7 @@ def fresh_messages(
     )
     if since_days is None or since_days <= 0:
         return keyed
-    now = F.lit(as_of).cast("timestamp")
+    now = as_of.cast("timestamp")
     return (
         keyed.withColumn("_seen_at", F.least(F.coalesce("ts", now), now))
         .withWatermark("_seen_at", f"{since_days} days")
@@ -54,7 +52,7 @@ def fresh_messages(
 
 
 def run_message_ingest(
-    stream: DataFrame, corpus_path: str, checkpoint_path: str, as_of: datetime,
+    stream: DataFrame, corpus_path: str, checkpoint_path: str, as_of: Column,
     since_days: int | None = V.SINCE_DAYS,
 ) -> None:
     """Drain what has arrived into the corpus table.

@@ -263,7 +263,7 @@ MESSAGES = "channel string, msg_id bigint, ts timestamp_ntz, text string, has_me
 def classify(spark, rows, known=(), **options):
     df = spark.createDataFrame(rows, MESSAGES)
     keys = spark.createDataFrame([(k,) for k in known], "message_key string")
-    as_of = F.lit(dt.datetime(2024, 1, 3)).cast("timestamp_ntz")
+    as_of = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
     return I.classify_messages(df, keys, as_of, **options)
 
 
@@ -292,7 +292,7 @@ def test_message_cap_comes_first(spark):
 def test_message_ingest_and_sync(spark):
     rows = [message(i, text=f"text {i} " * 100) for i in range(4)]
     df = spark.createDataFrame(rows, MESSAGES)
-    as_of = F.lit(dt.datetime(2024, 1, 3)).cast("timestamp_ntz")
+    as_of = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
     empty = spark.createDataFrame([], S.CHUNK)
     chunks, classified = I.ingest_messages(df, empty, as_of)
     path = scratch_path(spark, "messages")
@@ -329,7 +329,7 @@ def test_doc_labels(spark):
 
 def test_stream_is_exact_over_restarts(spark):
     arrivals, table, progress = (scratch_path(spark, n) for n in ("arrivals", "table", "progress"))
-    as_of = dt.datetime(2024, 1, 3)
+    as_of = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
 
     def arrive(rows):
         spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(arrivals)
