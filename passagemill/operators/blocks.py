@@ -27,6 +27,7 @@ from passagemill.operators.ranking import top_per_group
 MAX_SHIPPED_ROWS = 50_000
 MAX_SHIPPED_VALUES = 8_000_000
 MAX_CELLS = 4_000_000
+SCORING_WAVES = 8
 # Block sizes of the shuffled form.
 QUERY_BLOCK_VALUES = 2_000_000
 CHUNK_BLOCK_ROWS = 50_000
@@ -224,7 +225,10 @@ def _shipped(kind, asked, chunks, k, spark_schema, out) -> DataFrame:
                 questions.score(batch, best)
         yield _emit(questions, best, out)
 
-    return chunks.mapInArrow(run, spark_schema)
+    # Every task emits up to k rows per question, so a corpus of very many splits is
+    # read by a few waves of larger tasks; fewer splits stay as they are.
+    tasks = SCORING_WAVES * chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.coalesce(tasks).mapInArrow(run, spark_schema)
 
 
 def _blocked(kind, asked, chunks, k, spark_schema, out, values: int) -> DataFrame:

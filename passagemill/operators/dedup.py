@@ -36,5 +36,11 @@ def known_values(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return value.where(truthy(key)).distinct()
 
 
+def known_entries(chunks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Distinct ``(key, value)`` of several keys of ``extra`` in one pass."""
+    entries = chunks.select(F.explode("extra").alias("key", "value"))
+    return entries.where(F.col("key").isin(list(keys)) & truthy("value")).distinct()
+
+
 def known_chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.where(truthy("chunk_id")).select("chunk_id").distinct()

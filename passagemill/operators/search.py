@@ -17,7 +17,8 @@ MAX_BROADCAST_PAIRS = 500_000
 
 
 def candidates(
-    queries: DataFrame, index: DataFrame, k: int, method: str = "vector"
+    queries: DataFrame, index: DataFrame, k: int, method: str = "vector",
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
     """The k best chunks of each question with their columns: ``query_id, query,
     keywords, first_rank, score, chunk...``; no filter applied."""
@@ -26,7 +27,8 @@ def candidates(
     if n_queries * k <= MAX_BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
     asked = queries.select("query_id", "query", keywords(F.col("query")).alias("keywords"))
-    return index.select(*CHUNK_COLUMNS).join(pairs, "chunk_id").join(asked, "query_id")
+    described = index if chunks is None else chunks
+    return described.select(*CHUNK_COLUMNS).join(pairs, "chunk_id").join(asked, "query_id")
 
 
 def search(
@@ -37,14 +39,16 @@ def search(
     keyword_filter: bool = True,
     internal_k: int | None = None,
     method: str = "vector",
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
     """Every candidate that passes the filters, ranked again per question.
 
     The filters run after the cut to ``internal_k``, so fewer rows than
-    ``top_k`` may remain; the caller cuts to ``top_k``.
+    ``top_k`` may remain; the caller cuts to ``top_k``.  Where the index holds
+    only ids and encodings, ``chunks`` gives the chunk columns.
     """
     k = V.internal_k(top_k) if internal_k is None else internal_k
-    found = candidates(queries, index, k, method)
+    found = candidates(queries, index, k, method, chunks)
     text = F.col("text")
     useful = ~is_noise(text)
     if keyword_filter:

@@ -18,6 +18,7 @@ from passagemill.operators import dedup, evaluation, feedback, filters, search,
 from passagemill.operators import rerank as second_stage
 from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.encoding import hash_encoder
+from passagemill.plans import ask
 from passagemill.plans import fixtures as D
 from passagemill.plans import ingest as I
 from passagemill.session import materialize, scratch_path, spread
@@ -244,12 +245,7 @@ def dedup_messages(spark, sf):
 
 @query
 def known_keys(spark, sf):
-    c = D.labelled_chunks(spark, sf)
-    out = None
-    for key in ("doc_id", "file_name", "saved_as"):
-        part = dedup.known_values(c, key).select(F.lit(key).alias("key"), F.col(key).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return dedup.known_entries(D.labelled_chunks(spark, sf), ("doc_id", "file_name", "saved_as"))
 
 
 @query
@@ -323,7 +319,8 @@ def vector_normalize(spark, sf):
 @query
 def vector_search(spark, sf):
     found = search.search(
-        D.vec_queries(spark, sf), D.vec_index(spark, sf), min_score=D.VECTOR_MIN_SCORE
+        D.vec_queries(spark, sf), D.vec_index(spark, sf), min_score=D.VECTOR_MIN_SCORE,
+        chunks=D.vec_chunks(spark, sf),
     )
     return found.select("query_id", "rank", "chunk_id", "score", "title")
 
@@ -376,9 +373,12 @@ def answer_bullets(spark, sf):
 @query
 def answer_extractive(spark, sf):
     """Search, lenient type filter, second-stage scoring, answer: one row per question."""
-    found = filters.filter_fallback(_search(spark, sf), {"web", "local"})
-    best = second_stage.rerank(found)
-    made = A.extractive_answers(best, D.queries(spark, sf))
+    queries = D.queries(spark, sf)
+    best = ask.retrieve(
+        queries, D.lexical_index(spark, sf), min_score=D.LEXICAL_MIN_SCORE,
+        types={"web", "local"}, scorer=second_stage.keyword_share, method="lexical",
+    )
+    made = A.extractive_answers(best, queries)
     return made.select(
         "query_id", "markdown", _numbers(F.col("used_sources")).alias("used_sources"),
         F.array_join("warnings", ",").alias("warnings"),
@@ -554,7 +554,7 @@ def feedback_payload(spark, sf):
     """A record per rated question; ratings belong to the question of the same number."""
     results = materialize(_search(spark, sf), "found")
     made = A.extractive_answers(search.cut(results, V.TOP_K), D.queries(spark, sf))
-    rated = D.labelled(spark, sf).drop("query").withColumnRenamed("doc_id", "query_id")
+    rated = D.labelled(spark, sf, with_query=False).withColumnRenamed("doc_id", "query_id")
     records = feedback.feedback_records(
         rated, made, results, {"min_score": D.LEXICAL_MIN_SCORE, "keyword_filter": True}
     )

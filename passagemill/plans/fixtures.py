@@ -132,12 +132,17 @@ def known_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors beside the document of the same number."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    d = docs(spark, sf_dir).withColumnRenamed("row_id", "vec_id")
-    return e.join(d, "vec_id", "left").select(
-        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("chunk_id"),
-        F.col("raw_text").alias("text"), "title", "source_type", "url", "date", "extra", "embedding",
+    """All vectors; a vector belongs to the document of the same number."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding"
+    )
+
+
+def vec_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents under the ids of their vectors."""
+    return docs(spark, sf_dir).select(
+        F.concat(F.lit("vec_"), F.col("row_id").cast("string")).alias("chunk_id"),
+        F.col("raw_text").alias("text"), "title", "source_type", "url", "date", "extra",
     )
 
 
@@ -186,16 +191,20 @@ def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, with_query: bool = True) -> DataFrame:
     """Labels with a minute stamp, the rating and verdict they imply, and a question."""
     lab = table(spark, sf_dir, "labels")
-    title = docs(spark, sf_dir).select(F.col("row_id").alias("doc_id"), F.col("title").alias("query"))
+    if with_query:
+        title = docs(spark, sf_dir).select(
+            F.col("row_id").alias("doc_id"), F.col("title").alias("query")
+        )
+        lab = lab.join(title, "doc_id", "left")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
-    return lab.join(title, "doc_id", "left").select(
+    return lab.select(
         "doc_id",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + minutes).cast("string").alias("ts"),
-        "query",
+        *(["query"] if with_query else []),
         F.when(good, 1).otherwise(-1).alias("rating"),
         F.when(F.col("toxic") == 1, "bad_answer").when(F.col("quality") == 0, "bad_retrieval")
         .otherwise("good").alias("verdict"),

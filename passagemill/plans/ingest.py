@@ -14,10 +14,12 @@ from passagemill.functions import html as H
 from passagemill.functions import ids
 from passagemill.functions import text as X
 from passagemill.functions.predicates import is_fresh, is_relevant
-from passagemill.operators.chunking import chunk_documents
+from passagemill.operators.chunking import chunk_array, chunk_documents
 from passagemill.operators.dedup import only_new, truthy
 from passagemill.operators.ranking import top_per_group
 from passagemill.session import materialize, spread
+from passagemill.sources.corpus import append_corpus, build_index, read_corpus
+from passagemill.sources.jsonl import path_exists
 from passagemill.sources.schema import CHUNK_COLUMNS
 
 
@@ -75,10 +77,16 @@ def page_chunks(
 
 
 def page_log(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(page_id, url, status, added)`` of every page."""
+    """``(page_id, url, status, reason, chunks, added)`` of every page."""
     added = chunks.groupBy("page_id").agg(F.count("*").alias("added"))
+    reason = F.when(
+        (F.col("status") == "skipped") & (F.col("url") != ""), F.lit("not_relevant_or_too_short")
+    )
     return (
-        documents.select("page_id", "url", "status")
+        documents.select(
+            "page_id", "url", "status", reason.alias("reason"),
+            F.size(chunk_array(F.col("raw_text"))).cast("bigint").alias("chunks"),
+        )
         .join(added, "page_id", "left")
         .withColumn("added", F.coalesce("added", F.lit(0)))
     )
@@ -213,9 +221,11 @@ def ingest_messages(
     messages: DataFrame, existing: DataFrame, as_of: Column, limit: int | None = V.MESSAGE_LIMIT,
     since_days: int | None = V.SINCE_DAYS,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(new chunks, classified messages)``."""
+    """``(new chunks, classified messages)``; the capped messages are written once."""
     known = existing.select(F.col("extra")["message_key"].alias("message_key"))
-    classified = classify_messages(messages, known, as_of, limit, since_days)
+    classified = materialize(
+        classify_messages(messages, known, as_of, limit, since_days), "messages"
+    )
     return message_chunks(classified, existing), classified
 
 
@@ -229,6 +239,44 @@ def union_chunks(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def sync(
+    pages: DataFrame,
+    messages: DataFrame | None,
+    corpus_path: str,
+    index_path: str,
+    encoder,
+    good,
+    bad=(),
+    as_of: Column | None = None,
+    limit: int | None = V.SYNC_MESSAGE_LIMIT,
+    since_days: int | None = V.SINCE_DAYS,
+) -> DataFrame:
+    """Ingest both sources, append to the corpus, index the new chunks; returns totals.
+
+    Messages are left out where they are not configured.  Vectors are keyed by
+    chunk id, so only new chunks are encoded.
+    """
+    spark = pages.sparkSession
+    now = F.current_timestamp() if as_of is None else as_of
+    page_new, log = ingest_pages(pages, read_corpus(spark, corpus_path), good, bad, as_of=now)
+    added = [materialize(page_new.select(*CHUNK_COLUMNS, "page_id"), "new-pages")]
+    append_corpus(added[0], corpus_path)
+    log = log.drop("added").join(
+        added[0].groupBy("page_id").agg(F.count("*").alias("added")), "page_id", "left"
+    ).withColumn("added", F.coalesce("added", F.lit(0)))
+    report = None
+    if messages is not None:
+        existing = read_corpus(spark, corpus_path)
+        new, classified = ingest_messages(messages, existing, now, limit, since_days)
+        added.append(materialize(new.select(*CHUNK_COLUMNS, "channel"), "new-messages"))
+        append_corpus(added[1], corpus_path)
+        report = message_report(classified, added[1])
+    fresh = union_chunks(*added)
+    if not fresh.isEmpty():
+        build_index(fresh, encoder, index_path, mode="append")
+    return sync_summary(page_report(log), report, path_exists(spark, index_path))
+
+
 def sync_summary(pages: DataFrame, messages: DataFrame | None, index_ok: bool) -> DataFrame:
     """Totals over the reports; messages may be left out."""
     parts = pages.select("added", "errors")

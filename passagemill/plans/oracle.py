@@ -282,7 +282,10 @@ CTE: dict[str, str] = {
         SELECT *, printf('web_web::%s_%03d', url, part) AS chunk_id FROM page_chunks))
     WHERE copy = 1 AND NOT contains(url, '/en/')""",
     "page_log": """
-    SELECT o.page_id, o.url, o.status, count(n.chunk_id) AS added
+    SELECT o.page_id, o.url, o.status,
+           CASE WHEN o.status = 'skipped' AND o.url <> '' THEN 'not_relevant_or_too_short' END AS reason,
+           (SELECT count(*) FROM page_chunks c WHERE c.page_id = o.page_id) AS chunks,
+           count(n.chunk_id) AS added
     FROM page_ok o LEFT JOIN new_pages n USING (page_id) GROUP BY ALL""",
     "message_counts": """
     SELECT channel, count(*) AS processed, count(*) FILTER (status = 'skipped') AS skipped,
@@ -333,7 +336,7 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "message_chunks": ("message_parts",), "new_messages": ("message_chunks", "classified"),
     "framed": ("shown",), "page_texts": ("framed",), "page_clean": ("page_texts",),
     "page_ok": ("page_clean",), "page_chunks": ("page_ok",), "new_pages": ("page_chunks",),
-    "page_log": ("page_ok", "new_pages"), "message_counts": ("classified", "new_messages"),
+    "page_log": ("page_ok", "new_pages", "page_chunks"), "message_counts": ("classified", "new_messages"),
     "judged": ("rules", "found"), "lab": ("docs",), "completed": ("last_turn",),
     "vec_index": ("docs",), "vec_pairs": ("means", "vec_index"),
 }
@@ -624,7 +627,7 @@ FROM top t JOIN top_answers a USING (query_id) WHERE list_contains(a.used_source
 oracle("ingest_pages", f"""
 SELECT chunk_id, part, page_id, text, title, url, '{D.PAGE_DAY}' AS date, 'web::' || url AS doc_id, 'pages' AS origin
 FROM new_pages""", "new_pages")
-oracle("ingest_pages_log", "SELECT page_id, url, status, added FROM page_log", "page_log")
+oracle("ingest_pages_log", "SELECT page_id, url, status, reason, chunks, added FROM page_log", "page_log")
 oracle("ingest_pages_report", """
 SELECT 'web' AS source, count(*) AS processed, sum(added)::BIGINT AS added,
        count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors

@@ -24,9 +24,11 @@ def append_corpus(chunks: DataFrame, path: str) -> None:
     )
 
 
-def reset_corpus(spark: SparkSession, path: str) -> None:
-    """Replace the table by an empty one with the chunk schema."""
-    spark.createDataFrame([], S.CHUNK).write.mode("overwrite").parquet(path)
+def reset_corpus(spark: SparkSession, *paths: str) -> None:
+    """Replace corpus or index tables by empty ones: an index keeps its schema."""
+    for path in paths:
+        schema = spark.read.parquet(path).schema if path_exists(spark, path) else S.CHUNK
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def build_index(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,19 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return parse_chunks(read_lines(spark, path))
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of an evaluation set.  The id comes from the content; equal lines are
+    numbered, so every line stays a rule of its own."""
+    rules = read_objects(spark, path, S.RULE)
+    content = F.sha1(F.to_json(F.struct(*S.RULE.fieldNames())))
+    same = Window.partitionBy("_content").orderBy("_content")
+    return (
+        rules.withColumn("_content", content)
+        .withColumn("query_id", F.concat_ws("-", "_content", F.row_number().over(same)))
+        .select("query_id", *S.RULE.fieldNames())
+    )
+
+
 def append_objects(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 

@@ -43,12 +43,14 @@ def table_of(names, rows):
     return [names[i] for i in order], sorted(body, key=lambda r: [(v is None, str(type(v)), str(v)) for v in r])
 
 
-def compare(spark, con, name: str, sf_dir: str):
+def compare(spark, con, name: str, sf_dir: str, plans: list | None = None):
     """None if equal, else a description of the first difference; and both times."""
     from __spark_entry__ import oracle_sql, queries
 
     t0 = time.time()
     df = queries()[name](spark, sf_dir)
+    if plans is not None:
+        plans.append(df._jdf.queryExecution().toString())
     got = table_of(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     sql = oracle_sql().get(name)

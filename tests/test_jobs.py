@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from passagemill.operators import answers as A
 from passagemill.operators import dedup, evaluation, feedback, stats
 from passagemill.operators.chunking import chunk_documents
-from passagemill.operators.encoding import hash_encoder
+from passagemill.operators.encoding import hash_encoder, term_encoder
+from passagemill.operators.rerank import keyword_share
+from passagemill.plans import ask
 from passagemill.plans import ingest as I
 from passagemill.session import scratch_path, shared_dir
 from passagemill.sources import corpus, jsonl
@@ -198,7 +200,11 @@ def test_overwrite_and_corpus_tables(spark, lines_path):
     corpus.append_corpus(chunks, path)
     assert corpus.read_corpus(spark, path).count() == 6
     assert corpus.read_corpus(spark, path).columns == S.CHUNK_COLUMNS
-    corpus.reset_corpus(spark, path)
+    index = scratch_path(spark, "index")
+    corpus.build_index(chunks, hash_encoder(8), index)
+    corpus.reset_corpus(spark, path, index)
+    assert corpus.load_index(spark, index).count() == 0
+    assert "embedding" in corpus.load_index(spark, index).columns
     assert corpus.read_corpus(spark, path).count() == 0
     out = scratch_path(spark, "sidecar")
     jsonl.overwrite_objects(chunks, out)
@@ -311,6 +317,56 @@ def test_message_ingest_and_sync(spark):
     assert (alone["total_added"], alone["messages_synced"]) == (3, False)
 
 
+def test_sync_twice_and_without_messages(spark):
+    corpus_path, index_path = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    pages = pages_frame(spark, [page(1, "u1", "good words here " * 100)])
+    messages = spark.createDataFrame([message(1, text="hello there " * 20)], MESSAGES)
+    as_of = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+
+    def go(m, *rest):
+        return I.sync(pages, m, corpus_path, index_path, hash_encoder(8), ["good"], as_of=as_of).first()
+
+    first = go(None)
+    assert first["total_added"] == 2 and first["index_ok"] and not first["messages_synced"]
+    second = go(messages)
+    assert second["total_added"] == 1 and second["messages_synced"]
+    assert go(messages)["total_added"] == 0
+    ids = [r["chunk_id"] for r in corpus.load_index(spark, index_path).collect()]
+    assert len(ids) == len(set(ids)) == corpus.read_corpus(spark, corpus_path).count() == 3
+
+
+def test_sync_of_nothing(spark):
+    paths = scratch_path(spark, "corpus"), scratch_path(spark, "index")
+    out = I.sync(pages_frame(spark, [page(1, "u", "short")]), None, *paths, hash_encoder(8), ["good"]).first()
+    assert (out["total_added"], out["index_ok"]) == (0, False)
+
+
+def test_ask_and_evaluate(spark, lines_path):
+    docs = spark.createDataFrame(
+        [("web", f"https://e.org/{i}", f"t{i}", f"This document speaks about topic{i} and nothing else at all, really.", None)
+         for i in range(6)], "source_type string, url string, title string, raw_text string, date string")
+    index = term_encoder("text")(chunk_documents(docs))
+    asked = spark.createDataFrame([(1, "about topic3"), (2, "  "), (3, "unheard")], "query_id bigint, query string")
+    answers, results = ask.ask(term_encoder("query")(asked), index, method="lexical", min_score=0.1)
+    rows = {r["query_id"]: r for r in answers.collect()}
+    assert set(rows) == {1, 3} and rows[3]["warnings"] == ["no_results"]
+    assert results.where("query_id = 1 and rank = 1").first()["url"] == "https://e.org/3"
+
+    path = scratch_path(spark, "rules")
+    rules = ['{"query": "about topic3", "must_contain_url": "E.ORG/3"}', '{"query": "about topic4", "must_contain_text": "topic4"}',
+             '{"query": "about topic4", "must_contain_text": "topic4"}', '{"query": "about topic5", "must_contain_type": "tg"}', "bad"]
+    spark.createDataFrame([(r,) for r in rules], "value string").write.text(path)
+    frame = jsonl.read_rules(spark, path)
+    assert frame.select("query_id").distinct().count() == 4
+    for options in ({}, {"scorer": keyword_share}):
+        table, metrics = ask.evaluate(frame, term_encoder("query"), index, method="lexical", min_score=0.1, **options)
+        m = metrics.first()
+        assert (m["n"], m["recall_at_k"], m["mrr_at_k"], table.count()) == (4, 0.75, 0.75, 4)
+        assert m["mode"] == ("reranker" if options else "index")
+    _, uncut = ask.evaluate(frame, term_encoder("query"), index, cut_ranks=False, method="lexical", min_score=0.1)
+    assert uncut.first()["recall_at_k"] == 0.75
+
+
 def test_known_values_and_only_new(spark):
     chunks = spark.createDataFrame(
         [("a", {"doc_id": "d1", "k": ""}), ("b", {"doc_id": "d1"}), ("c", None)], "chunk_id string, extra map<string,string>")
