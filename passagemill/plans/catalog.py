@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+# Positions and counts are BIGINT in every registered result.
+POSITIONS = ("part", "rank", "bullet", "k_max", "n", "hit_rank")
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = fn(spark, sf)
+        wide = {c: F.col(c).cast("bigint") for c, t in df.dtypes if c in POSITIONS and t == "int"}
+        return df.withColumns(wide) if wide else df
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _documents(spark, sf) -> DataFrame:

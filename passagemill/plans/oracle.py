@@ -473,7 +473,7 @@ SELECT chunk_id, source_type,
 FROM chunks WHERE source_type <> 'portal'""", "chunks")
 oracle("log_tail", "SELECT doc_id, ts, query, verdict FROM lab ORDER BY ts DESC, doc_id DESC LIMIT 50", "lab")
 oracle("build_index", f"""
-SELECT chunk_id, 256 AS dim, CASE WHEN len({words('text', 1)}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+SELECT chunk_id, 256::BIGINT AS dim, CASE WHEN len({words('text', 1)}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
 FROM chunks""", "chunks")
 
 # --- Search -----------------------------------------------------------------
