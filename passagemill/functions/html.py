@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from passagemill import values as V
 from passagemill.functions.text import count_of, flatten, runs, strip, text_lines
 
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAG = r"<[/a-zA-Z!?][^<>]*>"
 HIDDEN = ("script", "style", "noscript")
 FRAME = ("nav", "header", "footer", "aside", "form")
@@ -22,9 +21,12 @@ CONTENT = ("article", "main")
 NODE_BREAK = "\x01"
 
 
-def block(tag: str) -> str:
-    """Pattern of one element with its body."""
-    return rf"(?is)<{tag}\b[^<>]*>.*?(?:</{tag}\s*>|\z)"
+COMMENT = r"<!--.*?(?:-->|\z)"
+
+
+def blocks(tags: tuple[str, ...]) -> str:
+    """Pattern of elements with their bodies; the end tag is the one of the start tag."""
+    return rf"<({'|'.join(tags)})\b[^<>]*>.*?(?:</\1\s*>|\z)"
 
 
 def block_body(tag: str) -> str:
@@ -55,13 +57,11 @@ def _code_point(digits: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(digits.cast("bigint")), 8, "0")), "UTF-32")
 
 
-def _without(html: Column, tags) -> Column:
-    return reduce(lambda acc, t: F.regexp_replace(acc, block(t), ""), tags, html)
-
-
 def shown_html(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    return _without(F.regexp_replace(F.coalesce(html, F.lit("")), COMMENT, ""), HIDDEN)
+    """The page without comments, scripts and styles, removed in one pass."""
+    return F.regexp_replace(
+        F.coalesce(html, F.lit("")), f"(?is){COMMENT}|{blocks(HIDDEN)}", ""
+    )
 
 
 def text_nodes(html: Column) -> Column:
@@ -78,9 +78,11 @@ def visible_of(shown: Column) -> Column:
 
 
 def main_of(shown: Column) -> Column:
-    content = _without(shown, FRAME)
+    content = F.regexp_replace(shown, f"(?is){blocks(FRAME)}", "")
     bodies = [F.regexp_extract(content, block_body(t), 1) for t in CONTENT]
-    return text_nodes(F.when(bodies[0] != "", bodies[0]).otherwise(bodies[1]))
+    # Bound to a variable: as a plain CASE the article would be searched for twice.
+    body = F.transform(F.array(bodies[0]), lambda b: F.when(b != "", b).otherwise(bodies[1]))[0]
+    return text_nodes(body)
 
 
 def visible_text(html: Column) -> Column:
@@ -117,9 +119,14 @@ def clean_lines(c: Column) -> Column:
     kept = F.filter(
         lines,
         lambda s: (F.length(s) >= V.LINE_MIN_CHARS)
-        & (count_of(s, "|") <= V.LINE_MAX_BARS)
-        & (count_of(s, "+") <= V.LINE_MAX_PLUSES)
-        & ~s.rlike(rf"\|[{V.WS}]*\|[{V.WS}]*\+"),
+        & (~s.contains("+") | (count_of(s, "+") <= V.LINE_MAX_PLUSES))
+        & (
+            ~s.contains("|")
+            | (
+                (count_of(s, "|") <= V.LINE_MAX_BARS)
+                & ~s.rlike(rf"\|[{V.WS}]*\|[{V.WS}]*\+")
+            )
+        ),
     )
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"[ \t\x{a0}]+", " ")
     return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
