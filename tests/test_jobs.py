@@ -223,8 +223,16 @@ def test_index_table(spark, lines_path):
 
 
 def test_shared_dir_comes_from_the_session(spark):
+    class Session:
+        def __init__(self, named, master):
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: named)})
+            self.sparkContext = type("Context", (), {"master": master})
+
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
-    assert spark.conf.get("spark.checkpoint.dir") == shared_dir(spark)
+    assert shared_dir(Session("hdfs:///shared/", "yarn")) == "hdfs:///shared"
+    assert shared_dir(Session(None, "local[2]")) == shared_dir(Session(None, "local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_dir(Session(None, "yarn"))
 
 
 def page(i, url, body):
