@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.operators.dedup import truthy
 from passagemill.operators.ranking import keep_first
+from passagemill.sources.jsonl import is_object
 
 
 def corpus_stats(chunks: DataFrame, by: str) -> DataFrame:
@@ -22,7 +23,7 @@ def type_stats(lines: DataFrame, absent: str = "other") -> DataFrame:
         F.array_contains(keys, "source_type"), F.get_json_object("value", "$.source_type")
     ).otherwise(F.lit(absent))
     return corpus_stats(
-        lines.where(keys.isNotNull()).select(kind.alias("source_type")), "source_type"
+        lines.where(is_object(F.col("value"))).select(kind.alias("source_type")), "source_type"
     )
 
 

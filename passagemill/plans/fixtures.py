@@ -228,7 +228,7 @@ def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table as JSON lines with what real files contain besides: lines cut
-    short, blank lines, arrays, foreign keys and records without a type."""
+    short, blank lines, arrays, foreign keys, glued records and records without a type."""
     c = chunks(spark, sf_dir)
     record = F.to_json(F.struct(
         "chunk_id", "text", "title",
@@ -243,6 +243,7 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(first, F.lit("   ")),
         F.when(first, F.concat(F.lit("["), record, F.lit("]"))),
         F.when(first, odd),
+        F.when(first, F.concat(record, record)),
     ))).alias("value"))
 
 

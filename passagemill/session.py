@@ -9,7 +9,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-SPLIT_BYTES = 128 << 20
+SPREAD_BELOW = 8 << 20  # bytes per core
+SPREAD_UNIT = 256 << 10  # least bytes worth a task
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -51,14 +52,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a small scan over all cores before heavy row-wise work.
+    """Rebalance a small scan before heavy row-wise work.
 
-    A table with at least one full split per core passes through untouched.
+    A scan is split by bytes but a small file is often one row group, hence one
+    busy task.  Tables beyond a few megabytes per core have splits enough and
+    pass through untouched.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    if size >= cores * SPREAD_BELOW:
+        return df
+    tasks = min(cores, size // SPREAD_UNIT)
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -28,20 +28,29 @@ def parse_objects(lines: DataFrame, schema: T.StructType, strict: bool = False)
 
     Fields are read leniently: a field of another type than declared is null.
     """
-    is_object = F.coalesce(_is_object(F.col("value")), F.lit(False))
     if strict:
-        checked = F.when(is_object, F.col("value")).otherwise(
+        checked = F.when(is_object(F.col("value")), F.col("value")).otherwise(
             F.raise_error(F.lit("broken JSONL line encountered"))
         )
         lines = lines.select(checked.alias("value"))
     else:
-        lines = lines.where(is_object)
+        lines = lines.where(is_object(F.col("value")))
     return lines.select(F.from_json("value", schema).alias("row"), "value").select("row.*", "value")
 
 
-def _is_object(line: Column) -> Column:
-    kind = F.schema_of_variant(F.try_parse_json(line))
-    return kind.startswith("OBJECT")
+def json_value(line: Column) -> Column:
+    """The one JSON value on a line as VARIANT, else null.
+
+    Read as the only element of an array: on its own, the parser would stop
+    after a first value and accept a line with two records glued together.
+    """
+    elements = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).cast("array<variant>")
+    return F.when(F.size(elements) == 1, F.get(elements, F.lit(0)))
+
+
+def is_object(line: Column) -> Column:
+    kind = F.schema_of_variant(json_value(line))
+    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
 
 
 def read_objects(
@@ -52,7 +61,7 @@ def read_objects(
 
 def parse_values(lines: DataFrame) -> DataFrame:
     """Lines holding any JSON value, as VARIANT; other lines drop."""
-    parsed = lines.select(F.try_parse_json("value").alias("value"))
+    parsed = lines.select(json_value(F.col("value")).alias("value"))
     return parsed.where(F.col("value").isNotNull())
 
 

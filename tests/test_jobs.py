@@ -166,6 +166,7 @@ LINES = [
     json.dumps(GOOD), "  " + json.dumps({**GOOD, "extra": None, "url": None}) + "  ", "",
     json.dumps({**GOOD, "extra": {"k": "v"}, "date": "2024-01-01"}), json.dumps({**GOOD, "who": 1}),
     json.dumps({"chunk_id": "b"}), "[1, 2]", "7", '{"chunk_id": "c"', "not json", "null",
+    json.dumps(GOOD) + json.dumps(GOOD), json.dumps(GOOD) + ", " + json.dumps(GOOD), json.dumps(GOOD) + " x",
 ]
 
 
@@ -187,7 +188,7 @@ def test_jsonl(spark, lines_path):
 
 
 def test_type_stats(spark):
-    lines = ['{"source_type":"web"}', '{"source_type":""}', '{"source_type":null}', '{"a":1}', "bad", "[1]"]
+    lines = ['{"source_type":"web"}', '{"source_type":""}', '{"source_type":null}', '{"a":1}', "bad", "[1]", '{"source_type":"web"} {}']
     df = spark.createDataFrame([(v,) for v in lines], "value string")
     assert {r["source_type"]: r["n"] for r in stats.type_stats(df).collect()} == {"web": 1, "other": 1}
 
