@@ -58,8 +58,8 @@ def test_short_summary(run):
 
 
 def test_keywords(run):
-    assert run(X.keywords, "Die Straße, Café ikni ІНСТИТУТ data data 1234") == [
-        "stra", "ikni", "інститут", "data", "1234",
+    assert run(X.keywords, "Die Straße, Café word ІНСТИТУТ data data 1234") == [
+        "stra", "word", "інститут", "data", "1234",
     ]
     many = " ".join(f"word{i:02d}" for i in range(20))
     assert run(lambda c: X.keywords(c, cap=12), many) == [f"word{i:02d}" for i in range(12)]
