@@ -66,12 +66,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if tasks > 1 else df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a small intermediate table to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
 
     Cuts the lineage where several consumers would each scan the corpus again;
     the table outlives lost executors.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
