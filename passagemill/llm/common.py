@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 POSITION_BITS = 24
 MAX_ANCHOR_UNITS = 1 << 23  # units hashed at once; below 2 ** POSITION_BITS
+PART_BYTES = 1 << 20  # of short texts hashed at once
 
 
 def text_bytes(name: str = "text") -> Column:

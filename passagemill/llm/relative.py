@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import (
-    MAX_ANCHOR_UNITS, among, anchor_runs, key_counts, merged, parts_of, repeated_keys, shipped_keys, text_bytes, text_key,
+    MAX_ANCHOR_UNITS, PART_BYTES, among, anchor_runs, key_counts, merged, parts_of, repeated_keys, shipped_keys, text_bytes, text_key,
 )
 
 WINDOW = 13
@@ -42,7 +42,7 @@ PHRASES = "block int, key long, doc long, text_key binary, first long, last long
 
 def _parts(batch: pa.RecordBatch, window: int):
     """(rows, words of each text, place of the first word), very long texts in overlapping pieces."""
-    for part in parts_of(batch, "text", MAX_ANCHOR_UNITS // 2):
+    for part in parts_of(batch, "text", PART_BYTES):
         texts = [t.split() for t in part.column(part.schema.get_field_index("text")).to_pylist()]
         if len(texts) == 1 and len(texts[0]) > MAX_ANCHOR_UNITS:
             step = MAX_ANCHOR_UNITS - window + 1

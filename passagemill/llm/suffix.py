@@ -31,20 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import (
-    MAX_ANCHOR_UNITS, among, anchor_runs, key_counts, merged, parts_of, repeated_keys, shipped_keys, text_bytes, text_key,
+    MAX_ANCHOR_UNITS, PART_BYTES, among, anchor_runs, key_counts, merged, parts_of, repeated_keys, shipped_keys, text_bytes, text_key,
 )
 
 LENGTH = 400
 GRAM = 64
 RANGE_SUFFIXES = 6_000  # suffixes of a range, about
 SPLITTERS = 4_096  # grams sampled to choose ranges
-RUN_BYTES = 64 << 20  # of suffixes sorted at once in a task
+RUN_BYTES = 24 << 20  # of suffixes sorted at once in a task
 UNIT_HASHES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int]]]:
     """Parts of a batch, very long texts cut into pieces that overlap by a window less one byte."""
-    for part in parts_of(batch, "text", MAX_ANCHOR_UNITS // 2):
+    for part in parts_of(batch, "text", PART_BYTES):
         texts = part.column(part.schema.get_field_index("text")).to_pylist()
         if len(texts) == 1 and len(texts[0]) > MAX_ANCHOR_UNITS:
             step = MAX_ANCHOR_UNITS - LENGTH + 1
@@ -264,10 +264,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["key", "suffix", "left", "low", "text_key", "place"],
                 )
 
-    found = texts.mapInArrow(reaches, "key long, suffix binary, left binary, low int, text_key binary, place long")
-    if known is None:
-        found = found.join(repeated.select("key"), "key", "left_semi")
-
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
@@ -304,7 +300,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             "text_key": pa.array(keys, pa.binary()), "low": pa.array(lows, pa.int64()), "high": pa.array(highs, pa.int64())
         })
 
-    runs = found.mapInArrow(sorted_runs, "range int, block binary")
+    if known is None:
+        found = texts.mapInArrow(reaches, "key long, suffix binary, left binary, low int, text_key binary, place long")
+        found = found.join(repeated.select("key"), "key", "left_semi")
+        runs = found.mapInArrow(sorted_runs, "range int, block binary")
+    else:
+        runs = texts.mapInArrow(lambda batches: sorted_runs(reaches(batches)), "range int, block binary")
     return runs.groupBy("range").applyInArrow(merge, "text_key binary, low long, high long").distinct()
 
 
