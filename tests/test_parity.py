@@ -3,7 +3,9 @@
 import pytest
 from parity import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from passagemill.plans.catalog import QUERIES
+from passagemill.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {"encode_hash"}
@@ -14,7 +16,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     plans = []
     problem, rows, _, _ = compare(spark, con, name, SF, plans)
@@ -25,7 +27,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
 
 
 def test_entry_has_a_stable_schema(spark):
