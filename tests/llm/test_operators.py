@@ -133,7 +133,9 @@ def test_packing_keeps_every_id_once(spark, odd, none):
 
 
 def test_patterns_cover_the_histogram_with_little_padding():
-    lengths = np.random.default_rng(0).integers(1, 32, 3000) * 32
+    rests = np.random.default_rng(0).integers(1, 1024, 3000)  # cut at the grid, as documents are
+    lengths = np.concatenate([rests - rests % packing.GRID, rests % packing.GRID])
+    lengths = lengths[lengths > 0]
     histogram = Counter(lengths.tolist())
     plan = packing.patterns(histogram)
     got = Counter()
@@ -143,6 +145,9 @@ def test_patterns_cover_the_histogram_with_little_padding():
             got[length] += n
     assert got == histogram
     assert sum(plan.values()) * 1024 < 1.01 * lengths.sum() + 2048
+    sizes = np.array(sorted(histogram))
+    _, amount, gap = packing.column_generation(sizes, np.array([float(histogram[int(n)]) for n in sizes]), 1024)
+    assert gap <= packing.TOLERANCE and sum(plan.values()) <= amount.sum() + len(sizes)
 
 
 def test_mix_meets_targets(spark, odd, none):
@@ -165,9 +170,9 @@ def test_mix_meets_targets(spark, odd, none):
 
 def test_media_round_trip(odd, none):
     rows = media.decode_media(media.encode_media(odd), tensors=True).collect()
-    want = Counter((zlib.crc32(b[-64:]), len(b)) for b in (
-        (t := (r["text"] or "").encode()) + bytes(-len(t) % 64 if t else 64) for r in odd.collect()
-    ))
+    texts = [(r["text"] or "").encode() for r in odd.collect()]
+    padded = [t + bytes(-len(t) % 64 if t else 64) for t in texts]
+    want = Counter((zlib.crc32(b[-64:]), len(b)) for b in padded)
     assert Counter((r["tail_crc32"], r["payload_bytes"]) for r in rows) == want
     assert all(len(r["rgb"]) == r["height"] * r["width"] * 3 for r in rows)
     assert media.decode_media(media.encode_media(none)).count() == 0
