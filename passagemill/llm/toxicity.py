@@ -63,12 +63,19 @@ class Terms:
 
     def __init__(self, terms: list[str]):
         self.number = {t: n for n, t in enumerate([*NUMBERS, *terms])}
+        self.seen: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         hits = 0
-        for word, n in words_of(text).items():
-            found = [self.number[t] for t in terms_of(word) if t in self.number]
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        for word, n in Counter((text or "").lower().split()).items():
+            found = self.seen.get(word)
+            if found is None:
+                bare = word.strip(EDGES)
+                found = tuple(self.number[t] for t in terms_of(bare) if t in self.number) if bare else ()
+                self.seen[word] = found
             if found:
                 hits += n
                 for t in found:
