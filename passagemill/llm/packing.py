@@ -15,6 +15,7 @@ pieces of their own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,9 @@ SEQUENCE = 1024
 GRID = 32  # what a document leaves after whole sequences is cut at a multiple of it
 TOLERANCE = 0.002  # gap between the linear program and its bound at which to stop
 CACHED_WORDS = 1_500_000  # of a worker's cache; beyond it starts anew
+RUN_WORDS = 1_000  # new words encoded together
 RANK_ROWS = 50_000  # pieces ranked together
+SPACE_RUN = re.compile(r"\s ")
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -40,6 +43,9 @@ class Encoder:
 
     The tokenizer never joins a space to what stands before it, so a text may be
     cut before each space that follows a character which is no white space.
+    Arrow tells the words apart, so Python sees each once per call; new ones are
+    encoded as runs of text, which the byte lengths of their ids cut again.
+    Texts with white space before a space or at an end are encoded uncut.
     """
 
     def __init__(self, path: str):
@@ -50,55 +56,64 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(names.values()) + 1, np.int64)
+        for name, number in names.items():
+            self.width[number] = len(name)  # one letter stands for one byte
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint16)
-        self.end = np.zeros(1, np.int64)
+        self.end = np.zeros(1 << 16, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, straight from the tokenizer."""
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for one in lists for i in one), np.int64, int(sizes.sum()))
-        if self.ids.dtype == np.uint16 and len(flat) and flat.max() > 65535:
+        """Remembers the ids of words as they stand after a space."""
+        runs = [" " + " ".join(words[n : n + RUN_WORDS]) for n in range(0, len(words), RUN_WORDS)]
+        flat = np.concatenate(self.whole(runs))
+        sizes = pa.compute.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1
+        ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(sizes)) + 1
+        if self.ids.dtype == np.uint16 and flat.max() > 65535:
             self.ids = self.ids.astype(np.uint32)
-        used = int(self.end[-1])
+        base = len(self.known)
+        used = int(self.end[base])
         if used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (used + len(flat)))
+        if base + len(words) >= len(self.end):
+            self.end = np.resize(self.end, 2 * (base + len(words)))
         self.ids[used : used + len(flat)] = flat
-        base = len(self.known)
+        self.end[base + 1 : base + len(words) + 1] = used + ends
         self.known.update(zip(words, range(base, base + len(words))))
-        self.end = np.r_[self.end, used + np.cumsum(sizes)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        import re
-
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for n, text in enumerate(texts):
-            if not text:
-                continue
-            if re.search(r"\s ", text) or text[0] == " ":
-                own = re.split(r"(?<=\S)(?= )", text)
-            else:
-                own = text.split(" ")
-                own[1:] = [" " + w for w in own[1:]]
-            counts[n] = len(own)
-            words += own
+        uncut = [t[:1].isspace() or t[-1:].isspace() or SPACE_RUN.search(t) is not None for t in texts]
+        # the part before the first space stands after none: it is encoded by itself, as an uncut text is
+        heads = self.whole([t if whole else t.partition(" ")[0] for t, whole in zip(texts, uncut)])
+        rest = pa.array(["" if whole else t.partition(" ")[2] for t, whole in zip(texts, uncut)], pa.large_string())
+        parts = pa.compute.split_pattern(rest, " ")
+        coded = parts.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         known = self.known
-        fresh = list(dict.fromkeys(w for w in words if w not in known))
+        fresh = [w for w in words if w and w not in known]
         if fresh:
             self.add(fresh)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        sizes = self.end[at + 1] - self.end[at]
-        ids = self.ids[ragged(self.end[at], sizes)]
-        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
-        return ids, np.diff(np.r_[0, ends])
+        at = np.array([known[w] if w else -1 for w in words], np.int64)
+        low, size = self.end[at], self.end[at + 1] - self.end[at]
+        low[at < 0], size[at < 0] = 0, 0  # an empty rest is one empty part
+        code = coded.indices.to_numpy()
+        sizes = size[code]
+        ends = np.r_[0, np.cumsum(sizes)][parts.offsets.to_numpy()]
+        tail = self.ids[ragged(low[code], sizes)]
+        first = np.fromiter(map(len, heads), np.int64, len(heads))
+        ids = np.insert(tail.astype(np.uint32), np.repeat(ends[:-1], first), np.concatenate([np.zeros(0, np.int64), *heads]))
+        return ids, first + np.diff(ends)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQUENCE, end_id: int = 0) -> DataFrame:
