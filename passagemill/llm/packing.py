@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import ragged, text_bytes, worker_cache
+from passagemill.llm.common import parts_of, ragged, text_bytes, worker_cache
 from passagemill.session import materialize
 
 SEQUENCE = 1024
 GRID = 32  # what a document leaves after whole sequences is cut at a multiple of it
 TOLERANCE = 0.002  # gap between the linear program and its bound at which to stop
 CACHED_WORDS = 1_500_000  # of a worker's cache; beyond it starts anew
+PART_TEXT = 8 << 20  # bytes of texts encoded together
 RUN_WORDS = 1_000  # new words encoded together
 RANK_ROWS = 50_000  # pieces ranked together
 SPACE_RUN = re.compile(r"\s ")
@@ -99,7 +100,7 @@ class Encoder:
         rest = pa.array(["" if whole else t.partition(" ")[2] for t, whole in zip(texts, uncut)], pa.large_string())
         parts = pa.compute.split_pattern(rest, " ")
         coded = parts.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
         fresh = [w for w in words if w and w not in known]
         if fresh:
@@ -122,8 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQUENCE, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(f"encoder_{tokenizer}", lambda: Encoder(tokenizer))
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
+            for batch in parts_of(whole, "text", PART_TEXT):
                 texts = batch.column(1).to_pylist()
                 ids, counts = encoder.encode([t or "" for t in texts])
                 ends = np.cumsum(counts)
