@@ -30,8 +30,8 @@ from passagemill.session import materialize
 SEQUENCE = 1024
 GRID = 32  # what a document leaves after whole sequences is cut at a multiple of it
 TOLERANCE = 0.002  # gap between the linear program and its bound at which to stop
-CACHED_WORDS = 1_500_000  # of a worker's cache; beyond it starts anew
-PART_TEXT = 8 << 20  # bytes of texts encoded together
+CACHED_WORDS = 400_000  # of a worker's cache; beyond it starts anew
+PART_TEXT = 4 << 20  # bytes of texts encoded together
 RUN_WORDS = 1_000  # new words encoded together
 RANK_ROWS = 50_000  # pieces ranked together
 SPACE_RUN = re.compile(r"\s ")
