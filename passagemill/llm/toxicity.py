@@ -5,8 +5,8 @@ others are selected on a bounded sample of labelled rows (``SAMPLE``), which
 also gives the examples.  A further term says how many selected terms a text
 has.  Document frequencies come from all documents.  The inverted index keeps
 examples in blocks with the greatest weight of each term; a query visits blocks
-by falling bound and stops when no block can reach its k best, so the result is
-exact.  Votes weigh by similarity and are calibrated by isotonic regression on
+by falling bound in three rounds, each without the blocks that cannot reach its
+k best so far, so the result is exact.  Votes weigh by similarity and are calibrated by isotonic regression on
 the examples' own leave-one-out votes.
 
 Cases: null, empty and term-free texts get the rate among such examples; equal
@@ -31,6 +31,7 @@ SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
 TERMS = 2_048
 NEIGHBOURS = 15
 BLOCK = 512
+ROUNDS = (1, 3, 0)  # blocks visited together: the best, three more, all the bound leaves
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
 REMEMBERED = 100_000  # answers a worker keeps for texts with the same terms
 SUPPORT = 5  # examples a term needs
@@ -123,23 +124,38 @@ class Index:
 
     def nearest(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and their cosines, best first: exactly the k best above zero."""
-        terms = list(query)
-        bounds = np.array(list(query.values())) @ self.bound[terms]
+        terms, amounts = list(query), list(query.values())
+        bounds = np.array(amounts) @ self.bound[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(scores) >= NEIGHBOURS and bounds[block] < scores[-1] - 1e-12:
+        low = 0
+        for width in ROUNDS:
+            if low >= len(order):
                 break
-            own = np.zeros(BLOCK)
-            for t, w in query.items():
-                low, high = self.starts[t][block : block + 2]
-                own[self.places[t][low:high] - block * BLOCK] += w * self.values[t][low:high]
-            hit = np.flatnonzero(own > 0)
-            at = hit + block * BLOCK
+            blocks = order[low : low + width] if width else order[low:]
+            low += len(blocks)
+            if len(scores) >= NEIGHBOURS:
+                blocks = blocks[bounds[blocks] >= scores[-1] - 1e-12]
+                if not len(blocks):
+                    break
+            first, last = int(blocks.min()), int(blocks.max()) + 1
+            own = np.zeros((last - first) * BLOCK)
+            for t, w in zip(terms, amounts):
+                a, b = self.starts[t][first], self.starts[t][last]
+                own[self.places[t][a:b] - first * BLOCK] += w * self.values[t][a:b]
+            seen = own.reshape(-1, BLOCK)[blocks - first].ravel()
+            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = np.flatnonzero(seen > 0)
             if skip >= 0:
-                hit, at = hit[at != skip], at[at != skip]
-            places, scores = np.r_[places, at], np.r_[scores, own[hit]]
-            order = np.lexsort((self.ids[places], -np.round(scores, 9)))[:NEIGHBOURS]
-            places, scores = places[order], scores[order]
+                hit = hit[at[hit] != skip]
+            found = np.round(seen[hit], 9)
+            if len(hit) > NEIGHBOURS:  # ties with the least of the best stay
+                least = np.partition(found, len(found) - NEIGHBOURS)[-NEIGHBOURS]
+                hit, found = hit[found >= least], found[found >= least]
+            places, scores = np.r_[places, at[hit]], np.r_[scores, seen[hit]]
+            best = np.lexsort((self.ids[places], -np.round(scores, 9)))[:NEIGHBOURS]
+            places, scores = places[best], scores[best]
         return places, scores
 
     def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
