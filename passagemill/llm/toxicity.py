@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from passagemill.llm.common import parts_of, ragged
+
 SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
 TERMS = 2_048
 NEIGHBOURS = 15
 BLOCK = 512
 ROUNDS = (1, 3, 0)  # blocks visited together: the best, three more, all the bound leaves
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
+PART_BYTES = 4 << 20  # of texts split into words together
 REMEMBERED = 100_000  # answers a worker keeps for texts with the same terms
 SUPPORT = 5  # examples a term needs
 LIFT = 2.5  # times the base rate of toxic examples among those with the term
@@ -47,12 +50,14 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def words_of(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter((text or "").lower().split()).items():
-        out[word.strip(EDGES)] += n
-    out.pop("", None)
-    return out
+def coded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of lower-cased texts: text number and code of each, and the words by code."""
+    lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
+    parts = pa.compute.utf8_split_whitespace(lowered)
+    coded = parts.values.dictionary_encode()
+    words = [w.strip(EDGES) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    text = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    return text, coded.indices.to_numpy(), words
 
 
 def terms_of(word: str) -> list[str]:
@@ -60,29 +65,32 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Selected terms with their numbers; keeps what each word seen gives."""
+    """Selected terms with their numbers."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: n for n, t in enumerate([*NUMBERS, *terms])}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        hits = 0
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        for word, n in Counter((text or "").lower().split()).items():
-            found = self.seen.get(word)
-            if found is None:
-                bare = word.strip(EDGES)
-                found = tuple(self.number[t] for t in terms_of(bare) if t in self.number) if bare else ()
-                self.seen[word] = found
-            if found:
-                hits += n
-                for t in found:
-                    out[t] = out.get(t, 0) + n
-        if hits:
-            out[min(hits, len(NUMBERS)) - 1] = 1
+        self.heads = {t.rstrip("*")[: PREFIXES[0]] for t in terms}  # of all words that have a term
+
+    def __call__(self, texts: list[str | None]) -> list[dict[int, int]]:
+        """How often each text has each of its terms."""
+        out: list[dict[int, int]] = [{} for _ in texts]
+        hits = [0] * len(texts)
+        text, code, words = coded_words(texts)
+        known = {}
+        for n, word in enumerate(words):
+            if word[: PREFIXES[0]] in self.heads and (found := [self.number[t] for t in terms_of(word) if t in self.number]):
+                known[n] = found
+        matched = np.zeros(len(words), bool)
+        matched[list(known)] = True
+        at = np.flatnonzero(matched[code])
+        for n, c in zip(text[at].tolist(), code[at].tolist()):
+            hits[n] += 1
+            own = out[n]
+            for t in known[c]:
+                own[t] = own.get(t, 0) + 1
+        for own, n in zip(out, hits):
+            if n:
+                own[min(n, len(NUMBERS)) - 1] = 1
         return out
 
 
@@ -165,8 +173,8 @@ class Index:
         near = scores**4  # close examples count most
         return float((near * self.labels[places]).sum() / near.sum()), places, scores
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        counts = self.terms(text)
+    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
+        """Rate of toxicity and the evidence for a text of these terms."""
         if not counts or not len(self.ids):
             return self.empty, [], []
         key = tuple(sorted(counts.items()))
@@ -204,13 +212,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, toxic = Counter(), Counter()
-        for batch in batches:
-            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {t for w in words_of(text) for t in terms_of(w)}
-                own.add("")  # counts the documents
-                total.update(own)
-                if y:
-                    toxic.update(own)
+        for whole in batches:
+            for batch in parts_of(whole, "text", PART_BYTES):
+                bad = np.array(batch.column(1).to_pylist(), np.int64)
+                total[""] += len(bad)  # counts the documents
+                toxic[""] += int(bad.sum())
+                text, code, words = coded_words(batch.column(2).to_pylist())
+                number: dict[str, int] = {}
+                lists = [[number.setdefault(t, len(number)) for t in terms_of(w)] if w else [] for w in words]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                flat = np.fromiter((t for own in lists for t in own), np.int64, int(sizes.sum()))
+                pair = np.unique(text * len(words) + code)  # each word once a text
+                text, code = np.divmod(pair, max(len(words), 1))
+                low = np.cumsum(sizes) - sizes
+                term = flat[ragged(low[code], sizes[code])]
+                pair = np.unique(np.repeat(text, sizes[code]) * len(number) + term)
+                text, term = np.divmod(pair, max(len(number), 1))
+                for sums, weights in ((total, np.ones(len(text))), (toxic, bad[text])):
+                    found = np.bincount(term, weights, len(number)).astype(np.int64).tolist()
+                    for t, n in zip(number, found):
+                        if n:
+                            sums[t] += n
         keys = list(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())],
@@ -228,14 +250,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(terms.number) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[-1] += 1
-                seen[list(terms(text))] += 1
+            for part in parts_of(batch, "text", PART_BYTES):
+                seen[-1] += part.num_rows
+                for counts in terms(part.column(0).to_pylist()):
+                    if counts:
+                        seen[list(counts)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], names=["term", "n"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [terms(t) for t in batch.column(2).to_pylist()]
+            counts = [c for part in parts_of(batch, "text", PART_BYTES) for c in terms(part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
@@ -259,7 +283,8 @@ def with_scores(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            found = [own.score(t) for t in batch.column(at).to_pylist()]
+            parts = parts_of(batch, "text", PART_BYTES)
+            found = [own.score(counts) for part in parts for counts in own.terms(part.column(at).to_pylist())]
             scores = np.clip([f[0] for f in found], 0.0, 1.0)
             added = [
                 pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),
