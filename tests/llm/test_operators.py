@@ -109,6 +109,19 @@ def test_simhash_of_odd_texts(odd):
     assert by_id[0] == by_id[1] == by_id[2] == 0 and by_id[5] == 4
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    """Words remembered one by one against whole texts, white space of all kinds included."""
+    r = random.Random(5)
+    texts = ["", " ", "a", "a \nb", "it's  ok", "<|endoftext|> x", "\nfoo bar", "foo \tbar\n\n"]
+    texts += ["".join(r.choices("ab é\n\t '1.-\u3000\xa0\x85s", k=r.randrange(25))) for _ in range(3000)]
+    encoder = packing.Encoder(tokenizer_path())
+    for _ in range(2):  # new words, then remembered ones
+        ids, counts = encoder.encode(texts)
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == own.tolist()
+    assert [len(a) for a in encoder.encode([])] == [0, 0]
+
+
 def test_packing_keeps_every_id_once(spark, odd, none):
     rows = packing.pack(odd, tokenizer_path(), 128).collect()
     from tokenizers import Tokenizer
