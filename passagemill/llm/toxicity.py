@@ -18,6 +18,7 @@ are kept by ``with_scores``.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ CALIBRATION = 1_500  # examples whose own votes calibrate the scores
 PART_BYTES = 4 << 20  # of texts split into words together
 REMEMBERED = 100_000  # answers a worker keeps for texts with the same terms
 SUPPORT = 5  # examples a term needs
-LIFT = 2.5  # times the base rate of toxic examples among those with the term
-EDGES = ".,;:!?\"'()[]{}«»¿¡"
+EVIDENCE = 10.0  # log-likelihood ratio a term needs: the sample has some e**10 terms, so chance alone yields about one
+EDGE = re.compile(r"^[\W_]+|[\W_]+$")  # signs around a word
 PREFIXES = (4, 5, 6)
 NUMBERS = ("#1", "#2", "#3", "#4")  # one to three selected words, and more
 
@@ -55,7 +56,7 @@ def coded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[s
     lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
     parts = pa.compute.utf8_split_whitespace(lowered)
     coded = parts.values.dictionary_encode()
-    words = [w.strip(EDGES) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    words = [w if w.isalnum() else EDGE.sub("", w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     text = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
     return text, coded.indices.to_numpy(), words
 
@@ -243,8 +244,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     whole = counted.where("term = ''").first()
     number, bad = (whole["n"], whole["bad"]) if whole else (0, 0)
     base = max(bad / max(number, 1), 1e-9)
-    gain = F.col("bad") * F.log(F.col("bad") / F.col("n") / base)
-    best = counted.where((F.col("term") != "") & (F.col("bad") >= SUPPORT) & (F.col("bad") > F.col("n") * base * LIFT))
+    rate, good = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
+    other = F.when(good > 0, good * F.log((1 - rate) / (1 - min(base, 1 - 1e-9)))).otherwise(0.0)
+    gain = F.col("bad") * F.log(rate / base) + other
+    best = counted.where((F.col("term") != "") & (F.col("bad") >= SUPPORT) & (rate > base) & (gain > EVIDENCE))
     terms = Terms([r[0] for r in best.orderBy(gain.desc(), "term").limit(TERMS).collect()])
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
