@@ -6,7 +6,7 @@ tag, so every pattern makes one pass over the page.
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ HIDDEN = ("script", "style", "noscript")
 FRAME = ("nav", "header", "footer", "aside", "form")
 CONTENT = ("article", "main")
 NODE_BREAK = "\x01"
-
+REFERENCE = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+NAMED = {**{name: chr(n) for name, n in name2codepoint.items()}, "apos": "'"}
 
 COMMENT = r"<!--.*?(?:-->|\z)"
 
@@ -41,20 +42,68 @@ def page_title(html: Column, fallback: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode decimal character references and the common named ones."""
-    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,6});"), F.lit(1)))
-    out = F.aggregate(
-        F.filter(numbers, lambda d: d != "38"),
-        c,
-        lambda text, d: F.replace(text, F.concat(F.lit("&#"), d, F.lit(";")), _code_point(d)),
+    """Decode decimal, hexadecimal and named (HTML 4) character references, each once.
+
+    The text is cut before every ampersand, so what a reference stands for is
+    never read as part of another.  Surrogates, zero and numbers past the last
+    code point become U+FFFD, other control characters nothing; unknown names
+    and references without a semicolon stay as they are.
+    """
+    pieces = F.transform(
+        F.split(c, r"(?=&)"), lambda p: F.struct(p.alias("all"), F.regexp_extract(p, REFERENCE, 1).alias("name"))
     )
-    return reduce(
-        lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), V.HTML_ENTITIES, out
+    decoded = F.transform(
+        pieces,
+        lambda p: F.when(p["name"] == "", p["all"]).otherwise(
+            F.coalesce(
+                F.concat(_meaning(p["name"]), F.substring(p["all"], F.length(p["name"]) + 3, F.length(p["all"]))),
+                p["all"],
+            )
+        ),
     )
+    return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
+
 
+def _meaning(name: Column) -> Column:
+    """What a reference stands for, null if its name is unknown."""
+    named = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+    digits = F.regexp_extract(name, r"^#0*([0-9]{1,7})$", 1)
+    hexed = F.regexp_extract(name, r"^#[xX]0*([0-9a-fA-F]{1,6})$", 1)
+    number = F.when(digits != "", digits.try_cast("bigint")).when(
+        hexed != "", F.conv(hexed, 16, 10).try_cast("bigint")
+    )
+    broken = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    control = (number < 32) & ~number.isin(9, 10, 13)
+    point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(
+        name.startswith("#"),
+        F.when(broken, F.lit("�")).when(control, F.lit("")).otherwise(point),
+    ).when(name == "amp", F.lit("&")).otherwise(F.try_element_at(named, name))
 
-def _code_point(digits: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(digits.cast("bigint")), 8, "0")), "UTF-32")
+
+def element_bodies(html: Column, tag: str) -> Column:
+    """Bodies of all outermost elements of a tag, those nested in them included.
+
+    The page is cut before each start and end tag; running depths tell the
+    pieces inside.  An element without an end tag lasts to the end of the page.
+    """
+    pieces = F.split(html, rf"(?i)(?=</?{tag}\b[^<>]*>)")
+    moves = F.transform(
+        pieces,
+        lambda p: F.when(p.rlike(rf"^(?i)<{tag}\b"), 1).when(p.rlike(rf"^(?i)</{tag}\b"), -1).otherwise(0),
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("depths"))
+    depths = F.aggregate(
+        moves,
+        start,
+        lambda acc, move: F.struct(
+            F.greatest(acc["depth"] + move, F.lit(0)).alias("depth"),
+            F.array_append(acc["depths"], F.greatest(acc["depth"] + move, F.lit(0))).alias("depths"),
+        ),
+        lambda acc: acc["depths"],
+    )
+    inside = F.zip_with(pieces, depths, lambda p, d: F.when(d > 0, F.regexp_replace(p, r"^<[^<>]*>", "")))
+    return F.array_join(F.filter(inside, lambda p: p.isNotNull() & (p != "")), NODE_BREAK)
 
 
 def shown_html(html: Column) -> Column:
@@ -79,7 +128,7 @@ def visible_of(shown: Column) -> Column:
 
 def main_of(shown: Column) -> Column:
     content = F.regexp_replace(shown, f"(?is){blocks(FRAME)}", "")
-    bodies = [F.regexp_extract(content, block_body(t), 1) for t in CONTENT]
+    bodies = [element_bodies(content, t) for t in CONTENT]
     # Bound to a variable: as a plain CASE the article would be searched for twice.
     body = F.transform(F.array(bodies[0]), lambda b: F.when(b != "", b).otherwise(bodies[1]))[0]
     return text_nodes(body)
@@ -91,7 +140,7 @@ def visible_text(html: Column) -> Column:
 
 
 def main_text(html: Column) -> Column:
-    """Text of the article (else main) element without page furniture; "" if none."""
+    """Text of all outermost article (else main) elements without page furniture; "" if none."""
     return main_of(shown_html(html))
 
 

@@ -22,6 +22,8 @@ def candidates(
 ) -> DataFrame:
     """The k best chunks of each question with their columns: ``query_id, query,
     keywords, first_rank, score, chunk...``; no filter applied."""
+    if chunks is not None:  # an encoding without its chunk must not take a place among the best
+        index = index.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     pairs, n_queries = best_pairs(queries, index, k, method)
     pairs = pairs.withColumnRenamed("rank", "first_rank")
     if n_queries * k <= MAX_BROADCAST_PAIRS:

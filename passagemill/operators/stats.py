@@ -18,9 +18,10 @@ def corpus_stats(chunks: DataFrame, by: str) -> DataFrame:
 def type_stats(lines: DataFrame, absent: str = "other") -> DataFrame:
     """Chunks per source type from JSON lines: a missing key counts as ``absent``,
     a blank or null value does not count."""
-    keys = F.json_object_keys("value")
+    keys = F.map_keys(F.from_json("value", "map<string,string>"))
     kind = F.when(
-        F.array_contains(keys, "source_type"), F.get_json_object("value", "$.source_type")
+        F.array_contains(keys, "source_type"),
+        F.from_json("value", "source_type string")["source_type"],
     ).otherwise(F.lit(absent))
     return corpus_stats(
         lines.where(is_object(F.col("value"))).select(kind.alias("source_type")), "source_type"

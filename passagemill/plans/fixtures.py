@@ -228,7 +228,8 @@ def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table as JSON lines with what real files contain besides: lines cut
-    short, blank lines, arrays, foreign keys, glued records and records without a type."""
+    short, blank lines, arrays, foreign keys, glued records, records without a type,
+    repeated keys and bare ``NaN``."""
     c = chunks(spark, sf_dir)
     record = F.to_json(F.struct(
         "chunk_id", "text", "title",
@@ -244,6 +245,8 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(first, F.concat(F.lit("["), record, F.lit("]"))),
         F.when(first, odd),
         F.when(first, F.concat(record, record)),
+        F.when(first, F.concat(F.lit('{"text": "older", '), F.substr(record, F.lit(2)))),
+        F.when(first, F.concat(F.lit('{"weight": NaN, '), F.substr(record, F.lit(2)))),
     ))).alias("value"))
 
 

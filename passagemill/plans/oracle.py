@@ -126,8 +126,13 @@ def body_of(html: str, tag: str) -> str:
 
 def nodes(html: str) -> str:
     text = "n"
-    for name, value in V.HTML_ENTITIES:
-        text = f"replace({text}, '{name.replace(chr(39), chr(39) * 2)}', {lit(value)})"
+    # references of the given pages and other common ones; the ampersand comes last
+    for name, value in (
+        ("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'"), ("&apos;", "\'"),
+        ("&copy;", "\xa9"), ("&reg;", "\xae"), ("&middot;", "\xb7"), ("&laquo;", "\xab"), ("&raquo;", "\xbb"),
+        ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
+    ):
+        text = f"replace({text}, '{name}', {lit(value)})"
     split = f"string_split_regex({html}, '<[/a-zA-Z!?][^<>]*>')"
     return (
         f"array_to_string(list_filter(list_transform({split}, lambda n: {strip(text)}), "
@@ -316,7 +321,7 @@ CTE: dict[str, str] = {
     "vec_index": """
     SELECT 'vec_' || e.vec_id AS chunk_id, d.raw_text AS text, d.title, d.source_type, d.url,
            e.embedding::DOUBLE[] AS v
-    FROM embeddings e LEFT JOIN docs d ON d.row_id = e.vec_id""",
+    FROM embeddings e JOIN docs d ON d.row_id = e.vec_id""",
     "means": """
     SELECT label, list(m ORDER BY i) AS v FROM (
       SELECT label, i, avg(x::DOUBLE) AS m FROM (
@@ -455,10 +460,11 @@ oracle("known_keys", """
 SELECT DISTINCT 'doc_id' AS key, doc_id AS value FROM own
 UNION ALL SELECT DISTINCT 'file_name', file_name FROM own WHERE file_name IS NOT NULL
 UNION ALL SELECT DISTINCT 'saved_as', saved_as FROM own WHERE saved_as IS NOT NULL""", "own")
-# Each document adds one array line (no record) and one record with a foreign key.
+# Each document adds an array line (no record), a record with a foreign key, one with
+# a repeated key and one with NaN.
 oracle("stats_by_type", """
 SELECT CASE WHEN source_type = 'portal' AND NOT odd THEN 'other' ELSE source_type END AS source_type, count(*) AS n
-FROM (SELECT source_type, unnest(CASE WHEN part = 0 THEN [false, true] ELSE [false] END) AS odd FROM chunks)
+FROM (SELECT source_type, unnest(CASE WHEN part = 0 THEN [false, true, false, false] ELSE [false] END) AS odd FROM chunks)
 GROUP BY 1""", "chunks")
 oracle("stats_by_date", "SELECT date, count(*) AS n FROM chunks GROUP BY date", "chunks")
 oracle("doc_labels", """
@@ -466,11 +472,12 @@ SELECT doc_id, coalesce(arg_min(file_name, chunk_id), arg_min(saved_as, chunk_id
 FROM chunks WHERE source_type = 'local' GROUP BY doc_id""", "chunks")
 oracle("jsonl_scan", """
 SELECT chunk_id, CASE WHEN source_type <> 'portal' OR odd THEN source_type END AS source_type, length(text) AS chars
-FROM (SELECT *, unnest(CASE WHEN part = 0 THEN [false, true] ELSE [false] END) AS odd FROM chunks)""", "chunks")
+FROM (SELECT *, unnest(CASE WHEN part = 0 THEN [false, true, false, false] ELSE [false] END) AS odd FROM chunks)""", "chunks")
 oracle("chunk_scan_strict", """
 SELECT chunk_id, source_type,
        2 + (file_name IS NOT NULL)::BIGINT + (saved_as IS NOT NULL)::BIGINT AS n_extra
-FROM chunks WHERE source_type <> 'portal'""", "chunks")
+FROM (SELECT *, unnest(CASE WHEN part = 0 THEN [1, 2] ELSE [1] END) FROM chunks)
+WHERE source_type <> 'portal'""", "chunks")
 oracle("log_tail", "SELECT doc_id, ts, query, verdict FROM lab ORDER BY ts DESC, doc_id DESC LIMIT 50", "lab")
 oracle("build_index", f"""
 SELECT chunk_id, 256::BIGINT AS dim, CASE WHEN len({words('text', 1)}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
@@ -596,9 +603,11 @@ def no_data(x: str) -> str:
 
 oracle("audit_answers", f"""
 SELECT query_id,
-       CASE WHEN k_max = 0 OR error IS NOT NULL THEN plain ELSE {mark('md', keywords('query', 12))} END AS markdown,
-       {ints('CASE WHEN k_max = 0 OR error IS NOT NULL THEN plain_used ELSE used END')} AS used_sources,
-       CASE WHEN k_max = 0 THEN plain_warnings
+       CASE WHEN lost THEN {strip('content')} WHEN k_max = 0 OR error IS NOT NULL THEN plain
+            ELSE {mark('md', keywords('query', 12))} END AS markdown,
+       {ints('CASE WHEN lost THEN used WHEN k_max = 0 OR error IS NOT NULL THEN plain_used ELSE used END')} AS used_sources,
+       CASE WHEN lost THEN concat_ws(',', 'question_not_found', 'llm_error: ' || error)
+            WHEN k_max = 0 THEN plain_warnings
             WHEN error IS NOT NULL THEN 'llm_error: ' || error
             ELSE concat_ws(',', CASE WHEN len(used) = 0 THEN 'no_citations_found' END,
                            CASE WHEN {no_data('content')} THEN 'llm_says_no_data' END) END AS warnings
@@ -608,8 +617,9 @@ FROM (
   FROM (
     SELECT *, {ensured('answer', 'used')} AS content FROM (
       SELECT c.query_id, c.answer, c.error, a.query, a.sources, a.markdown AS plain, a.used_sources AS plain_used,
-             a.warnings AS plain_warnings, coalesce(n.k, 0) AS k_max, {cites('c.answer', 'coalesce(n.k, 0)')} AS used
-      FROM completed c JOIN top_answers a USING (query_id)
+             a.warnings AS plain_warnings, coalesce(n.k, 0) AS k_max, {cites('c.answer', 'coalesce(n.k, 0)')} AS used,
+             a.markdown IS NULL AS lost
+      FROM completed c LEFT JOIN top_answers a USING (query_id)
       LEFT JOIN (SELECT query_id, least(count(*), 6) AS k FROM top GROUP BY 1) n USING (query_id))))""",
        "completed", "top_answers", "top")
 oracle("citation_map", """

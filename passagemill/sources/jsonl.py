@@ -48,9 +48,19 @@ def json_value(line: Column) -> Column:
     return F.when(F.size(elements) == 1, F.get(elements, F.lit(0)))
 
 
+def is_value(line: Column) -> Column:
+    """Whether a line holds exactly one JSON value; repeated keys and bare ``NaN`` are allowed.
+
+    Read as the elements of an array, see ``json_value``; VARIANT would refuse both.
+    """
+    elements = F.from_json(
+        F.concat(F.lit("["), line, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"}
+    )
+    return F.coalesce(F.size(elements) == 1, F.lit(False))
+
+
 def is_object(line: Column) -> Column:
-    kind = F.schema_of_variant(json_value(line))
-    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return F.coalesce(strip(line).startswith("{"), F.lit(False)) & is_value(line)
 
 
 def read_objects(
@@ -60,14 +70,18 @@ def read_objects(
 
 
 def parse_values(lines: DataFrame) -> DataFrame:
-    """Lines holding any JSON value, as VARIANT; other lines drop."""
-    parsed = lines.select(json_value(F.col("value")).alias("value"))
-    return parsed.where(F.col("value").isNotNull())
+    """Lines holding any JSON value: as VARIANT and as ``json`` text; other lines drop.
+
+    VARIANT is null where it cannot hold the value (repeated keys, bare ``NaN``).
+    """
+    return lines.where(is_value(F.col("value"))).select(
+        json_value(F.col("value")).alias("value"), F.col("value").alias("json")
+    )
 
 
 def parse_chunks(lines: DataFrame) -> DataFrame:
     """Strict chunk records: all required keys, no unknown key; null extra is empty."""
-    keys = F.json_object_keys("value")
+    keys = F.map_keys(F.from_json("value", "map<string,string>"))
     known = F.array(*[F.lit(k) for k in S.CHUNK_COLUMNS])
     required = F.array(*[F.lit(k) for k in S.CHUNK_REQUIRED])
     rows = parse_objects(lines, S.CHUNK)

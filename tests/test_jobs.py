@@ -183,6 +183,12 @@ def test_jsonl(spark, lines_path):
     strict = jsonl.read_chunks(spark, lines_path).collect()
     assert [r["extra"] for r in strict] == [{}, {}, {"k": "v"}]
     assert jsonl.read_objects(spark, lines_path + "-missing", S.CHUNK).count() == 0
+    odd = spark.createDataFrame([(v,) for v in (
+        '{"chunk_id": "a", "chunk_id": "b", "text": "t"}', '{"chunk_id": "c", "score": NaN}',
+        "{'chunk_id': 'd'}", '"{"', '{"chunk_id": "e"', '{"chunk_id": "f"}{}', '{"chunk_id": "g"}, {}', "", "NaN",
+    )], "value string")
+    assert [r["chunk_id"] for r in jsonl.parse_objects(odd, S.CHUNK).collect()] == ["b", "c"]
+    assert [r["json"] for r in jsonl.parse_values(odd).collect()] == [odd.collect()[n][0] for n in (0, 1, 3, 8)]
     with pytest.raises(Exception, match="broken JSONL line"):
         jsonl.read_objects(spark, lines_path, S.CHUNK, strict=True).collect()
 

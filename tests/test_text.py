@@ -173,6 +173,27 @@ def test_html(run):
     assert run(H.visible_text, "1 < 2 &amp;lt; 3") == "1 < 2 &lt; 3"
 
 
+def test_character_references(run):
+    for raw, plain in {
+        "AT&#38;T &#x26; &amp;": "AT&T & &", "caf&eacute; &euro;5 &#x27;x&#X27; &#039;": "café €5 'x' '",
+        "&amp;lt; &#38;amp; &amp;#38;": "&lt; &amp; &#38;", "&#55357;&#xDE00; &#0;": "�� �",
+        "&#128512;&#x1F600;": "😀😀", "&#99999999999999999999;&#x110000;": "��",
+        "&unknown; & &amp &;": "&unknown; & &amp &;", "&Auml;&auml;&apos;": "Ää'", "a&#1;b&#10;c": "ab\nc", "": "",
+    }.items():
+        assert run(H.decode_entities, raw) == plain
+
+
+def test_all_outermost_articles(run):
+    page = (
+        "<p>out</p><article>one<article class='x'>two</article>three</article><p>between</p>"
+        "<ARTICLE>four</ARTICLE></article>out<article>five<main>six"
+    )
+    assert run(H.main_text, page) == "one\ntwo\nthree\nfour\nfive\nsix"
+    assert run(H.main_text, "<article></article><article> </article><main>m</main>") == ""
+    assert run(H.main_text, "<article></article><main>m<article></article></main>n") == "m"
+    assert run(H.main_text, "<main>a</main>b<main>c</main>") == "a\nc"
+
+
 def test_clean_lines(run):
     table = "|" * 11
     assert run(H.clean_lines, f" a b\nx\n\n{table}\n| | +\nkeep  this\x85and that\n") == (
