@@ -53,6 +53,7 @@ def parts_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers live on between batches and jobs
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

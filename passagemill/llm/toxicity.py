@@ -37,7 +37,7 @@ BLOCK = 512
 ROUNDS = (1, 3, 0)  # blocks visited together: the best, three more, all the bound leaves
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
 PART_BYTES = 4 << 20  # of texts split into words together
-REMEMBERED = 100_000  # answers a worker keeps for texts with the same terms
+REMEMBERED = 20_000  # answers a worker keeps for texts with the same terms
 SUPPORT = 5  # examples a term needs
 EVIDENCE = 10.0  # log-likelihood ratio a term needs: the sample has some e**10 terms, so chance alone yields about one
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")  # signs around a word
