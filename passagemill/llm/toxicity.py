@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine, block-max inverted index.
 
-Terms are words and their first letters; those that tell toxic examples from
-others are selected on a bounded sample of labelled rows (``SAMPLE``), which
-also gives the examples.  A further term says how many selected terms a text
-has.  Document frequencies come from all documents.  The inverted index keeps
-examples in blocks with the greatest weight of each term; a query visits blocks
-by falling bound in three rounds, each without the blocks that cannot reach its
-k best so far, so the result is exact.  Votes weigh by similarity and are calibrated by isotonic regression on
-the examples' own leave-one-out votes.
-
-Cases: null, empty and term-free texts get the rate among such examples; equal
-similarities go to the smaller example id; without any labelled row every score
-is 0; repeated rows score alike; an empty table gives no rows; other columns
-are kept by ``with_scores``.
+The features of a text are all its words that some example has, weighted by the
+document frequencies of all documents.  Terms (words and their first letters)
+that tell toxic examples from others, and the number of such terms, are further
+features: where a text has any, they make up ``EXTRA`` of its squared length.
+Examples are a bounded sample of labelled rows (``SAMPLE``).
+
+The inverted index keeps examples in blocks, those of similar length together.
+Queries are scored in batches: postings of rare features are added up, which
+with the greatest weight of each common feature bounds every block; common
+features are multiplied out only in blocks that can still reach a query's k
+best.  What is within rounding of the k best is scored again in double
+precision, so the result is exact.  Votes weigh by similarity and are calibrated
+by isotonic regression on the examples' own leave-one-out votes.
+
+Cases: null and empty texts, and those that share no word with any example, get
+the rate among such examples; equal similarities go to the smaller example id;
+without any labelled row every score is 0; repeated rows score alike; an empty
+table gives no rows; other columns are kept by ``with_scores``.
 """
 
 from __future__ import annotations
@@ -34,14 +39,17 @@ SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
 TERMS = 2_048
 NEIGHBOURS = 15
 BLOCK = 512
-ROUNDS = (1, 3, 0)  # blocks visited together: the best, three more, all the bound leaves
+BATCH = 64  # texts scored together
+COMMON = 1 / 16  # share of the examples from which a feature is multiplied out
+SLACK = 2e-5  # far above the rounding of single precision
+EXTRA = 0.8  # of the squared length, for the selected terms of a text that has any
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
 PART_BYTES = 4 << 20  # of texts split into words together
-REMEMBERED = 20_000  # answers a worker keeps for texts with the same terms
 SUPPORT = 5  # examples a term needs
 EVIDENCE = 10.0  # log-likelihood ratio a term needs: the sample has some e**10 terms, so chance alone yields about one
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")  # signs around a word
 PREFIXES = (4, 5, 6)
+COUNTED = 1 << 14  # features whose counts travel together
 NUMBERS = ("#1", "#2", "#3", "#4")  # one to three selected words, and more
 
 SCORED = "toxic_score double, toxic int, evidence_id array<long>, evidence_similarity array<double>"
@@ -66,126 +74,209 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Selected terms with their numbers."""
+    """Selected terms with their numbers, and after them the words of all examples."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], words: pa.Array | None = None):
         self.number = {t: n for n, t in enumerate([*NUMBERS, *terms])}
         self.heads = {t.rstrip("*")[: PREFIXES[0]] for t in terms}  # of all words that have a term
+        self.words = pa.array([], pa.string()) if words is None else words
 
-    def __call__(self, texts: list[str | None]) -> list[dict[int, int]]:
-        """How often each text has each of its terms."""
-        out: list[dict[int, int]] = [{} for _ in texts]
-        hits = [0] * len(texts)
+    def __len__(self) -> int:
+        return len(self.number) + len(self.words)
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each text has each of its features: ends of the texts from 0 on, features, counts."""
         text, code, words = coded_words(texts)
+        found = pa.compute.index_in(pa.array(words, pa.string()), value_set=self.words)
+        word = np.asarray(pa.compute.fill_null(found, -1), dtype=np.int64) + len(self.number)
         known = {}
-        for n, word in enumerate(words):
-            if word[: PREFIXES[0]] in self.heads and (found := [self.number[t] for t in terms_of(word) if t in self.number]):
-                known[n] = found
-        matched = np.zeros(len(words), bool)
-        matched[list(known)] = True
-        at = np.flatnonzero(matched[code])
-        for n, c in zip(text[at].tolist(), code[at].tolist()):
-            hits[n] += 1
-            own = out[n]
-            for t in known[c]:
-                own[t] = own.get(t, 0) + 1
-        for own, n in zip(out, hits):
-            if n:
-                own[min(n, len(NUMBERS)) - 1] = 1
-        return out
+        for n, w in enumerate(words):
+            if w[: PREFIXES[0]] in self.heads and (own := [self.number[t] for t in terms_of(w) if t in self.number]):
+                known[n] = own
+        selected = np.zeros(len(words), np.int64)
+        selected[list(known)] = [len(own) for own in known.values()]
+        flat = np.array([t for own in known.values() for t in own], np.int64)
+        tokens, wide = selected[code], len(self)
+        low = (np.cumsum(selected) - selected)[code]
+        hits = np.bincount(text[tokens > 0], minlength=len(texts))
+        some = np.flatnonzero(hits)
+        as_word = word[code] >= len(self.number)
+        cells = np.concatenate([
+            text[as_word] * wide + word[code[as_word]],
+            np.repeat(text, tokens) * wide + flat[ragged(low, tokens)],
+            some * wide + np.minimum(hits[some], len(NUMBERS)) - 1,
+        ])
+        cells, number = np.unique(cells, return_counts=True)
+        row, feature = np.divmod(cells, max(wide, 1))
+        return np.searchsorted(row, np.arange(len(texts) + 1)), feature, number
+
+    def __call__(self, texts: list[str | None]) -> list[dict[int, int]]:
+        ends, feature, number = self.counts(texts)
+        return [dict(zip(feature[a:b].tolist(), number[a:b].tolist())) for a, b in zip(ends, ends[1:])]
+
+
+class Lists:
+    """Slices of one array."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        self.flat, self.ends = flat, ends
+
+    def __getitem__(self, n: int) -> np.ndarray:
+        return self.flat[self.ends[n] : self.ends[n + 1]]
+
+
+def sparse(counts: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = [sorted(c.items()) for c in counts]
+    ends = np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
+    return ends, np.array([t for r in rows for t, _ in r], np.int64), np.array([n for r in rows for _, n in r])
 
 
 class Index:
-    """Block-max inverted index of the examples and calibrated votes."""
+    """Block-max inverted index of the examples and calibrated votes.
+
+    Examples are (id, label, counts), or arrays of ids and labels with the arrays of ``Terms.counts``.
+    """
 
-    def __init__(self, terms: Terms, frequency: np.ndarray, documents: int, examples: list[tuple[int, int, dict[int, int]]]):
+    def __init__(self, terms: Terms, frequency: np.ndarray, documents: int, examples: list | tuple):
         self.terms = terms
         self.idf = np.log((documents + 1) / (frequency + 1)) + 1e-3
-        with_terms = [(self.weights(counts), i, y) for i, y, counts in examples if counts]
-        with_terms.sort(key=lambda e: (max(e[0], key=lambda t: (e[0][t], t)), e[1]))  # alike in one block
-        self.ids = np.array([i for _, i, _ in with_terms], np.int64)
-        self.labels = np.array([y for _, _, y in with_terms], float)
-        blocks = -(-len(with_terms) // BLOCK)
-        self.bound = np.zeros((len(frequency), max(blocks, 1)))
-        postings: list[list[tuple[int, float]]] = [[] for _ in frequency]
-        for n, (weights, _, _) in enumerate(with_terms):
-            for t, w in weights.items():
-                postings[t].append((n, w))
-                self.bound[t, n // BLOCK] = max(self.bound[t, n // BLOCK], w)
-        self.places = [np.array([n for n, _ in p], np.int64) for p in postings]
-        self.values = [np.array([w for _, w in p]) for p in postings]
-        edges = np.arange(blocks + 1) * BLOCK
-        self.starts = [np.searchsorted(p, edges) for p in self.places]
-        without = [y for _, y, counts in examples if not counts]
-        base = sum(y for _, y, _ in examples) / max(len(examples), 1)
-        self.empty = (sum(without) + base) / (len(without) + 1) if examples else 0.0
+        if isinstance(examples, list):
+            examples = (np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], float),
+                        *sparse([c for _, _, c in examples]))
+        ids, labels, ends, feature, number = examples
+        sizes = np.diff(ends)
+        order = np.lexsort((ids, sizes))  # of similar length in one block
+        order = order[sizes[order] > 0]
+        self.ids, self.labels = ids[order], np.asarray(labels, float)[order]
+        self.ends = np.r_[0, np.cumsum(sizes[order])]
+        at = ragged(ends[order], sizes[order])
+        self.feature, self.number = feature[at].astype(np.int32), number[at].astype(np.int32)
+        base = float(np.sum(labels)) / max(len(ids), 1)
+        without = np.asarray(labels, float)[sizes == 0]
+        self.empty = (float(without.sum()) + base) / (len(without) + 1) if len(ids) else 0.0
         self.steps = (np.zeros(1), np.full(1, base))
-        self.answers: dict = {}
-        own = range(0, len(with_terms), max(1, -(-len(with_terms) // CALIBRATION)))
-        votes = np.array([self.vote(with_terms[n][0], skip=n)[0] for n in own])
-        if len(votes):
-            self.steps = isotonic(votes, self.labels[list(own)])
+        self.build()
+        own = np.arange(0, len(self.ids), max(1, -(-len(self.ids) // CALIBRATION)))
+        if len(own):
+            at = ragged(self.ends[own], np.diff(self.ends)[own])
+            asked = np.r_[0, np.cumsum(np.diff(self.ends)[own])], self.feature[at], self.weight[at]
+            votes = np.array([self.vote(*found) for found in self.best(*asked, skip=own)])
+            self.steps = isotonic(votes, self.labels[own])
+
+    def __getstate__(self) -> dict:
+        built = ("weight", "places", "values", "column", "dense", "bound", "same")  # made anew where they are used
+        return {k: v for k, v in self.__dict__.items() if k not in built}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.build()
+
+    def build(self) -> None:
+        number, features = len(self.ids), len(self.idf)
+        self.weight = self.weighted(self.ends, self.feature, self.number)
+        row = np.repeat(np.arange(number, dtype=np.int32), np.diff(self.ends))
+        order = np.argsort(self.feature, kind="stable")
+        sizes = np.bincount(self.feature, minlength=features)
+        ends = np.r_[0, np.cumsum(sizes)]
+        self.places = Lists(row[order], ends)
+        self.values = Lists(self.weight[order].astype(np.float32), ends)
+        common = np.flatnonzero(sizes > number * COMMON)
+        self.column = np.full(features, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        blocks = max(1, -(-number // BLOCK))
+        self.dense = np.zeros((blocks, len(common), BLOCK), np.float32)
+        cell = np.flatnonzero(self.column[self.feature] >= 0)
+        block, place = np.divmod(row[cell], BLOCK)
+        self.dense[block, self.column[self.feature[cell]], place] = self.weight[cell]
+        self.bound = self.dense.max(axis=2).T
+        first: dict[bytes, int] = {}  # equal examples are scored once
+        self.same = np.array([
+            first.setdefault(self.feature[a:b].tobytes() + self.number[a:b].tobytes(), n)
+            for n, (a, b) in enumerate(zip(self.ends.tolist(), self.ends[1:].tolist()))
+        ], np.int64)
+
+    def weighted(self, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Weights of the features of each text, of length one."""
+        raw = (1 + np.log(number)) * self.idf[feature]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        extra = feature < len(self.terms.number)
+        length = np.array([np.bincount(row[kind], raw[kind] ** 2, len(ends) - 1) for kind in (extra, ~extra)])
+        share = np.where((length > 0).all(axis=0), np.array([[EXTRA], [1 - EXTRA]]), 1.0)
+        scale = np.sqrt(share / np.where(length > 0, length, 1.0))
+        return raw * scale[np.where(extra, 0, 1), row]
 
     def weights(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in sorted(raw.items())}
+        ends, feature, number = sparse([counts])
+        return dict(zip(feature.tolist(), self.weighted(ends, feature, number).tolist()))
+
+    def best(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple]:
+        """For each text its nearest examples and their cosines, best first: exactly the k best above zero."""
+        buffer = np.zeros(len(self.idf))
+        for low in range(0, len(ends) - 1, BATCH):
+            part = ends[low : low + BATCH + 1]
+            span = slice(part[0], part[-1])
+            near = self.candidates(part - part[0], feature[span], weight[span], NEIGHBOURS + (skip is not None))
+            for n, places in enumerate(near):
+                if skip is not None:
+                    places = places[places != skip[low + n]]
+                own = slice(part[n], part[n + 1])
+                buffer[feature[own]] = weight[own]
+                kinds, kind = np.unique(self.same[places], return_inverse=True)
+                sizes = self.ends[kinds + 1] - self.ends[kinds]
+                at = ragged(self.ends[kinds], sizes)
+                exact = np.bincount(np.repeat(np.arange(len(kinds)), sizes), buffer[self.feature[at]] * self.weight[at], len(kinds))[kind]
+                buffer[feature[own]] = 0
+                order = np.lexsort((self.ids[places], -np.round(exact, 9)))
+                order = order[exact[order] > 0][:NEIGHBOURS]
+                yield places[order], exact[order]
+
+    def candidates(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each text of a batch the examples that are among its k best up to rounding."""
+        texts, blocks = len(ends) - 1, len(self.dense)
+        row = np.repeat(np.arange(texts), np.diff(ends))
+        column = self.column[feature]
+        common, rare = column >= 0, column < 0
+        asked = np.zeros((texts, self.dense.shape[1]), np.float32)
+        asked[row[common], column[common]] = weight[common]
+        first = self.places.ends[feature[rare]]
+        sizes = self.places.ends[feature[rare] + 1] - first
+        at = ragged(first, sizes)
+        cell = np.repeat(row[rare] * (blocks * BLOCK), sizes) + self.places.flat[at]
+        amount = np.repeat(weight[rare], sizes) * self.values.flat[at]
+        scores = np.bincount(cell, amount, texts * blocks * BLOCK).astype(float).reshape(texts, blocks, BLOCK)
+        bounds = scores.max(axis=2) + asked @ self.bound
+        top = np.zeros((texts, k))
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
+            visit = bounds[:, b] > np.maximum(top[:, 0] - SLACK, 0)
+            scores[~visit, b] = 0
+            own = np.flatnonzero(visit)
+            if len(own):
+                scores[own, b] += asked[own] @ self.dense[b]
+                seen = np.concatenate([top[own], scores[own, b]], axis=1)
+                top[own] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
+        scores = scores.reshape(texts, blocks * BLOCK)
+        place = np.nonzero((scores >= top[:, :1] - SLACK) & (scores > 0))
+        return np.split(place[1], np.searchsorted(place[0], np.arange(1, texts)))
 
     def nearest(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and their cosines, best first: exactly the k best above zero."""
-        terms, amounts = list(query), list(query.values())
-        bounds = np.array(amounts) @ self.bound[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
-        low = 0
-        for width in ROUNDS:
-            if low >= len(order):
-                break
-            blocks = order[low : low + width] if width else order[low:]
-            low += len(blocks)
-            if len(scores) >= NEIGHBOURS:
-                blocks = blocks[bounds[blocks] >= scores[-1] - 1e-12]
-                if not len(blocks):
-                    break
-            first, last = int(blocks.min()), int(blocks.max()) + 1
-            own = np.zeros((last - first) * BLOCK)
-            for t, w in zip(terms, amounts):
-                a, b = self.starts[t][first], self.starts[t][last]
-                own[self.places[t][a:b] - first * BLOCK] += w * self.values[t][a:b]
-            seen = own.reshape(-1, BLOCK)[blocks - first].ravel()
-            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = np.flatnonzero(seen > 0)
-            if skip >= 0:
-                hit = hit[at[hit] != skip]
-            found = np.round(seen[hit], 9)
-            if len(hit) > NEIGHBOURS:  # ties with the least of the best stay
-                least = np.partition(found, len(found) - NEIGHBOURS)[-NEIGHBOURS]
-                hit, found = hit[found >= least], found[found >= least]
-            places, scores = np.r_[places, at[hit]], np.r_[scores, seen[hit]]
-            best = np.lexsort((self.ids[places], -np.round(scores, 9)))[:NEIGHBOURS]
-            places, scores = places[best], scores[best]
-        return places, scores
-
-    def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        places, scores = self.nearest(query, skip)
+        feature = np.array(list(query), np.int64)
+        return next(self.best(np.array([0, len(query)]), feature, np.array(list(query.values()), float), np.array([skip])))
+
+    def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
         if not len(places):
-            return self.empty, places, scores
+            return self.empty
         near = scores**4  # close examples count most
-        return float((near * self.labels[places]).sum() / near.sum()), places, scores
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        """Rate of toxicity and the evidence for a text of these terms."""
-        if not counts or not len(self.ids):
-            return self.empty, [], []
-        key = tuple(sorted(counts.items()))
-        if key not in self.answers:
-            if len(self.answers) >= REMEMBERED:
-                self.answers.clear()
-            raw, places, scores = self.vote(self.weights(counts))
-            rate = float(np.interp(raw, *self.steps)) if len(places) else self.empty
-            self.answers[key] = rate, self.ids[places].tolist(), np.round(scores, 6).tolist()
-        return self.answers[key]
+        return float((near * self.labels[places]).sum() / near.sum())
+
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Rate of toxicity and the evidence for each text."""
+        if not len(self.ids):
+            yield from ((self.empty, [], []) for _ in texts)
+            return
+        ends, feature, number = self.terms.counts(texts)
+        for places, scores in self.best(ends, feature, self.weighted(ends, feature, number)):
+            rate = float(np.interp(self.vote(places, scores), *self.steps)) if len(places) else self.empty
+            yield rate, self.ids[places].tolist(), np.round(scores, 6).tolist()
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,39 +332,68 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
         )
 
     counted = train.mapInArrow(count, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = counted.where("term = ''").first()
-    number, bad = (whole["n"], whole["bad"]) if whole else (0, 0)
-    base = max(bad / max(number, 1), 1e-9)
-    rate, good = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
-    other = F.when(good > 0, good * F.log((1 - rate) / (1 - min(base, 1 - 1e-9)))).otherwise(0.0)
-    gain = F.col("bad") * F.log(rate / base) + other
-    best = counted.where((F.col("term") != "") & (F.col("bad") >= SUPPORT) & (rate > base) & (gain > EVIDENCE))
-    terms = Terms([r[0] for r in best.orderBy(gain.desc(), "term").limit(TERMS).collect()])
+    found = counted.toArrow().combine_chunks()  # of the sample
+    term = found.column("term")
+    n, bad = (np.asarray(found.column(c), dtype=np.int64) for c in ("n", "bad"))
+    whole = np.asarray(pa.compute.equal(term, ""), dtype=bool)
+    base = max(float(bad[whole].sum()) / max(int(n[whole].sum()), 1), 1e-9)
+    rate, good = bad / np.maximum(n, 1), n - bad
+    with np.errstate(divide="ignore", invalid="ignore"):
+        other = np.where(good > 0, good * np.log((1 - rate) / (1 - min(base, 1 - 1e-9))), 0.0)
+        gain = np.where(bad > 0, bad * np.log(rate / base), 0.0) + other
+    strong = np.flatnonzero(~whole & (bad >= SUPPORT) & (rate > base) & (gain > EVIDENCE))
+    best = sorted(zip((-gain[strong]).tolist(), term.take(pa.array(strong)).to_pylist()))[:TERMS]
+    vocabulary = term.filter(pa.compute.invert(pa.compute.or_(pa.array(whole), pa.compute.ends_with(term, "*"))))
+    if isinstance(vocabulary, pa.ChunkedArray):
+        vocabulary = vocabulary.combine_chunks()
+    terms = Terms([t for _, t in best], vocabulary.cast(pa.string()))
+    shipped = spark.sparkContext.broadcast(terms)
+    del found, term
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(terms.number) + 1, np.int64)
+        own = shipped.value
+        seen = np.zeros(len(own) + 1, np.int64)
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
                 seen[-1] += part.num_rows
-                for counts in terms(part.column(0).to_pylist()):
-                    if counts:
-                        seen[list(counts)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], names=["term", "n"])
+                seen[:-1] += np.bincount(own.counts(part.column(0).to_pylist())[1], minlength=len(own))
+        starts = np.arange(0, len(seen), COUNTED)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(starts), pa.array([seen[a : a + COUNTED].tobytes() for a in starts], pa.binary())], names=["low", "n"]
+        )
+
+    def total(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in rows:
+            for one in batch.column(1).to_pylist():
+                own = np.frombuffer(one, np.int64)
+                out = own if out is None else out + own
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([out.tobytes()], pa.binary())], names=["low", "n"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
         for batch in batches:
-            counts = [c for part in parts_of(batch, "text", PART_BYTES) for c in terms(part.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                names=["id", "y", "term", "n"],
-            )
-
-    seen = np.zeros(len(terms.number) + 1, np.int64)
-    for row in texts.select("text").mapInArrow(occur, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        seen[row[0]] = row[1]
-    rows = train.mapInArrow(describe, "id long, y int, term array<int>, n array<int>").dropDuplicates(["id"]).orderBy("id").collect()
-    examples = [(r[0], r[1], dict(zip(r[2], r[3]))) for r in rows]  # at most the sample
+            for part in parts_of(batch, "text", PART_BYTES):
+                ends, feature, number = own.counts(part.column(2).to_pylist())
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (feature, number)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "y", "term", "n"])
+
+    seen = np.zeros(len(terms) + 1, np.int64)
+    parts = texts.select("text").mapInArrow(occur, "low long, n binary").groupBy("low").applyInArrow(total, "low long, n binary")
+    for row in parts.toLocalIterator():
+        own = np.frombuffer(row[1], np.int64)
+        seen[row[0] : row[0] + len(own)] = own
+    rows = train.mapInArrow(describe, "id long, y int, term array<int>, n array<int>").toArrow()  # at most the sample
+    ids, labelled = (np.asarray(rows.column(c), dtype=np.int64) for c in ("id", "y"))
+    sizes = np.asarray(pa.compute.list_value_length(rows.column("term")), dtype=np.int64)
+    flat = [np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.flatten()) for c in rows.column(x).chunks)]) for x in ("term", "n")]
+    # repeated ids: one row each, the one of the fewest and least features
+    low = np.cumsum(sizes) - sizes
+    order = sorted(range(len(ids)), key=lambda r: (ids[r], sizes[r], flat[0][low[r] : low[r] + sizes[r]].tobytes()))
+    order = np.array([r for n, r in enumerate(order) if not n or ids[r] != ids[order[n - 1]]], np.int64)
+    at = ragged(low[order], sizes[order])
+    examples = ids[order], labelled[order], np.r_[0, np.cumsum(sizes[order])], flat[0][at], flat[1][at]
     return Index(terms, seen[:-1], int(seen[-1]), examples)
 
 
@@ -287,7 +407,7 @@ def with_scores(docs: DataFrame, index: Index) -> DataFrame:
         own = shipped.value
         for batch in batches:
             parts = parts_of(batch, "text", PART_BYTES)
-            found = [own.score(counts) for part in parts for counts in own.terms(part.column(at).to_pylist())]
+            found = [f for part in parts for f in own.score(part.column(at).to_pylist())]
             scores = np.clip([f[0] for f in found], 0.0, 1.0)
             added = [
                 pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),

@@ -307,3 +307,18 @@ def test_pipeline_runs_and_stages_keep_columns(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == kept
     assert common.merged([(3, 5), (1, 3), (8, 9)]) == [(1, 5), (8, 9)]
+
+
+def test_toxicity_finds_copies_in_rare_words(spark):
+    """One toxic example without any selected term, its copy, and texts that share a word only."""
+    rare = "quolm brindlex zofty marwick pelg " * 3
+    rows = [(n, "plain talk of " + " ".join(words(n, 12))) for n in range(60)]
+    rows += [(n, "vile slur here " + " ".join(words(n, 12))) for n in range(60, 90)]
+    rows += [(90, rare), (91, rare), (92, rare.replace("zofty", "other")), (93, "brindlex"), (94, "unseen entirely")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, int(n >= 60)) for n in range(91)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.with_scores(docs, toxicity.learn(docs, labels)).collect()}
+    for n, least in ((91, 0.999999), (92, 0.6), (93, 0.1)):
+        assert got[n]["evidence_id"][0] == 90 and got[n]["evidence_similarity"][0] >= least
+    assert got[91]["toxic"] == got[92]["toxic"] == 1
+    assert got[94]["evidence_id"] == []
