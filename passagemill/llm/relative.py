@@ -10,9 +10,12 @@ continue in an earlier document, and the window starts at the factor's end are
 checked one by one before the parse goes on.  As equal windows have equal
 anchors, each phrase meets every phrase that can match it in one block.
 
-Phrases that are equal within a task travel once, with the least id; the others
-are settled on the spot, so a passage that a third of all documents share does
-not gather in one block.
+Phrases that are equal within a task travel with their words once, with the least
+id; the others are settled on the spot.  Settled ones are dealt evenly over blocks
+of their own and pass through as Arrow columns, so a passage that a third of all
+documents share does not gather in one block.  Around an anchor with more than
+``HOT`` phrases, whose edges differ from document to document, every window is a
+phrase of its own and goes to the block of its own hash.
 
 Cases: null and blank texts have no words; a null id counts as later than all;
 rows of one id do not remove each other; an empty table gives no rows; other
@@ -36,6 +39,8 @@ WINDOW = 13
 GRAM = 4
 BLOCK_PHRASES = 40_000  # phrases of a block, about
 LAST = (1 << 63) - 1  # stands for a null id
+HOT = 1_000  # phrases of an anchor beyond which its windows are dealt one by one
+SEEN = 50_000  # phrases a task remembers with their least id
 
 PHRASES = "block int, key long, doc long, text_key binary, first long, last long, phrase binary"
 
@@ -75,8 +80,8 @@ def factor(words: list[bytes], first: int, last: int, doc: int, index: dict[byte
     return spans
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc, text_key, low, high``: words of each row under windows of an earlier document."""
+def dealt_phrases(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Phrases around repeated anchors with their block; settled ones have no words and blocks below zero."""
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_key().alias("text_key"),
         text_bytes().alias("text"),
@@ -89,10 +94,34 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     repeated = repeated_keys(texts.mapInArrow(count, "key long, n long, gram binary"))
     known = shipped_keys(repeated)
+    often = repeated.where(F.col("n") > HOT).select("key").toArrow().column(0).to_numpy()  # one in HOT phrases at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(often))
     total = repeated.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_PHRASES))
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        seen: dict[tuple[int, bytes], int] = {}
+        turn = 0
+
+        def deal(k: int, phrase: bytes, places: list, single: bool) -> Iterator[tuple]:
+            nonlocal turn
+            least = min(min(places)[0], seen.get((k, phrase), LAST))
+            seen[k, phrase] = least
+            for one in places:
+                # the least id travels with the words; later ones are settled
+                if one[0] > least:
+                    turn += 1
+                    yield -1 - turn % blocks, k, *one, None
+                elif single:
+                    words = phrase.split(b" ")
+                    for n in range(len(words) - window + 1):
+                        own = (one[0], one[1], one[2] + n, one[2] + n)
+                        yield from deal(k, b" ".join(words[n : n + window]), [own], False)
+                else:
+                    yield (xxh64_intdigest(phrase) if k in own_hot else k) % blocks, k, *one, phrase
+
         for batch in batches:
             for rows, part, base in _parts(batch, window):
                 text, first, end, _, keys = _runs(part, window)
@@ -104,15 +133,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for k, t, a, e in zip(*(x[kept].tolist() for x in (keys.view(np.int64), text, first, end))):
                     phrase = b" ".join(part[t][a : e - 1 + window])
                     found.setdefault((k, phrase), []).append((docs_of[t], texts_of[t], base[t] + a, base[t] + e - 1))
-                out = []
-                for (k, phrase), places in found.items():
-                    least = min(places)
-                    for one in places:
-                        # the least id travels with the words; later ones are settled
-                        if one is least or one[0] == least[0]:
-                            out.append((k % blocks, k, *one, phrase))
-                        else:
-                            out.append((k % blocks, k, *one, None))
+                own_hot = set(keys.view(np.int64)[kept][among(keys[kept], hot)].tolist())
+                out = [row for (k, phrase), places in found.items() for row in deal(k, phrase, places, k in own_hot)]
+                if len(seen) > SEEN:
+                    seen.clear()
                 columns = list(zip(*out))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["block", "key", "doc", "text_key", "first", "last", "phrase"]
@@ -121,8 +145,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = texts.mapInArrow(phrases, PHRASES)
     if known is None:
         found = found.join(repeated.select("key"), "key", "left_semi").select(*found.columns)
+    return found
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc, text_key, low, high``: words of each row under windows of an earlier document."""
+    found = dealt_phrases(docs, window)
+    spans = pa.schema([("doc", pa.int64()), ("text_key", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
 
     def parse(key: tuple, block: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            high = pa.compute.add(block.column("last"), window)
+            return pa.table([block.column("doc"), block.column("text_key"), block.column("first"), high], schema=spans)
         rows = sorted(zip(*(block.column(c).to_pylist() for c in ("key", "doc", "text_key", "first", "last", "phrase"))), key=lambda r: r[:2])
         out, low = [], 0
         while low < len(rows):
@@ -132,9 +166,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             index: dict[bytes, int] = {}
             own = []
             for _, doc, tkey, first, last, phrase in rows[low:high]:
-                if phrase is None:
-                    out.append((doc, tkey, first, last + window))
-                    continue
                 words = phrase.split(b" ")
                 own.append((words, doc, tkey, first, last))
                 for i in range(last - first + 1):
@@ -144,8 +175,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     out += [(doc, tkey, a, b) for a, b in factor(words, first, last, doc, index, window)]
             low = high
         columns = list(zip(*out)) if out else [(), (), (), ()]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "text_key", "low", "high"])
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, spans)], schema=spans)
 
     return found.groupBy("block").applyInArrow(parse, "doc long, text_key binary, low long, high long")
 

@@ -322,3 +322,21 @@ def test_toxicity_finds_copies_in_rare_words(spark):
         assert got[n]["evidence_id"][0] == 90 and got[n]["evidence_similarity"][0] >= least
     assert got[91]["toxic"] == got[92]["toxic"] == 1
     assert got[94]["evidence_id"] == []
+
+
+def test_relative_dedup_spreads_a_hot_passage(spark, monkeypatch):
+    """A passage of every second text: no block takes it all, and all copies but the first go."""
+    passage = " ".join(words(77, 40))
+    texts = [" ".join(words(1000 + n, 15)) + (" " + passage if n % 2 else "") for n in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(relative, "BLOCK_PHRASES", 100)
+    monkeypatch.setattr(relative, "HOT", 50)
+    blocks = relative.dealt_phrases(docs).groupBy("block").count().toPandas()
+    assert blocks["count"].sum() > 3000 and blocks["count"].max() < 500
+    got = {r["doc_id"]: r["n_removed"] for r in relative.remove_repeats(docs).collect()}
+    seen = set()
+    for n, t in enumerate(texts):
+        own = t.split()
+        grams = [tuple(own[i : i + 13]) for i in range(len(own) - 12)]
+        assert got[n] == len({i + j for i, g in enumerate(grams) if g in seen for j in range(13)})
+        seen.update(grams)
