@@ -46,7 +46,8 @@ class Encoder:
     cut before each space that follows a character which is no white space.
     Arrow tells the words apart, so Python sees each once per call; new ones are
     encoded as runs of text, which the byte lengths of their ids cut again.
-    Texts with white space before a space or at an end are encoded uncut.
+    Texts with white space before a space or at an end are encoded uncut, and so
+    are texts with the literal of an added token, which the tokenizer takes out first.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         names = self.tokenizer.get_vocab()
         self.width = np.zeros(max(names.values()) + 1, np.int64)
         for name, number in names.items():
@@ -94,7 +96,10 @@ class Encoder:
         """Ids of all texts in a row, and the number of ids of each."""
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        uncut = [t[:1].isspace() or t[-1:].isspace() or SPACE_RUN.search(t) is not None for t in texts]
+        uncut = [
+            t[:1].isspace() or t[-1:].isspace() or SPACE_RUN.search(t) is not None or (self.added and self.added.search(t)) is not None
+            for t in texts
+        ]
         # the part before the first space stands after none: it is encoded by itself, as an uncut text is
         heads = self.whole([t if whole else t.partition(" ")[0] for t, whole in zip(texts, uncut)])
         rest = pa.array(["" if whole else t.partition(" ")[2] for t, whole in zip(texts, uncut)], pa.large_string())

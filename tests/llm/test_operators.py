@@ -340,3 +340,14 @@ def test_relative_dedup_spreads_a_hot_passage(spark, monkeypatch):
         grams = [tuple(own[i : i + 13]) for i in range(len(own) - 12)]
         assert got[n] == len({i + j for i, g in enumerate(grams) if g in seen for j in range(13)})
         seen.update(grams)
+
+
+def test_encoder_gives_a_fresh_tokenizers_ids_for_added_tokens():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a b<|endoftext|>c d", "plain words here", "no <|endof text|> here"]
+    ids, counts = packing.Encoder(tokenizer_path()).encode(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert fresh.encode(text, add_special_tokens=False).ids == own.tolist()
+    assert 50256 in ids
