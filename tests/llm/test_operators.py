@@ -5,6 +5,7 @@ import re
 import sys
 import zlib
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -351,3 +352,19 @@ def test_encoder_gives_a_fresh_tokenizers_ids_for_added_tokens():
     for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
         assert fresh.encode(text, add_special_tokens=False).ids == own.tolist()
     assert 50256 in ids
+
+
+def test_top_k_keeps_wide_vectors_and_all_lengths(spark):
+    r = random.Random(2)
+    data = {n: [r.uniform(-2, 2) for _ in range(r.choice((3, 4, 5)))] for n in range(120)}
+    data |= {20: [2.0**21, -3.5, 1.0], 21: [-(2.0**30) - 0.25, 2.0, 0.0, 1.0], 22: [1e300, 1.0, 2.0], 40: [-1e200, 0.5], 23: [], 60: [], 80: [0.0] * 4}
+    vectors = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    whole = {n: [int(Fraction(c) * 64 // 1) for c in v] for n, v in data.items()}
+    want = set()
+    for q in range(0, 120, 20):
+        scores = {n: sum(a * b for a, b in zip(whole[q], v)) if whole[q] and v else None for n, v in whole.items() if n != q}
+        best = sorted(scores, key=lambda n: (scores[n] is None, -(scores[n] or 0), n))
+        want |= {(q, rank, n, scores[n] if scores[n] is not None and abs(scores[n]) < 2**63 else None) for rank, n in enumerate(best, 1)}
+    assert {tuple(x) for x in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 200, block=30).collect()} == want
+    got = {tuple(x) for x in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 7, block=30).collect()}
+    assert got == {w for w in want if w[1] <= 7}
