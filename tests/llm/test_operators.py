@@ -368,3 +368,19 @@ def test_top_k_keeps_wide_vectors_and_all_lengths(spark):
     assert {tuple(x) for x in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 200, block=30).collect()} == want
     got = {tuple(x) for x in topk.search(vectors, vectors.where("vec_id % 20 = 0"), 7, block=30).collect()}
     assert got == {w for w in want if w[1] <= 7}
+
+
+def test_license_scan_finds_headers_and_grants_with_changed_words(spark):
+    texts = {
+        "apache-2.0-header": 'x Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+        "strict compliance with the License. You may obtain a copy of the License at y",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this notice appear in all copies.",
+        "agpl-header": "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "mit-grant": "a " + license.TEMPLATES["mit-grant"].replace("without restriction,", "without any restriction,") + " b",
+        "bsd-conditions": license.TEMPLATES["bsd-conditions"].replace("1. ", "* ").replace("2. ", "* "),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    found = {(r["doc_id"], r["template"]) for r in license.scan(docs).collect()}
+    assert {(n, t) for n, t in enumerate(texts)} <= found
