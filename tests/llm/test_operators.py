@@ -1,5 +1,6 @@
 """The pipeline operators against SQL, brute force, exact round trips and held-out accuracy."""
 
+import hashlib
 import random
 import re
 import sys
@@ -384,3 +385,10 @@ def test_license_scan_finds_headers_and_grants_with_changed_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
     found = {(r["doc_id"], r["template"]) for r in license.scan(docs).collect()}
     assert {(n, t) for n, t in enumerate(texts)} <= found
+
+
+def test_media_round_trip_of_whole_payloads(odd):
+    rows = media.decode_media(media.encode_media(odd)).collect()
+    texts = [(r["text"] or "").encode() for r in odd.collect()]
+    want = Counter(hashlib.sha256(t + bytes(-len(t) % 64 if t else 64)).hexdigest() for t in texts)
+    assert Counter(r["payload_sha256"] for r in rows) == want
