@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import langid, license, media, mixing, packing, relative, simhash, suffix, topk, toxicity
+from passagemill.llm import (
+    langid, license, media, mixing, packing, prefixtrie, quality, relative, simhash, suffix, topk, toxicity, whitening,
+)
 from passagemill.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,6 +72,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    found = quality.with_quality(docs, quality.learn(docs, labels))
+    return found.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+        F.col("quality").alias("predicted"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +100,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_license_scan, op3_simhash, op4_mixing, op5_media, op6_suffix_dedup, op7_topk,
-        op8_substring_dedup, op9_language, op10_toxicity, pipeline,
+        op8_substring_dedup, op9_language, op10_toxicity, op11_quality,
+        op12_whitening, op13_prefix_trie, pipeline,
     )
 }
 ORACLE = {
@@ -146,6 +167,46 @@ SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_remov
        coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(parts, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op13_prefix_trie": r"""
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT c, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda k: ascii(substr(c::VARCHAR, k, 1))::BIGINT)),
+        lambda crc, byte: list_reduce(
+            list_prepend(xor(crc, byte), range(8)),
+            lambda v, bit: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+        )
+    )) % 6 AS h
+    FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+    SELECT convs.c, i, r, x FROM convs JOIN turns ON turns.c = convs.c - convs.c % 100 AND i <= h
+    UNION ALL
+    SELECT c, i, r, x FROM turns JOIN convs USING (c) WHERE i > h
+), placed AS (
+    SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, length(x) AS size, md5(length(r) || ':' || r || x) AS m FROM rebuilt
+), steps AS (
+    SELECT c, d, size, md5(string_agg(m, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM placed
+    UNION ALL
+    SELECT c, 0, 0, '' FROM convs
+), path AS (
+    SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent FROM steps
+), nodes AS (
+    SELECT node, any_value(d) AS d, any_value(size) AS size, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n FROM path GROUP BY node
+), kids AS (
+    SELECT parent AS node, count(*) AS kids FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), ends AS (
+    SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS members FROM (SELECT c, arg_max(node, d) AS node FROM path GROUP BY c) GROUP BY node
+), below AS (
+    SELECT a.node, sum((m.n - 1) * m.size) AS saved, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves
+    FROM nodes m JOIN path a ON a.c = m.conv_id AND a.d <= m.d LEFT JOIN kids ON kids.node = m.node GROUP BY a.node
+)
+SELECT nodes.conv_id, nodes.d::BIGINT AS depth, above.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(kids, 0) AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(members, '')) AS ends_sha256
+FROM nodes JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node) LEFT JOIN nodes above ON above.node = nodes.parent
 """,
     "op2_license_scan": None,
 }
