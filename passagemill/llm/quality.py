@@ -216,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_ch
         )
 
     described = train.mapInArrow(describe, "id long, y int, f array<int>, x array<float>")
-    fitted = described.coalesce(1).mapInArrow(train_all, "bias double, linear binary, vectors binary").collect()
+    fitted = described.repartition(1).mapInArrow(train_all, "bias double, linear binary, vectors binary").collect()
     if not fitted:  # not even an empty partition
         return 0.0, np.zeros(size, np.float32), np.zeros((size, RANK), np.float32)
     row = fitted[0]
