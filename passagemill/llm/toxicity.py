@@ -1,23 +1,31 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine, block-max inverted index.
 
 The features of a text are all its words that some example has, weighted by the
-document frequencies of all documents.  Terms (words and their first letters)
-that tell toxic examples from others, and the number of such terms, are further
-features: where a text has any, they make up ``EXTRA`` of its squared length.
-Examples are a bounded sample of labelled rows (``SAMPLE``).
+document frequencies of all documents.  Examples are a bounded sample of labelled
+rows (``SAMPLE``).
 
 The inverted index keeps examples in blocks, those of similar length together.
-Queries are scored in batches: postings of rare features are added up, which
-with the greatest weight of each common feature bounds every block; common
-features are multiplied out only in blocks that can still reach a query's k
-best.  What is within rounding of the k best is scored again in double
-precision, so the result is exact.  Votes weigh by similarity and are calibrated
-by isotonic regression on the examples' own leave-one-out votes.
-
-Cases: null and empty texts, and those that share no word with any example, get
-the rate among such examples; equal similarities go to the smaller example id;
-without any labelled row every score is 0; repeated rows score alike; an empty
-table gives no rows; other columns are kept by ``with_scores``.
+Queries are scored in batches: postings of rare words are added up, which with
+the greatest weight of each common word bounds every block; common words are
+multiplied out only in blocks that can still reach a query's k best.  What is
+within rounding of the k best is scored again in double precision, so the result
+is exact.
+
+Votes weigh by similarity.  Calibration adds to the log odds of the vote what the
+number of a text's leaning words tells (words and first letters that toxic
+examples have more often; they do not enter the similarity, and their absence
+tells nothing where an example is a near copy), and maps the sum to
+a rate by isotonic regression on the examples' own leave-one-out votes.
+
+Terms are chosen and words counted by Spark tasks, the index is laid out and
+calibrated in one task over the sample; the driver sees words, their document
+frequencies and the arrays of the sample.
+
+Cases: null and empty texts, and those that share no word with any example, vote
+with the rate among such examples; equal similarities go to the smaller example
+id; without any labelled row every score is 0; repeated rows score alike; an
+empty table gives no rows; other columns are kept by ``with_scores``, columns
+named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -34,15 +42,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from passagemill.llm.common import parts_of, ragged
+from passagemill.session import materialize
 
 SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
 TERMS = 2_048
 NEIGHBOURS = 15
 BLOCK = 512
-BATCH = 64  # texts scored together
+BATCH = 32  # texts scored together
 COMMON = 1 / 16  # share of the examples from which a feature is multiplied out
 SLACK = 2e-5  # far above the rounding of single precision
-EXTRA = 0.8  # of the squared length, for the selected terms of a text that has any
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
 PART_BYTES = 4 << 20  # of texts split into words together
 SUPPORT = 5  # examples a term needs
@@ -50,9 +58,16 @@ EVIDENCE = 10.0  # log-likelihood ratio a term needs: the sample has some e**10
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")  # signs around a word
 PREFIXES = (4, 5, 6)
 COUNTED = 1 << 14  # features whose counts travel together
-NUMBERS = ("#1", "#2", "#3", "#4")  # one to three selected words, and more
-
+LEANING = 4  # numbers of leaning words told apart: none, one, two, three, more
+NEAR_COPY = 0.8  # similarity from which an example's label stands where leaning words are absent
+CERTAIN = 0.01  # a vote closer to 0 or 1 counts as this close
+
+LAID_OUT = {
+    "ids": np.int64, "labels": np.float64, "ends": np.int64, "feature": np.int32, "number": np.int32,
+    "empty": np.float64, "lean": np.float64, "votes": np.float64, "rates": np.float64,
+}
 SCORED = "toxic_score double, toxic int, evidence_id array<long>, evidence_similarity array<double>"
+ADDED = tuple(f.split()[0] for f in SCORED.split(", "))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -74,45 +89,29 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Selected terms with their numbers, and after them the words of all examples."""
+    """Leaning terms, and the words of all examples by number."""
 
     def __init__(self, terms: list[str], words: pa.Array | None = None):
-        self.number = {t: n for n, t in enumerate([*NUMBERS, *terms])}
+        self.terms = frozenset(terms)
         self.heads = {t.rstrip("*")[: PREFIXES[0]] for t in terms}  # of all words that have a term
         self.words = pa.array([], pa.string()) if words is None else words
 
     def __len__(self) -> int:
-        return len(self.number) + len(self.words)
+        return len(self.words)
 
-    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How often each text has each of its features: ends of the texts from 0 on, features, counts."""
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ends of the texts from 0 on, their words by number and how often, and the leaning words of each text."""
         text, code, words = coded_words(texts)
         found = pa.compute.index_in(pa.array(words, pa.string()), value_set=self.words)
-        word = np.asarray(pa.compute.fill_null(found, -1), dtype=np.int64) + len(self.number)
-        known = {}
-        for n, w in enumerate(words):
-            if w[: PREFIXES[0]] in self.heads and (own := [self.number[t] for t in terms_of(w) if t in self.number]):
-                known[n] = own
-        selected = np.zeros(len(words), np.int64)
-        selected[list(known)] = [len(own) for own in known.values()]
-        flat = np.array([t for own in known.values() for t in own], np.int64)
-        tokens, wide = selected[code], len(self)
-        low = (np.cumsum(selected) - selected)[code]
-        hits = np.bincount(text[tokens > 0], minlength=len(texts))
-        some = np.flatnonzero(hits)
-        as_word = word[code] >= len(self.number)
-        cells = np.concatenate([
-            text[as_word] * wide + word[code[as_word]],
-            np.repeat(text, tokens) * wide + flat[ragged(low, tokens)],
-            some * wide + np.minimum(hits[some], len(NUMBERS)) - 1,
-        ])
-        cells, number = np.unique(cells, return_counts=True)
-        row, feature = np.divmod(cells, max(wide, 1))
-        return np.searchsorted(row, np.arange(len(texts) + 1)), feature, number
-
-    def __call__(self, texts: list[str | None]) -> list[dict[int, int]]:
-        ends, feature, number = self.counts(texts)
-        return [dict(zip(feature[a:b].tolist(), number[a:b].tolist())) for a, b in zip(ends, ends[1:])]
+        word = np.asarray(pa.compute.fill_null(found, -1), dtype=np.int64)
+        leaning = np.array(
+            [w[: PREFIXES[0]] in self.heads and any(t in self.terms for t in terms_of(w)) for w in words], bool
+        )
+        hits = np.bincount(text[leaning[code]], minlength=len(texts))
+        known = word[code] >= 0
+        cells, number = np.unique(text[known] * max(len(self), 1) + word[code[known]], return_counts=True)
+        row, feature = np.divmod(cells, max(len(self), 1))
+        return np.searchsorted(row, np.arange(len(texts) + 1)), feature, number, np.minimum(hits, LEANING)
 
 
 class Lists:
@@ -125,50 +124,19 @@ class Lists:
         return self.flat[self.ends[n] : self.ends[n + 1]]
 
 
-def sparse(counts: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = [sorted(c.items()) for c in counts]
-    ends = np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
-    return ends, np.array([t for r in rows for t, _ in r], np.int64), np.array([n for r in rows for _, n in r])
+def odds(rate):
+    rate = np.clip(rate, CERTAIN, 1 - CERTAIN)
+    return np.log(rate / (1 - rate))
 
 
 class Index:
-    """Block-max inverted index of the examples and calibrated votes.
-
-    Examples are (id, label, counts), or arrays of ids and labels with the arrays of ``Terms.counts``.
-    """
-
-    def __init__(self, terms: Terms, frequency: np.ndarray, documents: int, examples: list | tuple):
-        self.terms = terms
-        self.idf = np.log((documents + 1) / (frequency + 1)) + 1e-3
-        if isinstance(examples, list):
-            examples = (np.array([i for i, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], float),
-                        *sparse([c for _, _, c in examples]))
-        ids, labels, ends, feature, number = examples
-        sizes = np.diff(ends)
-        order = np.lexsort((ids, sizes))  # of similar length in one block
-        order = order[sizes[order] > 0]
-        self.ids, self.labels = ids[order], np.asarray(labels, float)[order]
-        self.ends = np.r_[0, np.cumsum(sizes[order])]
-        at = ragged(ends[order], sizes[order])
-        self.feature, self.number = feature[at].astype(np.int32), number[at].astype(np.int32)
-        base = float(np.sum(labels)) / max(len(ids), 1)
-        without = np.asarray(labels, float)[sizes == 0]
-        self.empty = (float(without.sum()) + base) / (len(without) + 1) if len(ids) else 0.0
-        self.steps = (np.zeros(1), np.full(1, base))
-        self.build()
-        own = np.arange(0, len(self.ids), max(1, -(-len(self.ids) // CALIBRATION)))
-        if len(own):
-            at = ragged(self.ends[own], np.diff(self.ends)[own])
-            asked = np.r_[0, np.cumsum(np.diff(self.ends)[own])], self.feature[at], self.weight[at]
-            votes = np.array([self.vote(*found) for found in self.best(*asked, skip=own)])
-            self.steps = isotonic(votes, self.labels[own])
-
-    def __getstate__(self) -> dict:
-        built = ("weight", "places", "values", "column", "dense", "bound", "same")  # made anew where they are used
-        return {k: v for k, v in self.__dict__.items() if k not in built}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+    """Block-max inverted index of the examples and calibrated votes, from plain arrays (``state``)."""
+
+    def __init__(self, state: dict):
+        self.idf, self.ids, self.labels, self.ends = state["idf"], state["ids"], state["labels"], state["ends"]
+        self.feature, self.number = state["feature"], state["number"]
+        self.empty, self.lean, self.steps = float(state["empty"][0]), state["lean"], (state["votes"], state["rates"])
+        self.terms = Terms(state["terms"], state["words"])
         self.build()
 
     def build(self) -> None:
@@ -196,18 +164,11 @@ class Index:
         ], np.int64)
 
     def weighted(self, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Weights of the features of each text, of length one."""
+        """TF-IDF weights of the words of each text, of length one."""
         raw = (1 + np.log(number)) * self.idf[feature]
         row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        extra = feature < len(self.terms.number)
-        length = np.array([np.bincount(row[kind], raw[kind] ** 2, len(ends) - 1) for kind in (extra, ~extra)])
-        share = np.where((length > 0).all(axis=0), np.array([[EXTRA], [1 - EXTRA]]), 1.0)
-        scale = np.sqrt(share / np.where(length > 0, length, 1.0))
-        return raw * scale[np.where(extra, 0, 1), row]
-
-    def weights(self, counts: dict[int, int]) -> dict[int, float]:
-        ends, feature, number = sparse([counts])
-        return dict(zip(feature.tolist(), self.weighted(ends, feature, number).tolist()))
+        length = np.sqrt(np.bincount(row, raw**2, len(ends) - 1))
+        return raw / np.where(length > 0, length, 1.0)[row]
 
     def best(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple]:
         """For each text its nearest examples and their cosines, best first: exactly the k best above zero."""
@@ -258,25 +219,53 @@ class Index:
         place = np.nonzero((scores >= top[:, :1] - SLACK) & (scores > 0))
         return np.split(place[1], np.searchsorted(place[0], np.arange(1, texts)))
 
-    def nearest(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        feature = np.array(list(query), np.int64)
-        return next(self.best(np.array([0, len(query)]), feature, np.array(list(query.values()), float), np.array([skip])))
-
     def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
         if not len(places):
             return self.empty
         near = scores**4  # close examples count most
         return float((near * self.labels[places]).sum() / near.sum())
 
+    def told(self, vote: float, scores: np.ndarray, hits: int) -> float:
+        """Log odds of the vote, and what the leaning words tell; their absence tells nothing beside a near copy."""
+        copy = len(scores) and scores[0] >= NEAR_COPY
+        lean = float(self.lean[hits])
+        return float(odds(vote)) + (max(lean, 0.0) if copy else lean)
+
     def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
         """Rate of toxicity and the evidence for each text."""
         if not len(self.ids):
             yield from ((self.empty, [], []) for _ in texts)
             return
-        ends, feature, number = self.terms.counts(texts)
-        for places, scores in self.best(ends, feature, self.weighted(ends, feature, number)):
-            rate = float(np.interp(self.vote(places, scores), *self.steps)) if len(places) else self.empty
-            yield rate, self.ids[places].tolist(), np.round(scores, 6).tolist()
+        ends, feature, number, hits = self.terms.counts(texts)
+        for hit, (places, scores) in zip(hits, self.best(ends, feature, self.weighted(ends, feature, number))):
+            rate = np.interp(self.told(self.vote(places, scores), scores, hit), *self.steps)
+            yield float(rate), self.ids[places].tolist(), np.round(scores, 6).tolist()
+
+
+def arranged(words: dict, ids: np.ndarray, labels: np.ndarray, hits: np.ndarray, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> dict:
+    """State of an index over the examples: ordered by length, votes calibrated.  ``words`` has terms, words and idf."""
+    sizes = np.diff(ends)
+    order = np.lexsort((ids, sizes))  # of similar length in one block
+    order = order[sizes[order] > 0]
+    at = ragged(ends[order], sizes[order])
+    base = float(labels.sum()) / max(len(ids), 1)
+    without = labels[sizes == 0]
+    empty = (float(without.sum()) + base) / (len(without) + 1) if len(ids) else 0.0
+    told = [np.bincount(hits[labels == y], minlength=LEANING + 1) + 0.5 for y in (0, 1)]
+    state = words | {
+        "ids": ids[order], "labels": labels[order].astype(float), "ends": np.r_[0, np.cumsum(sizes[order])].astype(np.int64),
+        "feature": feature[at].astype(np.int32), "number": number[at].astype(np.int32), "empty": np.array([empty]),
+        "lean": np.log(told[1] / told[1].sum()) - np.log(told[0] / told[0].sum()), "votes": np.zeros(1), "rates": np.full(1, base),
+    }
+    index = Index(state)
+    own = np.arange(0, len(index.ids), max(1, -(-len(index.ids) // CALIBRATION)))
+    if len(own):
+        at = ragged(index.ends[own], np.diff(index.ends)[own])
+        asked = np.r_[0, np.cumsum(np.diff(index.ends)[own])], index.feature[at], index.weight[at]
+        near = index.best(*asked, skip=own)
+        told = [index.told(index.vote(*found), found[1], hit) for found, hit in zip(near, hits[order][own].tolist())]
+        state["votes"], state["rates"] = isotonic(np.array(told), index.labels[own])
+    return state
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,13 +280,13 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + 0.2) / (p[1] + 0.4) for p in pools])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
-    """Fits on labelled rows: ``labels`` has ``doc_id`` and ``toxic``, held-out rows left out by the caller."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """State of an ``Index`` of labelled rows: ``labels`` has ``doc_id`` and ``toxic``, held-out rows left out by the caller."""
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null").select(
         F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")
     ).groupBy("_id").agg(F.max("_y").alias("_y"))
-    chosen = spark.createDataFrame(usable.orderBy(F.xxhash64("_id"), "_id").limit(sample).toPandas(), "_id long, _y int")
+    chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     # the sample is bounded, so it is broadcast
     train = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "text")
@@ -331,27 +320,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
             names=["term", "n", "bad"],
         )
 
-    counted = train.mapInArrow(count, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    found = counted.toArrow().combine_chunks()  # of the sample
-    term = found.column("term")
-    n, bad = (np.asarray(found.column(c), dtype=np.int64) for c in ("n", "bad"))
-    whole = np.asarray(pa.compute.equal(term, ""), dtype=bool)
-    base = max(float(bad[whole].sum()) / max(int(n[whole].sum()), 1), 1e-9)
-    rate, good = bad / np.maximum(n, 1), n - bad
-    with np.errstate(divide="ignore", invalid="ignore"):
-        other = np.where(good > 0, good * np.log((1 - rate) / (1 - min(base, 1 - 1e-9))), 0.0)
-        gain = np.where(bad > 0, bad * np.log(rate / base), 0.0) + other
-    strong = np.flatnonzero(~whole & (bad >= SUPPORT) & (rate > base) & (gain > EVIDENCE))
-    best = sorted(zip((-gain[strong]).tolist(), term.take(pa.array(strong)).to_pylist()))[:TERMS]
-    vocabulary = term.filter(pa.compute.invert(pa.compute.or_(pa.array(whole), pa.compute.ends_with(term, "*"))))
-    if isinstance(vocabulary, pa.ChunkedArray):
-        vocabulary = vocabulary.combine_chunks()
-    terms = Terms([t for _, t in best], vocabulary.cast(pa.string()))
-    shipped = spark.sparkContext.broadcast(terms)
-    del found, term
+    counted = materialize(
+        train.mapInArrow(count, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")),
+        "toxicity_terms",
+    )
+    whole = counted.where("term = ''").first()
+    base = min(max(whole["bad"] / max(whole["n"], 1), 1e-9), 1 - 1e-9) if whole else 0.5
+    rate, good = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
+    gain = F.col("bad") * F.log(rate / base) + F.when(good > 0, good * F.log((1 - rate) / (1 - base))).otherwise(0.0)
+    strong = counted.where((F.col("term") != "") & (F.col("bad") >= SUPPORT) & (rate > base)).withColumn("gain", gain)
+    terms = [r["term"] for r in strong.where(F.col("gain") > EVIDENCE).orderBy(F.desc("gain"), "term").limit(TERMS).collect()]
+    words = counted.where((F.col("term") != "") & ~F.col("term").endswith("*")).select("term").toArrow().column(0)  # of the sample
+    words = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in words.chunks)])
+    words = words.take(pa.compute.sort_indices(words))
+    shipped = spark.sparkContext.broadcast((terms, words))
+
+    def own_terms() -> Terms:
+        return Terms(*shipped.value)
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = own_terms()
         seen = np.zeros(len(own) + 1, np.int64)
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
@@ -372,49 +360,70 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([out.tobytes()], pa.binary())], names=["low", "n"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = own_terms()
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
-                ends, feature, number = own.counts(part.column(2).to_pylist())
+                ends, feature, number, hits = own.counts(part.column(2).to_pylist())
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (feature, number)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "y", "term", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.int32()), *lists], names=["id", "y", "hits", "term", "n"])
 
-    seen = np.zeros(len(terms) + 1, np.int64)
+    seen = np.zeros(len(words) + 1, np.int64)
     parts = texts.select("text").mapInArrow(occur, "low long, n binary").groupBy("low").applyInArrow(total, "low long, n binary")
     for row in parts.toLocalIterator():
         own = np.frombuffer(row[1], np.int64)
         seen[row[0] : row[0] + len(own)] = own
-    rows = train.mapInArrow(describe, "id long, y int, term array<int>, n array<int>").toArrow()  # at most the sample
-    ids, labelled = (np.asarray(rows.column(c), dtype=np.int64) for c in ("id", "y"))
-    sizes = np.asarray(pa.compute.list_value_length(rows.column("term")), dtype=np.int64)
-    flat = [np.concatenate([np.zeros(0, np.int32), *(np.asarray(c.flatten()) for c in rows.column(x).chunks)]) for x in ("term", "n")]
-    # repeated ids: one row each, the one of the fewest and least features
-    low = np.cumsum(sizes) - sizes
-    order = sorted(range(len(ids)), key=lambda r: (ids[r], sizes[r], flat[0][low[r] : low[r] + sizes[r]].tobytes()))
-    order = np.array([r for n, r in enumerate(order) if not n or ids[r] != ids[order[n - 1]]], np.int64)
-    at = ragged(low[order], sizes[order])
-    examples = ids[order], labelled[order], np.r_[0, np.cumsum(sizes[order])], flat[0][at], flat[1][at]
-    return Index(terms, seen[:-1], int(seen[-1]), examples)
-
-
-def with_scores(docs: DataFrame, index: Index) -> DataFrame:
-    """The rows with ``toxic_score``, ``toxic`` and the evidence added."""
-    shipped = docs.sparkSession.sparkContext.broadcast(index)
-    names = docs.columns
-    at = names.index("text")
+    weights = spark.sparkContext.broadcast(np.log((int(seen[-1]) + 1) / (seen[:-1] + 1)) + 1e-3)
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        ids, labelled, hits = (np.concatenate([np.zeros(0, np.int64), *(b.column(c).to_numpy() for b in rows)]) for c in ("id", "y", "hits"))
+        sizes = np.concatenate([np.zeros(0, np.int64), *(pa.compute.list_value_length(b.column("term")).to_numpy() for b in rows)]).astype(np.int64)
+        flat = [np.concatenate([np.zeros(0, np.int32), *(b.column(c).flatten().to_numpy() for b in rows)]) for c in ("term", "n")]
+        # repeated ids: one row each, the one of the fewest and least words
+        low = np.cumsum(sizes) - sizes
+        order = sorted(range(len(ids)), key=lambda r: (ids[r], sizes[r], flat[0][low[r] : low[r] + sizes[r]].tobytes()))
+        order = np.array([r for n, r in enumerate(order) if not n or ids[r] != ids[order[n - 1]]], np.int64)
+        at = ragged(low[order], sizes[order])
+        ends = np.r_[0, np.cumsum(sizes[order])].astype(np.int64)
+        known = {"terms": shipped.value[0], "words": shipped.value[1], "idf": weights.value}
+        state = arranged(known, ids[order], labelled[order], hits[order], ends, flat[0][at], flat[1][at])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(LAID_OUT)), pa.array([np.asarray(state[n], t).tobytes() for n, t in LAID_OUT.items()], pa.binary())], names=["name", "data"]
+        )
+
+    described = train.mapInArrow(describe, "id long, y int, hits int, term array<int>, n array<int>")
+    laid_out = described.repartition(1).mapInArrow(lay_out, "name string, data binary").collect()  # at most the sample
+    state = {"terms": terms, "words": words, "idf": np.log((int(seen[-1]) + 1) / (seen[:-1] + 1)) + 1e-3}
+    state |= {n: np.zeros(1 if n in ("empty", "votes", "rates") else LEANING + 1 if n == "lean" else 0, t) for n, t in LAID_OUT.items()}
+    state |= {row["name"]: np.frombuffer(row["data"], LAID_OUT[row["name"]]) for row in laid_out}
+    shipped.destroy()
+    weights.destroy()
+    return state
+
+
+def scored(docs: DataFrame, state: dict) -> DataFrame:
+    """Each row as the struct ``row``, with its score, decision and evidence beside it."""
+    shipped = docs.sparkSession.sparkContext.broadcast(state)
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        held = shipped.value
+        if "index" not in held:  # built once a worker, gone with the broadcast
+            held["index"] = Index(held)
         for batch in batches:
-            parts = parts_of(batch, "text", PART_BYTES)
-            found = [f for part in parts for f in own.score(part.column(at).to_pylist())]
+            found = [f for part in parts_of(batch, "text", PART_BYTES) for f in held["index"].score(part.column("text").to_pylist())]
             scores = np.clip([f[0] for f in found], 0.0, 1.0)
-            added = [
-                pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),
-                pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64())),
-            ]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *added], names=[*names, *(f.split()[0] for f in SCORED.split(", "))]
+                [
+                    batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),
+                    pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64())),
+                ],
+                names=["row", *ADDED],
             )
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(SCORED).fields]))
+    return given.mapInArrow(run, StructType([given.schema["row"], *StructType.fromDDL(SCORED).fields]))
+
+
+def with_scores(docs: DataFrame, state: dict) -> DataFrame:
+    """The rows with ``toxic_score``, ``toxic`` and the evidence added, in place of columns of these names."""
+    return scored(docs.drop(*ADDED), state).select("row.*", *ADDED)

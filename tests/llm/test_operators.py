@@ -283,18 +283,51 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert toxicity.with_scores(none, index).count() == 0
 
 
-def test_block_max_index_is_exact():
+def test_nearest_examples_equal_a_dense_brute_force_from_texts(spark, monkeypatch):
+    """Neighbours and cosines from the texts alone: own words, weights and ranking, over several blocks and batches."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "BATCH", 7)
     r = random.Random(4)
-    terms = toxicity.Terms([f"t{n}" for n in range(30)])
-    examples = [(i, r.randrange(2), {r.randrange(34): r.randrange(1, 4) for _ in range(4)}) for i in range(1500)]
-    index = toxicity.Index(terms, np.full(34, 40), 1500, examples)
-    for _ in range(20):
-        query = index.weights({r.randrange(34): 1 for _ in range(3)})
-        places, scores = index.nearest(query)
-        dense = np.zeros(len(index.ids))
-        for t, w in query.items():
-            dense[index.places[t]] += w * index.values[t]
-        assert np.allclose(scores, np.sort(dense)[::-1][: len(scores)])
+    vocabulary = [f"Wort{n}" for n in range(60)]
+
+    def text():
+        return " ".join(r.choice(["", "(", "'"]) + vocabulary[min(int(r.expovariate(0.12)), 59)] + r.choice(["", ",", "!"]) for _ in range(r.randrange(0, 14)))
+
+    texts = [text() for _ in range(260)] + ["", None, "fremd", "wort1 WORT1 wort2"]
+    texts += texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {n: int(n % 3 == 0) for n in range(0, 200)}
+    state = toxicity.learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    bags = [Counter(w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in (t or "").lower().split()) if w) for t in texts]
+    df = Counter(w for bag in bags for w in bag)
+    known = {w for n in labels for w in bags[n]}
+
+    def unit(bag):
+        out = {w: (1 + np.log(c)) * (np.log((len(texts) + 1) / (df[w] + 1)) + 1e-3) for w, c in bag.items() if w in known}
+        size = sum(v * v for v in out.values()) ** 0.5
+        return {w: v / size for w, v in out.items()}
+
+    units = [unit(bag) for bag in bags]
+    for row in toxicity.with_scores(docs, state).collect():
+        own = units[row["doc_id"]]
+        near = sorted(((-round(sum(v * units[n].get(w, 0) for w, v in own.items()), 9), n) for n in labels))
+        near = [(n, -s) for s, n in near if s < 0][: toxicity.NEIGHBOURS]
+        assert row["evidence_id"] == [n for n, _ in near]
+        assert np.allclose(row["evidence_similarity"], [s for _, s in near], atol=2e-6)
+
+
+def test_toxicity_and_stages_replace_or_keep_clashing_columns(spark):
+    docs = spark.createDataFrame(
+        [(n, "vile slur" if n % 2 else f"kind word {n}", "a", 1, 0.5, "z") for n in range(40)],
+        "doc_id long, text string, row string, toxic int, toxic_score double, evidence_id string",
+    )
+    labels = spark.createDataFrame([(n, n % 2) for n in range(30)], "doc_id long, toxic int")
+    state = toxicity.learn(docs, labels)
+    got = toxicity.with_scores(docs, state)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "row", *toxicity.ADDED])
+    assert all(r["toxic"] == r["doc_id"] % 2 and r["row"] == "a" for r in got.collect())
+    kept = toxicity.scored(docs, state).where("toxic = 0").select("row.*")
+    assert kept.columns == docs.columns and kept.count() == 20
 
 
 def test_pipeline_runs_and_stages_keep_columns(spark):
