@@ -154,14 +154,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     A boundary document's cut copy ends after the words taken.
     """
-    rows = sized(docs, *(F.col(c) for c in docs.columns))
+    rows = sized(docs, F.struct(*docs.columns).alias("_given"), F.col("text").alias("_whole"))
     done = taken(rows, plan(materialize(sized(docs), "mix_sizes")))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("_part").cast("int"))
+    words = F.slice(F.regexp_extract_all("_whole", F.lit(WORD), 0), 1, F.col("_part").cast("int"))
     cut = F.when(F.col("_part") > 0, F.array_join(words, " "))
     texts = F.concat(
-        F.array_repeat(F.col("text"), F.col("_copies").cast("int")),
+        F.array_repeat(F.col("_whole"), F.col("_copies").cast("int")),
         F.when(cut.isNotNull(), F.array(cut)).otherwise(F.array().cast("array<string>")),
     )
     return done.withColumn("_text", F.explode(texts)).select(
-        *(F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns)
+        *(F.col("_text").alias(c) if c == "text" else F.col("_given")[c].alias(c) for c in docs.columns)
     )

@@ -310,31 +310,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """The rows with ``n_removed``, ``n_spans`` and ``kept`` added: the bytes left, or their whole characters."""
-    spans = repeated_spans(docs, length).groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
-    rows = docs.withColumn("_key", text_key())
-    rows = rows.join(spans, F.col("_key") == F.col("text_key"), "left").drop("_key", "text_key")
-    pairs = rows.select(*docs.columns, "_spans", text_bytes().alias("_bytes"))
-    names = docs.columns
+    """The rows with ``n_removed``, ``n_spans`` and ``kept`` (the bytes left, or their whole characters) added, in place of columns of these names."""
+    spans = repeated_spans(docs, length).groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    kept_names = [c for c in docs.columns if c not in ("n_removed", "n_spans", "kept")]
+    rows = docs.select(F.struct(*kept_names).alias("given"), text_key().alias("key"), text_bytes().alias("bytes"))
+    pairs = rows.join(spans, F.col("key") == F.col("text_key"), "left").select("given", "spans", "bytes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, number, kept = [], [], []
-            for found, text in zip(batch.column("_spans").to_pylist(), batch.column("_bytes").to_pylist()):
+            for found, text in zip(batch.column("spans").to_pylist(), batch.column("bytes").to_pylist()):
                 runs = merged([(s["low"], s["high"]) for s in found]) if found else []
                 edges = [0, *(x for run in runs for x in run), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else text)
                 removed.append(len(text) - len(kept[-1]))
                 number.append(len(runs))
-            columns = [batch.column(c) for c in names]
             added = [pa.array(removed, pa.int64()), pa.array(number, pa.int64())]
             left = [k.decode("utf-8", "ignore") for k in kept] if as_text else kept
             added.append(pa.array(left, pa.string() if as_text else pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns + added, names=[*names, "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("given"), *added], names=["given", "n_removed", "n_spans", "kept"])
 
-    schema = pairs.select(*names).schema.add("n_removed", "long").add("n_spans", "long")
+    schema = pairs.select("given").schema.add("n_removed", "long").add("n_spans", "long")
     schema = schema.add("kept", "string" if as_text else "binary")
-    return pairs.mapInArrow(cut, schema)
+    return pairs.mapInArrow(cut, schema).select("given.*", "n_removed", "n_spans", "kept")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

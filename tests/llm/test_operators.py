@@ -316,6 +316,22 @@ def test_nearest_examples_equal_a_dense_brute_force_from_texts(spark, monkeypatc
         assert np.allclose(row["evidence_similarity"], [s for _, s in near], atol=2e-6)
 
 
+def test_stages_take_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = (
+        "text_key kept n_removed n_spans _spans _key _bytes given spans bytes key target source_size _size _s _given _whole "
+        "toxic toxic_score evidence_id row _id _text fp component_id _c _p"
+    ).split()
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"clash_{name}")
+        assert docs.columns[-len(names):] == names and docs.count() > 0
+        assert docs.where(" OR ".join(f"`{c}` <> 'own {c}' OR `{c}` IS NULL" for c in names)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_toxicity_and_stages_replace_or_keep_clashing_columns(spark):
     docs = spark.createDataFrame(
         [(n, "vile slur" if n % 2 else f"kind word {n}", "a", 1, 0.5, "z") for n in range(40)],
