@@ -10,6 +10,7 @@ from passagemill.functions.predicates import is_noise, matches_keywords
 from passagemill.functions.text import keywords
 from passagemill.operators.blocks import best_pairs
 from passagemill.operators.ranking import with_rank
+from passagemill.operators.termindex import TermIndex, best_by_terms
 from passagemill.sources.schema import CHUNK_COLUMNS
 
 # Best pairs are joined back by broadcast only while their number is provably small.
@@ -17,25 +18,30 @@ MAX_BROADCAST_PAIRS = 500_000
 
 
 def candidates(
-    queries: DataFrame, index: DataFrame, k: int, method: str = "vector",
+    queries: DataFrame, index: DataFrame | TermIndex, k: int, method: str = "vector",
     chunks: DataFrame | None = None,
 ) -> DataFrame:
     """The k best chunks of each question with their columns: ``query_id, query,
-    keywords, first_rank, score, chunk...``; no filter applied."""
-    if chunks is not None:  # an encoding without its chunk must not take a place among the best
+    keywords, first_rank, score, chunk...``; no filter applied.
+
+    A stored term index is searched by its postings; its chunk table is read for
+    the best chunks only.
+    """
+    stored = isinstance(index, TermIndex)
+    if chunks is not None and not stored:  # an encoding without its chunk must not take a place among the best
         index = index.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    pairs, n_queries = best_pairs(queries, index, k, method)
+    pairs, n_queries = best_by_terms(queries, index, k) if stored else best_pairs(queries, index, k, method)
     pairs = pairs.withColumnRenamed("rank", "first_rank")
     if n_queries * k <= MAX_BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
     asked = queries.select("query_id", "query", keywords(F.col("query")).alias("keywords"))
-    described = index if chunks is None else chunks
+    described = index.chunks if stored else index if chunks is None else chunks
     return described.select(*CHUNK_COLUMNS).join(pairs, "chunk_id").join(asked, "query_id")
 
 
 def search(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | TermIndex,
     top_k: int = V.TOP_K,
     min_score: float = V.MIN_SCORE,
     keyword_filter: bool = True,

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.encoding import term_encoder
-from passagemill.session import materialize, spread
+from passagemill.operators.termindex import TermIndex, build_term_index, open_term_index
+from passagemill.session import materialize, scratch_path, spread
+from passagemill.sources.jsonl import path_exists
 
 TYPE_BY_LANG = {"en": "web", "de": "msg", "fr": "portal", "es": "local"}
 GOOD_MARKERS = (" the ", " que ")
@@ -75,8 +77,20 @@ def labelled_chunks(spark: SparkSession, sf_dir: str, by_content: bool = False)
     )
 
 
-def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_encoder("text")(chunks(spark, sf_dir))
+_TERM_INDEXES: dict[tuple, str] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> TermIndex:
+    """The stored term index of all chunks: written once for a session and the files that
+    the documents consist of, read by every search after that."""
+    read = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = tuple(sorted(tuple(map(str, r)) for r in read.distinct().collect()))  # one row a file
+    key = (spark.sparkContext.applicationId, sf_dir, files)
+    path = _TERM_INDEXES.get(key)
+    if path is None or not path_exists(spark, f"{path}/blocks/_SUCCESS"):
+        path = _TERM_INDEXES[key] = scratch_path(spark, "terms")
+        build_term_index(chunks(spark, sf_dir), path)
+    return open_term_index(spark, path)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
