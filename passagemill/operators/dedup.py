@@ -22,12 +22,21 @@ def absent(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return df.join(known, key, "left_anti")
 
 
-def only_new(df: DataFrame, existing: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def only_new(
+    df: DataFrame, existing: DataFrame, key: str, order: list[Column], buckets: int | None = None
+) -> DataFrame:
     """First row per key of the batch, unless the key already exists.
 
     The keep-first cut and the join hash on the same key: one shuffle of the batch.
+    Where ``existing`` was written by ``write_bucketed`` on that key, give its number
+    of ``buckets``: the batch is dealt likewise and the existing rows stay in place.
     """
-    return absent(keep_first(df.where(truthy(key)), key, order), existing, key)
+    batch = df.where(truthy(key))
+    if buckets is None:
+        return absent(keep_first(batch, key, order), existing, key)
+    batch = keep_first(batch.repartition(buckets, key), key, order)
+    known = existing.where(truthy(key)).select(key).distinct()
+    return batch.join(known.hint("merge"), key, "left_anti")
 
 
 def known_values(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

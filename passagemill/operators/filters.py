@@ -12,8 +12,14 @@ def _type_in(types) -> Column:
     return F.lower(F.coalesce("source_type", F.lit(""))).isin([t.lower() for t in types])
 
 
-def _doc_in(doc_ids) -> Column:
-    return F.coalesce(F.col("extra")["doc_id"].isin(list(doc_ids)), F.lit(False))
+def _doc_in(df: DataFrame, doc_ids) -> tuple[DataFrame, Column]:
+    """The results and a condition on them: a list of ids, or a table with a ``doc_id`` column
+    of any size, which is joined."""
+    own = F.col("extra")["doc_id"]
+    if not isinstance(doc_ids, DataFrame):
+        return df, F.coalesce(own.isin(list(doc_ids)), F.lit(False))
+    scope = doc_ids.select(F.col("doc_id").alias("_scope")).where("_scope is not null").distinct()
+    return df.join(scope, own == F.col("_scope"), "left"), F.col("_scope").isNotNull()
 
 
 def _rerank(df: DataFrame) -> DataFrame:
@@ -25,8 +31,9 @@ def filter_results(results: DataFrame, types=None, doc_ids=None) -> DataFrame:
     df = results.withColumnRenamed("rank", "_before")
     if types:
         df = df.where(_type_in(types))
-    if doc_ids:
-        df = df.where(_doc_in(doc_ids))
+    if isinstance(doc_ids, DataFrame) or doc_ids:
+        df, inside = _doc_in(df, doc_ids)
+        df = df.where(inside).drop("_scope")
     return _rerank(df)
 
 
@@ -51,6 +58,6 @@ def filter_fallback(
     df = results.withColumnRenamed("rank", "_before")
     if types:
         df = _keep_or_all(df, _type_in(types))
-    if scope_enabled and doc_ids:
-        df = _keep_or_all(df, _doc_in(doc_ids))
+    if scope_enabled and (isinstance(doc_ids, DataFrame) or doc_ids):
+        df = _keep_or_all(*_doc_in(df, doc_ids)).drop("_scope")
     return _rerank(df)

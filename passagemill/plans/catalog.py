@@ -25,6 +25,7 @@ from passagemill.plans import ingest as I
 from passagemill.session import materialize, scratch_path, spread
 from passagemill.sources import corpus, jsonl
 from passagemill.sources import schema as S
+from passagemill.sources.snapshots import Store
 from passagemill.streaming import messages as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,15 +190,16 @@ def clean_lines(spark, sf):
 
 @query
 def keyword_filter(spark, sf):
-    """Documents whose text or label has a keyword of the first turn of the
-    conversation with the same number; all documents without such a turn stay."""
-    first = D.table(spark, sf, "conversations").where(F.col("turn") == 0).select(
-        F.col("conv_id").alias("row_id"), F.col("text").alias("_query")
+    """Documents whose text or label has a keyword of a turn of the conversation with the
+    same number, each turn asked for itself; documents without such a conversation stay."""
+    turns = D.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("row_id"), "turn", X.keywords(F.col("text")).alias("_kws")
     )
-    d = D.docs(spark, sf).join(first, "row_id", "left").withColumn("_kws", X.keywords(F.col("_query")))
+    d = D.docs(spark, sf).join(turns, "row_id", "left")
+    kws = F.coalesce("_kws", F.array().cast("array<string>"))
     return d.where(
-        P.matches_keywords(F.col("raw_text"), F.col("title"), F.col("url"), F.col("_kws"))
-    ).select("row_id")
+        P.matches_keywords(F.col("raw_text"), F.col("title"), F.col("url"), kws)
+    ).select("row_id", "turn")
 
 
 @query
@@ -219,11 +221,20 @@ def filter_results(spark, sf):
     return filters.filter_results(found, types={"web", "Portal"}).select("query_id", "rank", "chunk_id")
 
 
+@query
+def filter_scope(spark, sf):
+    """Results of two types within the labelled documents; a question may lose all results."""
+    found = _search(spark, sf)
+    scope = dedup.known_values(D.labelled_chunks(spark, sf))
+    return filters.filter_results(found, {"web", "local"}, scope).select("query_id", "rank", "chunk_id")
+
+
 @query
 def filter_fallback(spark, sf):
-    """Only local documents where a question found any, then the scope of named files."""
+    """Web documents where a question found any, then the labelled ones where any of these is."""
     found = _search(spark, sf)
-    return filters.filter_fallback(found, {"web"}).select("query_id", "rank", "chunk_id")
+    scope = dedup.known_values(D.labelled_chunks(spark, sf))
+    return filters.filter_fallback(found, {"web"}, scope, True).select("query_id", "rank", "chunk_id")
 
 
 # --- Corpus -----------------------------------------------------------------
@@ -240,8 +251,8 @@ def chunk_docs(spark, sf):
 @query
 def dedup_chunks(spark, sf):
     new = dedup.only_new(
-        D.chunks(spark, sf, by_content=True), D.labelled_chunks(spark, sf, by_content=True),
-        "chunk_id", [F.asc("row_id"), F.asc("part")],
+        D.chunks(spark, sf, by_content=True), D.known_corpus(spark, sf),
+        "chunk_id", [F.asc("row_id"), F.asc("part")], D.KNOWN_BUCKETS,
     )
     return new.select("chunk_id", "row_id", "part")
 
@@ -256,7 +267,7 @@ def dedup_messages(spark, sf):
 
 @query
 def known_keys(spark, sf):
-    return dedup.known_entries(D.labelled_chunks(spark, sf), ("doc_id", "file_name", "saved_as"))
+    return dedup.known_entries(D.chunks(spark, sf), ("doc_id", "file_name", "saved_as"))
 
 
 @query
@@ -506,6 +517,37 @@ def sync_summary(spark, sf):
     return I.sync_summary(report, I.message_report(classified, new), index_ok=True)
 
 
+@query
+def sync_job(spark, sf):
+    """The whole job three times on a store that already has a corpus: once with an
+    encoder that fails after the new chunks are written, once to the end, once more."""
+    store = Store(spark, scratch_path(spark, "store"))
+    before = _page_documents(spark, sf).where(F.col("url").contains("/en/"))
+    start = materialize(I.union_chunks(
+        I.only_new(chunk_documents(before, keep=("page_id",)), D.no_chunks(spark), "chunk_id", [F.asc("page_id"), F.asc("part")]),
+        I.only_new(D.known_messages(spark, sf), D.no_chunks(spark), "chunk_id", [F.asc("chunk_id")]),
+    ), "start")
+    encoder = hash_encoder()
+    state = store.commit(store.latest(), [store.write_part(start, "corpus")], [store.write_part(encoder(start), "index")])
+
+    def failing(df):
+        raise RuntimeError("the encoder is out of order")
+
+    def run(name, encode):
+        done = I.sync_store(
+            D.table(spark, sf, "pages"), D.messages(spark, sf), store, encode, D.GOOD_MARKERS, D.BAD_MARKERS,
+            D.as_of(), D.CHANNEL_CAP, D.SINCE_DAYS,
+        )
+        return done.withColumn("run", F.lit(name)).withColumn("chunks", F.lit(store.corpus().count()))
+
+    try:
+        run("broken", failing)
+    except RuntimeError:
+        if store.latest() != state:
+            raise
+    return run("first", encoder).unionByName(run("again", encoder))
+
+
 @query
 def stream_messages(spark, sf):
     """Messages arriving as files, drained by the streaming job into a corpus table."""
@@ -562,10 +604,10 @@ def eval_score_hist(spark, sf):
 
 @query
 def feedback_payload(spark, sf):
-    """A record per rated question; ratings belong to the question of the same number."""
+    """A record per rating; ratings are dealt to the questions in turn."""
     results = materialize(_search(spark, sf), "found")
     made = A.extractive_answers(search.cut(results, V.TOP_K), D.queries(spark, sf))
-    rated = D.labelled(spark, sf, with_query=False).withColumnRenamed("doc_id", "query_id")
+    rated = D.labelled(spark, sf, with_query=False).withColumn("query_id", F.pmod("doc_id", F.lit(D.RATED_QUESTIONS))).drop("doc_id")
     records = feedback.feedback_records(
         rated, made, results, {"min_score": D.LEXICAL_MIN_SCORE, "keyword_filter": True}
     )

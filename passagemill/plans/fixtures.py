@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.encoding import term_encoder
-from passagemill.operators.termindex import TermIndex, build_term_index, open_term_index
+from passagemill.operators.termindex import TermIndex, build_term_index
 from passagemill.session import materialize, scratch_path, spread
-from passagemill.sources.jsonl import path_exists
+from passagemill.sources import schema as S
+from passagemill.sources.corpus import write_bucketed
+from passagemill.sources.jsonl import overwrite_objects, path_exists, read_rules
 
 TYPE_BY_LANG = {"en": "web", "de": "msg", "fr": "portal", "es": "local"}
 GOOD_MARKERS = (" the ", " que ")
@@ -25,6 +27,8 @@ SINCE_DAYS = 1
 CHANNEL_CAP = 50
 LEXICAL_MIN_SCORE = 0.2
 VECTOR_MIN_SCORE = 0.2
+KNOWN_BUCKETS = 16
+RATED_QUESTIONS = 40  # ratings are dealt to the first questions
 PAGE_DAY = dt.date(2024, 1, 3)
 
 
@@ -69,6 +73,10 @@ def chunks(spark: SparkSession, sf_dir: str, by_content: bool = False) -> DataFr
     return chunk_documents(docs(spark, sf_dir, by_content), keep=("row_id",))
 
 
+def no_chunks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], S.CHUNK)
+
+
 def labelled_chunks(spark: SparkSession, sf_dir: str, by_content: bool = False) -> DataFrame:
     """The corpus as it already exists: chunks of the documents that have labels."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
@@ -77,20 +85,34 @@ def labelled_chunks(spark: SparkSession, sf_dir: str, by_content: bool = False)
     )
 
 
-_TERM_INDEXES: dict[tuple, str] = {}
+_STORED: dict[tuple, object] = {}
 
 
-def lexical_index(spark: SparkSession, sf_dir: str) -> TermIndex:
-    """The stored term index of all chunks: written once for a session and the files that
-    the documents consist of, read by every search after that."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, build):
+    """What ``build`` writes from the documents: once for a session and the files that they
+    consist of, then read by every query after that."""
     read = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     files = tuple(sorted(tuple(map(str, r)) for r in read.distinct().collect()))  # one row a file
-    key = (spark.sparkContext.applicationId, sf_dir, files)
-    path = _TERM_INDEXES.get(key)
-    if path is None or not path_exists(spark, f"{path}/blocks/_SUCCESS"):
-        path = _TERM_INDEXES[key] = scratch_path(spark, "terms")
-        build_term_index(chunks(spark, sf_dir), path)
-    return open_term_index(spark, path)
+    key = (spark.sparkContext.applicationId, sf_dir, files, name)
+    path, held = _STORED.get(key, (None, None))
+    if path is None or not path_exists(spark, path):
+        path = scratch_path(spark, name)
+        held = build(path)
+        _STORED[key] = (path, held)
+    return held
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> TermIndex:
+    """The stored term index of all chunks."""
+    return _stored(spark, sf_dir, "terms", lambda path: build_term_index(chunks(spark, sf_dir), path))
+
+
+def known_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as it already exists (labelled documents), stored in buckets of the chunk id."""
+    return _stored(
+        spark, sf_dir, "known",
+        lambda path: write_bucketed(labelled_chunks(spark, sf_dir, by_content=True), path, buckets=KNOWN_BUCKETS),
+    )
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,14 +124,24 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a user keeps them: written as JSON lines and read back.
+
+    In turn, a rule asks for a source's address, for words of the question, and
+    for a type and an address.
+    """
     b = table(spark, sf_dir, "benchmark")
-    return b.select(
-        F.col("item_id").alias("query_id"),
+    kind = F.pmod("item_id", F.lit(3))
+    source = F.concat(F.lit("https://SRC"), F.pmod("item_id", F.lit(20)).cast("string"), F.lit(".example.org/"))
+    stated = b.select(
         F.col("text").alias("query"),
-        F.lit(None).cast("string").alias("must_contain_url"),
-        F.substring("text", 20, 30).alias("must_contain_text"),
-        F.when(F.pmod("item_id", F.lit(5)) == 0, F.lit("web")).alias("must_contain_type"),
+        F.when(kind == 0, source).when(kind == 2, F.lit("example.org/")).alias("must_contain_url"),
+        F.when(kind == 1, F.substring("text", 20, 30)).alias("must_contain_text"),
+        F.when(kind == 2, F.lit("web")).alias("must_contain_type"),
     )
+    path = scratch_path(spark, "rules")
+    overwrite_objects(stated, path)
+    numbered = b.groupBy(F.col("text").alias("query")).agg(F.min("item_id").alias("query_id"))
+    return read_rules(spark, path).drop("query_id").join(numbered, "query")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,25 +214,25 @@ def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last assistant turn of each conversation as a generated answer."""
+    """Every assistant turn as a generated answer to the question of its message number."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+    turns = c.withColumn("query_id", F.col("conv_id") * 8 + F.col("turn"))
 
     def every(n: int):
-        return F.pmod("conv_id", F.lit(n)) == 0
+        return F.pmod("query_id", F.lit(n)) == 0
 
     cited = F.concat(
         "text", F.lit(" ["), F.pmod("turn", F.lit(9)).cast("string"), F.lit("] ["),
         F.pmod("conv_id", F.lit(9)).cast("string"), F.lit("]"),
     )
     answer = (
-        F.when(every(7), F.concat(cited, F.lit(" There is no data in the context.")))
+        F.when(every(7), F.concat(cited, F.lit(" Sadly the passages do not say.")))
         .when(every(11), F.col("text"))
         .when(every(13), F.concat(cited, F.lit("\nSources : [1]")))
         .otherwise(cited)
     )
-    return last.select(
-        F.col("conv_id").alias("query_id"), answer.alias("answer"),
+    return turns.select(
+        "query_id", answer.alias("answer"),
         F.when(every(9), F.lit("timeout")).alias("error"),
     )
 
@@ -229,7 +261,6 @@ def labelled(spark: SparkSession, sf_dir: str, with_query: bool = True) -> DataF
 def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rating records and verdict records in one wide log."""
     from passagemill.operators.feedback import verdict_records
-    from passagemill.sources import schema as S
 
     source = labelled(spark, sf_dir)
     ratings = source.select(*[

@@ -21,6 +21,7 @@ from passagemill.session import materialize, spread
 from passagemill.sources.corpus import append_corpus, build_index, read_corpus
 from passagemill.sources.jsonl import path_exists
 from passagemill.sources.schema import CHUNK_COLUMNS
+from passagemill.sources.snapshots import Store
 
 
 # --- Pages ------------------------------------------------------------------
@@ -277,6 +278,44 @@ def sync(
     return sync_summary(page_report(log), report, path_exists(spark, index_path))
 
 
+def sync_store(
+    pages: DataFrame,
+    messages: DataFrame | None,
+    store: Store,
+    encoder,
+    good,
+    bad=(),
+    as_of: Column | None = None,
+    limit: int | None = V.SYNC_MESSAGE_LIMIT,
+    since_days: int | None = V.SINCE_DAYS,
+) -> DataFrame:
+    """The same job on a store of snapshots: corpus and index change together or not at all.
+
+    All new chunks are found against one snapshot, written and encoded, and one
+    commit makes both parts visible.  A job that fails before it, or is run
+    again, leaves the state as it was; ``index_ok`` compares both tables.
+    """
+    now = F.current_timestamp() if as_of is None else as_of
+    base = store.latest()
+    existing = store.corpus(base)
+    page_new, log = ingest_pages(pages, existing, good, bad, as_of=now)
+    page_part = materialize(page_new.select(*CHUNK_COLUMNS, "page_id"), "new-pages")
+    log = log.drop("added").join(
+        page_part.groupBy("page_id").agg(F.count("*").alias("added")), "page_id", "left"
+    ).withColumn("added", F.coalesce("added", F.lit(0)))
+    fresh, report = page_part.select(*CHUNK_COLUMNS), None
+    if messages is not None:
+        new, classified = ingest_messages(messages, union_chunks(existing, fresh), now, limit, since_days)
+        message_part = materialize(new.select(*CHUNK_COLUMNS, "channel"), "new-messages")
+        report = message_report(classified, message_part)
+        fresh = union_chunks(fresh, message_part)
+    if not fresh.isEmpty():
+        part = store.write_part(fresh, "corpus")
+        written = store.spark.read.schema(fresh.schema).parquet(f"{store.path}/parts/{part}")
+        base = store.commit(base, [part], [store.write_part(encoder(written), "index")])
+    return sync_summary(page_report(log), report, store.index_matches(base))
+
+
 def sync_summary(pages: DataFrame, messages: DataFrame | None, index_ok: bool) -> DataFrame:
     """Totals over the reports; messages may be left out."""
     parts = pages.select("added", "errors")

@@ -192,8 +192,12 @@ CTE: dict[str, str] = {
     "copy_chunks": chunk_sql("copies"),
     "qs": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "rules": """
-    SELECT item_id AS query_id, text AS query, substr(text, 20, 30) AS m_text,
-           CASE WHEN item_id % 5 = 0 THEN 'web' END AS m_type FROM benchmark""",
+    SELECT min(item_id) OVER (PARTITION BY text) AS query_id, text AS query,
+           CASE WHEN item_id % 3 = 1 THEN substr(text, 20, 30) ELSE '' END AS m_text,
+           CASE WHEN item_id % 3 = 2 THEN 'web' END AS m_type,
+           CASE item_id % 3 WHEN 0 THEN 'https://src' || (item_id % 20) || '.example.org/'
+                            WHEN 2 THEN 'example.org/' ELSE '' END AS m_url
+    FROM benchmark""",
     "chunk_terms": f"""
     SELECT chunk_id, term, count(*) AS tf FROM (
       SELECT chunk_id, unnest({words('text')}) AS term FROM chunks) GROUP BY ALL""",
@@ -301,7 +305,8 @@ CTE: dict[str, str] = {
     SELECT r.query_id, r.query, f.rank, f.score, f.url, f.source_type,
            f.rank IS NOT NULL
            AND (contains(lower(coalesce(f.text, '')), lower(r.m_text)) OR contains(lower(coalesce(f.title, '')), lower(r.m_text)))
-           AND (r.m_type IS NULL OR lower(f.source_type) = r.m_type) AS hit
+           AND (r.m_type IS NULL OR lower(f.source_type) = r.m_type)
+           AND contains(lower(coalesce(f.url, '')), r.m_url) AS hit
     FROM rules r LEFT JOIN found f USING (query_id)""",
     "lab": f"""
     SELECT l.doc_id, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(l.doc_id AS INT)), '%Y-%m-%d %H:%M:%S') AS ts,
@@ -309,15 +314,13 @@ CTE: dict[str, str] = {
            CASE WHEN toxic = 1 THEN 'bad_answer' WHEN quality = 0 THEN 'bad_retrieval' ELSE 'good' END AS verdict,
            ' seen ' || l.doc_id AS comment
     FROM labels l LEFT JOIN docs d ON d.row_id = l.doc_id""",
-    "last_turn": """
-    SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations
-    WHERE role = 'assistant' GROUP BY conv_id""",
     "completed": """
-    SELECT conv_id AS query_id, CASE WHEN conv_id % 9 = 0 THEN 'timeout' END AS error,
-           CASE WHEN conv_id % 7 = 0 THEN cited || ' There is no data in the context.'
-                WHEN conv_id % 11 = 0 THEN text
-                WHEN conv_id % 13 = 0 THEN cited || chr(10) || 'Sources : [1]' ELSE cited END AS answer
-    FROM (SELECT *, text || ' [' || (turn % 9) || '] [' || (conv_id % 9) || ']' AS cited FROM last_turn)""",
+    SELECT query_id, CASE WHEN query_id % 9 = 0 THEN 'timeout' END AS error,
+           CASE WHEN query_id % 7 = 0 THEN cited || ' Sadly the passages do not say.'
+                WHEN query_id % 11 = 0 THEN text
+                WHEN query_id % 13 = 0 THEN cited || chr(10) || 'Sources : [1]' ELSE cited END AS answer
+    FROM (SELECT *, conv_id * 8 + turn AS query_id, text || ' [' || (turn % 9) || '] [' || (conv_id % 9) || ']' AS cited
+          FROM conversations WHERE role = 'assistant')""",
     "vec_index": """
     SELECT 'vec_' || e.vec_id AS chunk_id, d.raw_text AS text, d.title, d.source_type, d.url,
            e.embedding::DOUBLE[] AS v
@@ -342,7 +345,7 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "framed": ("shown",), "page_texts": ("framed",), "page_clean": ("page_texts",),
     "page_ok": ("page_clean",), "page_chunks": ("page_ok",), "new_pages": ("page_chunks",),
     "page_log": ("page_ok", "new_pages", "page_chunks"), "message_counts": ("classified", "new_messages"),
-    "judged": ("rules", "found"), "lab": ("docs",), "completed": ("last_turn",),
+    "judged": ("rules", "found"), "lab": ("docs",),
     "vec_index": ("docs",), "vec_pairs": ("means", "vec_index"),
 }
 
@@ -433,15 +436,21 @@ oracle("page_relevance", "SELECT page_id, status = 'ok' AS relevant FROM page_ok
 # --- Filters ----------------------------------------------------------------
 
 oracle("keyword_filter", f"""
-SELECT row_id FROM (
-  SELECT d.*, {keywords('c.text')} AS kws FROM docs d
-  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON c.conv_id = d.row_id)
+SELECT row_id, turn FROM (
+  SELECT d.*, c.turn, {keywords('c.text')} AS kws FROM docs d LEFT JOIN conversations c ON c.conv_id = d.row_id)
 WHERE {has_kw('raw_text', 'kws')} OR {has_kw("title || ' ' || url", 'kws')}""", "docs")
 oracle("noise_filter", f"SELECT chunk_id, part FROM chunks WHERE NOT {noise('text')}", "chunks")
 oracle("filter_results", """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id
 FROM found WHERE lower(source_type) IN ('web', 'portal')""", "found")
-oracle("filter_fallback", "SELECT query_id, rank, chunk_id FROM lenient", "lenient")
+add("scope", ("chunks",), "SELECT DISTINCT doc_id FROM chunks WHERE row_id IN (SELECT doc_id FROM labels)")
+oracle("filter_scope", """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id
+FROM found WHERE source_type IN ('web', 'local') AND doc_id IN (FROM scope)""", "found", "scope")
+oracle("filter_fallback", """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, chunk_id FROM (
+  SELECT *, bool_or(doc_id IN (FROM scope)) OVER (PARTITION BY query_id) AS any_in FROM lenient)
+WHERE NOT any_in OR doc_id IN (FROM scope)""", "lenient", "scope")
 
 # --- Corpus -----------------------------------------------------------------
 
@@ -455,11 +464,10 @@ WHERE copy = 1 AND chunk_id NOT IN (
   SELECT chunk_id FROM copy_chunks WHERE row_id IN (SELECT doc_id FROM labels))""", "copy_chunks")
 oracle("dedup_messages", """
 SELECT DISTINCT message_key FROM messages WHERE message_key NOT IN (FROM known)""", "messages", "known")
-add("own", ("chunks",), "SELECT * FROM chunks WHERE row_id IN (SELECT doc_id FROM labels)")
 oracle("known_keys", """
-SELECT DISTINCT 'doc_id' AS key, doc_id AS value FROM own
-UNION ALL SELECT DISTINCT 'file_name', file_name FROM own WHERE file_name IS NOT NULL
-UNION ALL SELECT DISTINCT 'saved_as', saved_as FROM own WHERE saved_as IS NOT NULL""", "own")
+SELECT DISTINCT 'doc_id' AS key, doc_id AS value FROM chunks
+UNION ALL SELECT DISTINCT 'file_name', file_name FROM chunks WHERE file_name IS NOT NULL
+UNION ALL SELECT DISTINCT 'saved_as', saved_as FROM chunks WHERE saved_as IS NOT NULL""", "chunks")
 # Each document adds an array line (no record), a record with a foreign key, one with
 # a repeated key and one with NaN.
 oracle("stats_by_type", """
@@ -653,6 +661,16 @@ oracle("sync_summary", """
 SELECT ((SELECT sum(added) FROM page_log) + (SELECT sum(added) FROM message_counts))::BIGINT AS total_added,
        (SELECT count(*) FROM page_log WHERE status = 'error') AS total_errors, true AS index_ok, true AS messages_synced""",
        "page_log", "message_counts")
+oracle("sync_job", """
+SELECT run, CASE run WHEN 'first' THEN added ELSE 0 END AS total_added, errors AS total_errors, true AS index_ok,
+       true AS messages_synced, n + added AS chunks
+FROM (SELECT ((SELECT sum(added) FROM page_log) + (SELECT sum(added) FROM message_counts))::BIGINT AS added,
+             (SELECT count(*) FROM page_log WHERE status = 'error') AS errors) total,
+     (SELECT count(DISTINCT chunk_id) AS n FROM (
+        SELECT printf('web_web::%s_%03d', url, part) AS chunk_id FROM page_chunks WHERE contains(url, '/en/')
+        UNION ALL SELECT chunk_id FROM message_chunks WHERE message_key IN (FROM known))) start,
+     (SELECT unnest(['first', 'again']) AS run)""",
+       "page_log", "message_counts", "page_chunks", "message_chunks", "known")
 oracle("stream_messages", f"""
 SELECT c.chunk_id, c.message_key, sha1(c.part_text) AS text_hash FROM message_chunks c
 WHERE c.message_key IN (FROM known)
@@ -699,13 +717,13 @@ SELECT bin, round(lo + (hi - lo) * bin / 10, 8) AS lower, round(lo + (hi - lo) *
 FROM (SELECT unnest(range(10)) AS bin, lo, hi
       FROM (SELECT min(top1_score) AS lo, max(top1_score) AS hi FROM rows_cut))""", "rows_cut")
 oracle("feedback_payload", f"""
-SELECT l.doc_id AS query_id, l.ts, l.rating, {strip('l.comment')} AS comment,
+SELECT l.doc_id % {D.RATED_QUESTIONS} AS query_id, l.ts, l.rating, {strip('l.comment')} AS comment,
        left(coalesce(a.markdown, ''), {V.ANSWER_SNIP}) AS answer_snippet,
        coalesce({ints('a.used_sources')}, '') AS used_sources, coalesce(s.listed, '') AS retrieval_sources,
        {D.LEXICAL_MIN_SCORE}::DOUBLE AS min_score, true AS keyword_filter
-FROM lab l LEFT JOIN top_answers a ON a.query_id = l.doc_id
+FROM lab l LEFT JOIN top_answers a ON a.query_id = l.doc_id % {D.RATED_QUESTIONS}
 LEFT JOIN (SELECT query_id, string_agg(rank || ':' || chunk_id, ',' ORDER BY rank) AS listed
-           FROM found WHERE rank <= {V.FEEDBACK_SOURCES} GROUP BY 1) s ON s.query_id = l.doc_id""",
+           FROM found WHERE rank <= {V.FEEDBACK_SOURCES} GROUP BY 1) s ON s.query_id = l.doc_id % {D.RATED_QUESTIONS}""",
        "lab", "top_answers", "found")
 oracle("bad_feedback", "SELECT ts, query, comment, rating FROM lab WHERE rating = -1", "lab")
 oracle("feedback_counts", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,19 @@ def append_corpus(chunks: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed(df: DataFrame, path: str, key: str = "chunk_id", buckets: int = 64) -> DataFrame:
+    """Write rows dealt to ``buckets`` files by a hash of their key, and read them back as such.
+
+    Joins on the key with rows dealt to as many parts need no exchange of this
+    table; see ``dedup.only_new``.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)  # one file a bucket
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def reset_corpus(spark: SparkSession, *paths: str) -> None:
     """Replace corpus or index tables by empty ones: an index keeps its schema."""
     for path in paths:

@@ -87,12 +87,9 @@ SOURCE_FALLBACK_TITLE = "source"
 UNKNOWN_TYPE = "unknown"
 MEDIA_PLACEHOLDER = "[media post without text]"
 SOURCES_LABEL = "sources"
-NO_SOURCES_TEXT = "none (not enough context)"
-NO_DATA_PHRASES = (
-    "no data in the context",
-    "not enough data in the context",
-    "cannot find in the context",
-)
+NO_SOURCES_TEXT = "nothing cited"
+# How a model admits that it cannot answer; the first one is what prompts ask for.
+NO_DATA_PHRASES = ("the passages do not say", "passages leave this open", "no passage answers")
 VERDICTS = ("good", "bad_answer", "bad_retrieval", "no_answer")
 
 

@@ -74,7 +74,7 @@ def test_context_budget(spark):
 def test_audit(spark):
     df = results(spark, [(i, 1, LONG) for i in (1, 2, 3)])
     done = spark.createDataFrame(
-        [(1, "fact [1] and [2].", None), (2, "There is NO DATA in the context", None), (3, None, "timeout"),
+        [(1, "fact [1] and [2].", None), (2, "Here THE PASSAGES do not say", None), (3, None, "timeout"),
          (4, "x [1]", None)], "query_id bigint, answer string, error string")
     rows = {r["query_id"]: r for r in A.audit_answers(done, df, questions(spark, 1, 2, 3, 4)).collect()}
     assert rows[1]["used_sources"] == [1] and rows[1]["warnings"] == []
