@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,11 +47,11 @@ SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
 TERMS = 2_048
 NEIGHBOURS = 15
 BLOCK = 512
-BATCH = 32  # texts scored together
+BATCH = 16  # texts scored together
 COMMON = 1 / 16  # share of the examples from which a feature is multiplied out
 SLACK = 2e-5  # far above the rounding of single precision
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
-PART_BYTES = 4 << 20  # of texts split into words together
+PART_BYTES = 2 << 20  # of texts split into words together
 SUPPORT = 5  # examples a term needs
 EVIDENCE = 10.0  # log-likelihood ratio a term needs: the sample has some e**10 terms, so chance alone yields about one
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")  # signs around a word
@@ -292,14 +291,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     train = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, toxic = Counter(), Counter()
         for whole in batches:
             for batch in parts_of(whole, "text", PART_BYTES):
-                bad = np.array(batch.column(1).to_pylist(), np.int64)
-                total[""] += len(bad)  # counts the documents
-                toxic[""] += int(bad.sum())
+                bad = batch.column(1).to_numpy().astype(np.int64)
                 text, code, words = coded_words(batch.column(2).to_pylist())
-                number: dict[str, int] = {}
+                number: dict[str, int] = {"": 0}  # counts the documents
                 lists = [[number.setdefault(t, len(number)) for t in terms_of(w)] if w else [] for w in words]
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists))
                 flat = np.fromiter((t for own in lists for t in own), np.int64, int(sizes.sum()))
@@ -308,17 +304,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 low = np.cumsum(sizes) - sizes
                 term = flat[ragged(low[code], sizes[code])]
                 pair = np.unique(np.repeat(text, sizes[code]) * len(number) + term)
-                text, term = np.divmod(pair, max(len(number), 1))
-                for sums, weights in ((total, np.ones(len(text))), (toxic, bad[text])):
-                    found = np.bincount(term, weights, len(number)).astype(np.int64).tolist()
-                    for t, n in zip(number, found):
-                        if n:
-                            sums[t] += n
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())],
-            names=["term", "n", "bad"],
-        )
+                text, term = np.divmod(pair, len(number))
+                often, toxic = np.bincount(term, minlength=len(number)), np.bincount(term, bad[text], len(number)).astype(np.int64)
+                often[0], toxic[0] = len(bad), bad.sum()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(number), pa.string()), pa.array(often), pa.array(toxic)], names=["term", "n", "bad"]
+                )
 
     counted = materialize(
         train.mapInArrow(count, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")),
@@ -407,11 +398,9 @@ def scored(docs: DataFrame, state: dict) -> DataFrame:
     given = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shipped.value
-        if "index" not in held:  # built once a worker, gone with the broadcast
-            held["index"] = Index(held)
+        index = Index(shipped.value)  # gone with the task: workers live on
         for batch in batches:
-            found = [f for part in parts_of(batch, "text", PART_BYTES) for f in held["index"].score(part.column("text").to_pylist())]
+            found = [f for part in parts_of(batch, "text", PART_BYTES) for f in index.score(part.column("text").to_pylist())]
             scores = np.clip([f[0] for f in found], 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [
