@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -53,7 +54,16 @@ def parts_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()  # workers live on between batches and jobs
+    give_back()  # workers live on between batches and jobs
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from passagemill.llm.common import parts_of, ragged
+from passagemill.llm.common import give_back, parts_of, ragged
 from passagemill.session import materialize
 
 SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
@@ -377,10 +377,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         at = ragged(low[order], sizes[order])
         ends = np.r_[0, np.cumsum(sizes[order])].astype(np.int64)
         known = {"terms": shipped.value[0], "words": shipped.value[1], "idf": weights.value}
-        state = arranged(known, ids[order], labelled[order], hits[order], ends, flat[0][at], flat[1][at])
+        feature, number = flat[0][at], flat[1][at]
+        del rows, flat, at
+        state = arranged(known, ids[order], labelled[order], hits[order], ends, feature, number)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(LAID_OUT)), pa.array([np.asarray(state[n], t).tobytes() for n, t in LAID_OUT.items()], pa.binary())], names=["name", "data"]
         )
+        del state
+        give_back()
 
     described = train.mapInArrow(describe, "id long, y int, hits int, term array<int>, n array<int>")
     laid_out = described.repartition(1).mapInArrow(lay_out, "name string, data binary").collect()  # at most the sample
