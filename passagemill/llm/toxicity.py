@@ -30,6 +30,7 @@ named like the added ones are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from passagemill.llm.common import give_back, parts_of, ragged
 from passagemill.session import materialize
@@ -49,6 +50,8 @@ NEIGHBOURS = 15
 BLOCK = 512
 BATCH = 16  # texts scored together
 COMMON = 1 / 16  # share of the examples from which a feature is multiplied out
+POSTINGS = 1 << 19  # added up together, however long a text is
+WEIGHED = 1 << 10  # examples weighed together
 SLACK = 2e-5  # far above the rounding of single precision
 CALIBRATION = 1_500  # examples whose own votes calibrate the scores
 PART_BYTES = 2 << 20  # of texts split into words together
@@ -140,13 +143,18 @@ class Index:
 
     def build(self) -> None:
         number, features = len(self.ids), len(self.idf)
-        self.weight = self.weighted(self.ends, self.feature, self.number)
+        self.weight = np.empty(len(self.feature))
+        for low in range(0, number, WEIGHED):
+            ends = self.ends[low : low + WEIGHED + 1]
+            span = slice(ends[0], ends[-1])
+            self.weight[span] = self.weighted(ends - ends[0], self.feature[span], self.number[span])
         row = np.repeat(np.arange(number, dtype=np.int32), np.diff(self.ends))
         order = np.argsort(self.feature, kind="stable")
         sizes = np.bincount(self.feature, minlength=features)
         ends = np.r_[0, np.cumsum(sizes)]
         self.places = Lists(row[order], ends)
-        self.values = Lists(self.weight[order].astype(np.float32), ends)
+        self.values = Lists(self.weight.astype(np.float32)[order], ends)
+        del order
         common = np.flatnonzero(sizes > number * COMMON)
         self.column = np.full(features, -1, np.int32)
         self.column[common] = np.arange(len(common))
@@ -158,7 +166,7 @@ class Index:
         self.bound = self.dense.max(axis=2).T
         first: dict[bytes, int] = {}  # equal examples are scored once
         self.same = np.array([
-            first.setdefault(self.feature[a:b].tobytes() + self.number[a:b].tobytes(), n)
+            first.setdefault(hashlib.blake2b(self.feature[a:b].tobytes() + self.number[a:b].tobytes(), digest_size=16).digest(), n)
             for n, (a, b) in enumerate(zip(self.ends.tolist(), self.ends[1:].tolist()))
         ], np.int64)
 
@@ -200,10 +208,14 @@ class Index:
         asked[row[common], column[common]] = weight[common]
         first = self.places.ends[feature[rare]]
         sizes = self.places.ends[feature[rare] + 1] - first
-        at = ragged(first, sizes)
-        cell = np.repeat(row[rare] * (blocks * BLOCK), sizes) + self.places.flat[at]
-        amount = np.repeat(weight[rare], sizes) * self.values.flat[at]
-        scores = np.bincount(cell, amount, texts * blocks * BLOCK).astype(float).reshape(texts, blocks, BLOCK)
+        low, amount = row[rare] * (blocks * BLOCK), weight[rare]
+        scores = np.zeros(texts * blocks * BLOCK)
+        turn = np.cumsum(sizes) // POSTINGS
+        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(turn)) + 1):
+            at = ragged(first[some], sizes[some])
+            cell = np.repeat(low[some], sizes[some]) + self.places.flat[at]
+            scores += np.bincount(cell, np.repeat(amount[some], sizes[some]) * self.values.flat[at], len(scores))
+        scores = scores.reshape(texts, blocks, BLOCK)
         bounds = scores.max(axis=2) + asked @ self.bound
         top = np.zeros((texts, k))
         for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
@@ -399,12 +411,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 def scored(docs: DataFrame, state: dict) -> DataFrame:
     """Each row as the struct ``row``, with its score, decision and evidence beside it."""
     shipped = docs.sparkSession.sparkContext.broadcast(state)
-    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    given = docs.select(F.struct(*docs.columns).alias("row"))
+    own = [n for n, f in enumerate(docs.schema) if f.name == "text" and f.dataType == StringType()]
+    if not own:  # texts of another type travel beside the row
+        given = given.withColumn("text", F.col("row.text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shipped.value)  # gone with the task: workers live on
+        give_back()
         for batch in batches:
-            found = [f for part in parts_of(batch, "text", PART_BYTES) for f in index.score(part.column("text").to_pylist())]
+            texts = pa.RecordBatch.from_arrays([batch.column(0).field(own[0]) if own else batch.column(1)], names=["text"])
+            found = [f for part in parts_of(texts, "text", PART_BYTES) for f in index.score(part.column(0).to_pylist())]
             scores = np.clip([f[0] for f in found], 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [

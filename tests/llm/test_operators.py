@@ -287,6 +287,8 @@ def test_nearest_examples_equal_a_dense_brute_force_from_texts(spark, monkeypatc
     """Neighbours and cosines from the texts alone: own words, weights and ranking, over several blocks and batches."""
     monkeypatch.setattr(toxicity, "BLOCK", 16)
     monkeypatch.setattr(toxicity, "BATCH", 7)
+    monkeypatch.setattr(toxicity, "POSTINGS", 40)
+    monkeypatch.setattr(toxicity, "WEIGHED", 9)
     r = random.Random(4)
     vocabulary = [f"Wort{n}" for n in range(60)]
 
