@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions.text import words
+from passagemill.functions.vectors import normalize
 
 HASH_DIM = 256
 
@@ -31,6 +32,41 @@ def hash_encoder(dim: int = HASH_DIM, text: str = "text", out: str = "embedding"
     return encode
 
 
+def signed_encoder(dim: int = HASH_DIM, text: str = "text", out: str = "embedding"):
+    """Signed feature hashing by SHA-1, so that any SQL engine gives the same vectors.
+
+    A word adds 1 or -1, by its ninth hex digit, to the component that its first
+    eight digits name; words that meet in a component partly cancel instead of
+    adding up.  Vectors have unit length; texts without words stay zero.
+    """
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
+
+    signs = ("+", "-")
+    places = [f"{s}{n}" for s in signs for n in range(dim)]
+
+    def place(word: Column) -> Column:
+        digest = F.sha1(word.cast("binary"))
+        number = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+        odd = F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1
+        return F.concat(F.when(odd, signs[1]).otherwise(signs[0]), number.cast("string"))
+
+    def encode(df: DataFrame) -> DataFrame:
+        given = df.columns
+        counter = CountVectorizerModel.from_vocabulary(
+            places, inputCol="_places", outputCol="_counts"
+        )
+        counted = counter.transform(df.withColumn("_places", F.transform(words(F.col(text), 1), place)))
+        both = counted.withColumn("_both", vector_to_array("_counts"))
+        signed = F.transform(
+            F.slice("_both", 1, dim), lambda x, n: x - F.element_at("_both", n + dim + 1)
+        )
+        unit = both.withColumn("_signed", signed).withColumn(out, normalize(F.col("_signed")).cast("array<float>"))
+        return unit.select(*[c for c in given if c != out], out)
+
+    return encode
+
+
 def model_encoder(
     load: Callable[[], Callable[[list[str]], list]], text: str = "text", out: str = "embedding"
 ):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passagemill import values as V
 from passagemill.functions.predicates import is_hit
@@ -112,6 +113,12 @@ def score_histogram(rows: DataFrame, bins: int = HIST_BINS) -> DataFrame:
 
 
 def write_report(rows: DataFrame, metrics: DataFrame, path: str) -> None:
-    """Rows as CSV with a header, metrics as JSON."""
-    rows.write.mode("overwrite").option("header", True).csv(f"{path}/eval_results")
+    """Rows as CSV with a header and doubled quotes, metrics as JSON."""
+    rows.write.mode("overwrite").options(header=True, escape='"').csv(f"{path}/eval_results")
     metrics.write.mode("overwrite").json(f"{path}/metrics")
+
+
+def read_report_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a report; questions may hold line breaks, so a file is read as a whole."""
+    how = {"header": True, "escape": '"', "multiLine": True}
+    return spark.read.options(**how).schema(schema).csv(f"{path}/eval_results")

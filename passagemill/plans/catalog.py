@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passagemill import values as V
 from passagemill.functions import html as H
@@ -18,7 +19,7 @@ from passagemill.operators import answers as A
 from passagemill.operators import dedup, evaluation, feedback, filters, search, stats
 from passagemill.operators import rerank as second_stage
 from passagemill.operators.chunking import chunk_documents
-from passagemill.operators.encoding import hash_encoder
+from passagemill.operators.encoding import hash_encoder, signed_encoder
 from passagemill.plans import ask
 from passagemill.plans import fixtures as D
 from passagemill.plans import ingest as I
@@ -308,21 +309,52 @@ def log_tail(spark, sf):
 
 
 @query
-def encode_hash(spark, sf):
-    encoded = hash_encoder()(D.chunks(spark, sf))
-    return encoded.select(
-        "chunk_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 6).cast("string")), ",")
-        .alias("embedding")
+def value_scan(spark, sf):
+    """Every line that holds one JSON value, whatever its kind."""
+    path = scratch_path(spark, "lines")
+    D.corpus_lines(spark, sf).write.text(path)
+    rows = jsonl.parse_values(jsonl.read_lines(spark, path))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+
+    def held(at: str):
+        return F.try_variant_get("value", at, "string")
+
+    plain = F.from_json("json", "chunk_id string")["chunk_id"]
+    return rows.select(F.coalesce(held("$.chunk_id"), held("$[0].chunk_id"), plain).alias("chunk_id"), kind.alias("kind"))
+
+
+@query
+def overwrite_chunks(spark, sf):
+    """A table of chunk lines replaced by one without a source, read back strictly."""
+    path = scratch_path(spark, "table")
+    chunks = D.chunks(spark, sf).select(*S.CHUNK_COLUMNS)
+    jsonl.overwrite_objects(chunks, path)
+    jsonl.overwrite_objects(chunks.where(F.col("source_type") != "portal"), path)
+    rows = jsonl.read_chunks(spark, path)
+    return rows.select(
+        "chunk_id", F.sha1("text").alias("text_hash"), "title", "source_type", "url", "date",
+        F.col("extra")["file_name"].alias("file_name"),
     )
 
 
+def _shown(v):
+    """Components in units of 1/100,000."""
+    return F.array_join(F.transform(v, lambda x: F.floor(x.cast("double") * 100000 + 0.5).cast("string")), ",")
+
+
+@query
+def encode_hash(spark, sf):
+    encoded = signed_encoder()(D.chunks(spark, sf))
+    return encoded.select("chunk_id", _shown("embedding").alias("embedding"))
+
+
 @query
 def build_index(spark, sf):
     """Encode and write every chunk, read the index back and check the vectors."""
-    index = corpus.build_index(D.chunks(spark, sf), hash_encoder(), scratch_path(spark, "index"))
+    index = corpus.build_index(D.chunks(spark, sf), signed_encoder(), scratch_path(spark, "index"))
     return index.select(
         "chunk_id", F.size("embedding").cast("bigint").alias("dim"),
-        F.round(l2_norm(F.col("embedding")), 4).alias("norm"),
+        F.round(l2_norm(F.col("embedding")), 4).alias("norm"), F.sha1(_shown("embedding")).alias("vector_hash"),
     )
 
 
@@ -550,14 +582,18 @@ def sync_job(spark, sf):
 
 @query
 def stream_messages(spark, sf):
-    """Messages arriving as files, drained by the streaming job into a corpus table."""
-    arrivals, table = scratch_path(spark, "arrivals"), scratch_path(spark, "corpus")
+    """Messages arriving as files, drained by the streaming job into a store: first those
+    of the users, then, after a restart, all of them."""
+    arrivals, store = scratch_path(spark, "arrivals"), Store(spark, scratch_path(spark, "store"))
+    progress = scratch_path(spark, "progress")
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in D.MESSAGE_SCHEMA.fields]
-    D.messages(spark, sf).select(*columns).write.parquet(arrivals)
-    corpus.append_corpus(D.known_messages(spark, sf), table)
-    source = stream.message_stream(spark, arrivals, D.MESSAGE_SCHEMA)
-    stream.run_message_ingest(source, table, scratch_path(spark, "progress"), D.as_of(), D.SINCE_DAYS)
-    return corpus.read_corpus(spark, table).select(
+    arriving = D.messages(spark, sf).select(*columns)
+    store.add([store.write_part(D.known_messages(spark, sf).select(*S.CHUNK_COLUMNS), "corpus")])
+    for some in (arriving.where(F.col("channel").startswith("https:")), arriving):
+        some.write.mode("append").parquet(arrivals)
+        source = stream.message_stream(spark, arrivals, D.MESSAGE_SCHEMA)
+        stream.run_message_ingest(source, store, progress, D.as_of(), D.SINCE_DAYS)
+    return store.corpus().select(
         "chunk_id", F.col("extra")["message_key"].alias("message_key"), F.sha1("text").alias("text_hash")
     )
 
@@ -573,6 +609,27 @@ def eval_rows(spark, sf):
     return _eval_rows(spark, sf).drop("query")
 
 
+def _report(spark, sf) -> tuple[str, StructType]:
+    """Rows and metrics as a written report, and the schema of its rows."""
+    rows, path = materialize(_eval_rows(spark, sf), "eval"), scratch_path(spark, "report")
+    evaluation.write_report(rows, evaluation.eval_metrics(rows), path)
+    return path, rows.schema
+
+
+@query
+def eval_report_rows(spark, sf):
+    """The rows of a written report, read back from CSV."""
+    return evaluation.read_report_rows(spark, *_report(spark, sf)).drop("query")
+
+
+@query
+def eval_report_metrics(spark, sf):
+    """The metrics of a written report, read back from JSON."""
+    path, _ = _report(spark, sf)
+    read = spark.read.json(f"{path}/metrics")
+    return read.select("n", "recall_at_k", "mrr_at_k", "hit_at_1", "hit_at_3", "hit_at_5", "avg_precision_at_k")
+
+
 @query
 def eval_metrics(spark, sf):
     return evaluation.with_settings(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from passagemill import values as V
 from passagemill.operators.answers import ENGLISH as W
+from passagemill.operators.encoding import HASH_DIM
 from passagemill.plans import fixtures as D
 
 
@@ -487,9 +488,27 @@ SELECT chunk_id, source_type,
 FROM (SELECT *, unnest(CASE WHEN part = 0 THEN [1, 2] ELSE [1] END) FROM chunks)
 WHERE source_type <> 'portal'""", "chunks")
 oracle("log_tail", "SELECT doc_id, ts, query, verdict FROM lab ORDER BY ts DESC, doc_id DESC LIMIT 50", "lab")
-oracle("build_index", f"""
-SELECT chunk_id, 256::BIGINT AS dim, CASE WHEN len({words('text', 1)}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+oracle("value_scan", """
+SELECT chunk_id, unnest(CASE WHEN part = 0 THEN ['OBJECT', 'ARRAY', 'OBJECT', NULL, NULL] ELSE ['OBJECT'] END) AS kind
 FROM chunks""", "chunks")
+oracle("overwrite_chunks", """
+SELECT chunk_id, sha1(text) AS text_hash, title, source_type, url, date, file_name
+FROM chunks WHERE source_type <> 'portal'""", "chunks")
+add("word_places", ("chunks",), f"""
+SELECT chunk_id, ('0x' || substr(h, 1, 8))::BIGINT % {HASH_DIM} AS place,
+       sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS x
+FROM (SELECT chunk_id, sha1(unnest({words('text', 1)})) AS h FROM chunks) GROUP BY ALL""")
+add("vectors", ("word_places", "chunks"), f"""
+SELECT chunk_id, string_agg(floor(coalesce((x / nullif(length, 0))::FLOAT, 0)::DOUBLE * 100000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY place) AS shown,
+       CASE WHEN any_value(length) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+FROM (SELECT c.chunk_id, p.place, coalesce(w.x, 0) AS x, coalesce(l.length, 0) AS length
+      FROM chunks c JOIN (SELECT unnest(range({HASH_DIM})) AS place) p ON true
+      LEFT JOIN word_places w ON w.chunk_id = c.chunk_id AND w.place = p.place
+      LEFT JOIN (SELECT chunk_id, sqrt(sum(x * x)) AS length FROM word_places GROUP BY chunk_id) l ON l.chunk_id = c.chunk_id)
+GROUP BY chunk_id""")
+oracle("encode_hash", "SELECT chunk_id, shown AS embedding FROM vectors", "vectors")
+oracle("build_index", f"""
+SELECT chunk_id, {HASH_DIM}::BIGINT AS dim, norm, sha1(shown) AS vector_hash FROM vectors""", "vectors")
 
 # --- Search -----------------------------------------------------------------
 
@@ -707,6 +726,10 @@ oracle("eval_rows", "SELECT * FROM rows_cut", "rows_cut")
 oracle("eval_metrics", metrics_sql("rows_cut", f""",
        round(avg(precision_at_k), 6) AS avg_precision_at_k, 'index' AS mode,
        {D.LEXICAL_MIN_SCORE}::DOUBLE AS min_score, true AS keyword_filter"""), "rows_cut")
+oracle("eval_report_rows", "SELECT * FROM rows_cut", "rows_cut")
+oracle("eval_report_metrics", f"""
+SELECT n, recall_at_k, mrr_at_k, hit_at_1, hit_at_3, hit_at_5, avg_precision_at_k
+FROM ({metrics_sql("rows_cut", ", round(avg(precision_at_k), 6) AS avg_precision_at_k")})""", "rows_cut")
 oracle("eval_metrics_uncut", metrics_sql("rows_all", ""), "rows_all")
 oracle("eval_hit_ratio", "SELECT hit, count(*) AS n FROM rows_cut GROUP BY hit", "rows_cut")
 oracle("eval_rank_hist", "SELECT hit_rank, count(*) AS n FROM rows_all WHERE hit GROUP BY hit_rank", "rows_all")

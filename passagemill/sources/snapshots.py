@@ -57,12 +57,28 @@ class Store:
         found = json.loads(text)
         return Snapshot(version, tuple(found["corpus"]), tuple(found["index"]))
 
-    def write_part(self, df: DataFrame, kind: str) -> str:
-        """Write rows to a fresh folder; it belongs to no state until it is committed."""
-        name = f"{kind}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/parts/{name}")
+    def write_part(self, df: DataFrame, kind: str, name: str | None = None) -> str:
+        """Write rows to a fresh folder; it belongs to no state until it is committed.
+
+        A ``name`` of the caller's own lets a repeated job replace what it left behind.
+        """
+        mode = "errorifexists" if name is None else "overwrite"
+        name = name or f"{kind}-{uuid.uuid4().hex}"
+        df.write.mode(mode).parquet(f"{self.path}/parts/{name}")
         return name
 
+    def add(self, corpus=(), index=()) -> Snapshot:
+        """Further parts after whatever is newest; those that are named already stay as they are."""
+        while True:
+            base = self.latest()
+            more = [p for p in corpus if p not in base.corpus], [p for p in index if p not in base.index]
+            if not any(more):
+                return base
+            try:
+                return self.commit(base, *more)
+            except Conflict:
+                continue
+
     def commit(self, base: Snapshot, corpus=(), index=(), replace: bool = False) -> Snapshot:
         """The state after ``base`` with further parts, or with these alone."""
         kept = Snapshot(base.version) if replace else base

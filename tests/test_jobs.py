@@ -16,6 +16,7 @@ from passagemill.plans import ingest as I
 from passagemill.session import scratch_path, shared_dir
 from passagemill.sources import corpus, jsonl
 from passagemill.sources import schema as S
+from passagemill.sources.snapshots import Store
 from passagemill.streaming import messages as stream
 
 LONG = "This opening sentence is long enough. "
@@ -399,7 +400,8 @@ def test_doc_labels(spark):
 
 
 def test_stream_is_exact_over_restarts(spark):
-    arrivals, table, progress = (scratch_path(spark, n) for n in ("arrivals", "table", "progress"))
+    arrivals, progress = (scratch_path(spark, n) for n in ("arrivals", "progress"))
+    store = Store(spark, scratch_path(spark, "store"))
     as_of = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
 
     def arrive(rows):
@@ -407,8 +409,8 @@ def test_stream_is_exact_over_restarts(spark):
 
     def drain():
         schema = spark.createDataFrame([], MESSAGES).schema
-        stream.run_message_ingest(stream.message_stream(spark, arrivals, schema), table, progress, as_of, 30)
-        return sorted(r["extra"]["message_key"] for r in corpus.read_corpus(spark, table).collect())
+        stream.run_message_ingest(stream.message_stream(spark, arrivals, schema), store, progress, as_of, 30)
+        return sorted(r["extra"]["message_key"] for r in store.corpus().collect())
 
     arrive([message(1), message(2, ts="2022-01-01T00:00:00"), message(3, text=" ")])
     assert drain() == ["tg:ch:1"]
