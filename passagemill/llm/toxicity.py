@@ -7,9 +7,9 @@ rows (``SAMPLE``).
 The inverted index keeps examples in blocks, those of similar length together.
 Queries are scored in batches: postings of rare words are added up, which with
 the greatest weight of each common word bounds every block; common words are
-multiplied out only in blocks that can still reach a query's k best.  What is
-within rounding of the k best is scored again in double precision, so the result
-is exact.
+multiplied out only in blocks that can still reach a query's k best.  That runs in
+single precision; for what is within rounding of the k best, the common words are
+multiplied out again in double precision, so the result is exact.
 
 Votes weigh by similarity.  Calibration adds to the log odds of the vote what the
 number of a text's leaning words tells (words and first letters that toxic
@@ -30,10 +30,10 @@ named like the added ones are replaced.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,27 +94,42 @@ class Terms:
     """Leaning terms, and the words of all examples by number."""
 
     def __init__(self, terms: list[str], words: pa.Array | None = None):
-        self.terms = frozenset(terms)
-        self.heads = {t.rstrip("*")[: PREFIXES[0]] for t in terms}  # of all words that have a term
-        self.words = pa.array([], pa.string()) if words is None else words
+        self.whole = pa.array(sorted(t for t in terms if not t.endswith("*")), pa.string())
+        self.starts = pa.array(sorted(t[:-1] for t in terms if t.endswith("*")), pa.string())
+        self.number = {} if words is None else dict(zip(words.to_pylist(), range(len(words))))
 
     def __len__(self) -> int:
-        return len(self.words)
+        return len(self.number)
+
+    def leaning(self, words: pa.Array) -> np.ndarray:
+        """Which words are leaning terms or go on from one of the leaning starts (``terms_of``)."""
+        found = pa.compute.is_in(words, value_set=self.whole)
+        length = pa.compute.utf8_length(words)
+        for n in PREFIXES:
+            start = pa.compute.is_in(pa.compute.utf8_slice_codeunits(words, 0, n), value_set=self.starts)
+            found = pa.compute.or_(found, pa.compute.and_(start, pa.compute.greater(length, n)))
+        return found.to_numpy(zero_copy_only=False)
+
+    def cells(self, text: np.ndarray, code: np.ndarray, words: list[str]) -> np.ndarray:
+        """Text and number of each word of an example, as one integer, by text."""
+        word = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))[code]
+        known = word >= 0
+        return text[known] * max(len(self), 1) + word[known]
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ends of the texts from 0 on, their words by number and how often, and the leaning words of each text."""
         text, code, words = coded_words(texts)
-        found = pa.compute.index_in(pa.array(words, pa.string()), value_set=self.words)
-        word = np.asarray(pa.compute.fill_null(found, -1), dtype=np.int64)
-        leaning = np.array(
-            [w[: PREFIXES[0]] in self.heads and any(t in self.terms for t in terms_of(w)) for w in words], bool
-        )
-        hits = np.bincount(text[leaning[code]], minlength=len(texts))
-        known = word[code] >= 0
-        cells, number = np.unique(text[known] * max(len(self), 1) + word[code[known]], return_counts=True)
+        hits = np.bincount(text[self.leaning(pa.array(words, pa.string()))[code]], minlength=len(texts))
+        cells, number = np.unique(self.cells(text, code, words), return_counts=True)
         row, feature = np.divmod(cells, max(len(self), 1))
         return np.searchsorted(row, np.arange(len(texts) + 1)), feature, number, np.minimum(hits, LEANING)
 
+    def occurrence(self, texts: list[str | None]) -> np.ndarray:
+        """In how many of the texts each word is."""
+        text, code, words = coded_words(texts)
+        cells = np.unique(self.cells(text, code, words))
+        return np.bincount(cells % max(len(self), 1), minlength=len(self))
+
 
 class Lists:
     """Slices of one array."""
@@ -153,22 +168,17 @@ class Index:
         sizes = np.bincount(self.feature, minlength=features)
         ends = np.r_[0, np.cumsum(sizes)]
         self.places = Lists(row[order], ends)
-        self.values = Lists(self.weight.astype(np.float32)[order], ends)
+        self.values = Lists(self.weight[order], ends)
         del order
         common = np.flatnonzero(sizes > number * COMMON)
         self.column = np.full(features, -1, np.int32)
         self.column[common] = np.arange(len(common))
         blocks = max(1, -(-number // BLOCK))
-        self.dense = np.zeros((blocks, len(common), BLOCK), np.float32)
+        self.common = np.zeros((blocks * BLOCK, len(common)))  # weights of common words by example
         cell = np.flatnonzero(self.column[self.feature] >= 0)
-        block, place = np.divmod(row[cell], BLOCK)
-        self.dense[block, self.column[self.feature[cell]], place] = self.weight[cell]
+        self.common[row[cell], self.column[self.feature[cell]]] = self.weight[cell]
+        self.dense = np.stack([np.ascontiguousarray(part.T, np.float32) for part in np.split(self.common, blocks)])
         self.bound = self.dense.max(axis=2).T
-        first: dict[bytes, int] = {}  # equal examples are scored once
-        self.same = np.array([
-            first.setdefault(hashlib.blake2b(self.feature[a:b].tobytes() + self.number[a:b].tobytes(), digest_size=16).digest(), n)
-            for n, (a, b) in enumerate(zip(self.ends.tolist(), self.ends[1:].tolist()))
-        ], np.int64)
 
     def weighted(self, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
         """TF-IDF weights of the words of each text, of length one."""
@@ -179,56 +189,55 @@ class Index:
 
     def best(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple]:
         """For each text its nearest examples and their cosines, best first: exactly the k best above zero."""
-        buffer = np.zeros(len(self.idf))
         for low in range(0, len(ends) - 1, BATCH):
             part = ends[low : low + BATCH + 1]
             span = slice(part[0], part[-1])
-            near = self.candidates(part - part[0], feature[span], weight[span], NEIGHBOURS + (skip is not None))
-            for n, places in enumerate(near):
-                if skip is not None:
-                    places = places[places != skip[low + n]]
-                own = slice(part[n], part[n + 1])
-                buffer[feature[own]] = weight[own]
-                kinds, kind = np.unique(self.same[places], return_inverse=True)
-                sizes = self.ends[kinds + 1] - self.ends[kinds]
-                at = ragged(self.ends[kinds], sizes)
-                exact = np.bincount(np.repeat(np.arange(len(kinds)), sizes), buffer[self.feature[at]] * self.weight[at], len(kinds))[kind]
-                buffer[feature[own]] = 0
-                order = np.lexsort((self.ids[places], -np.round(exact, 9)))
-                order = order[exact[order] > 0][:NEIGHBOURS]
-                yield places[order], exact[order]
-
-    def candidates(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each text of a batch the examples that are among its k best up to rounding."""
+            text, place, exact = self.candidates(part - part[0], feature[span], weight[span], NEIGHBOURS + (skip is not None))
+            if skip is not None:
+                other = place != skip[low + text]
+                text, place, exact = text[other], place[other], exact[other]
+            order = np.lexsort((self.ids[place], -np.round(exact, 9), text))
+            text, place, exact = text[order], place[order], exact[order]
+            bounds = np.searchsorted(text, np.arange(len(part)))
+            for first, last in zip(bounds[:-1], np.minimum(bounds[1:], bounds[:-1] + NEIGHBOURS)):
+                yield place[first:last], exact[first:last]
+
+    def candidates(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of a batch, examples that are among their k best up to rounding, and the cosines."""
         texts, blocks = len(ends) - 1, len(self.dense)
         row = np.repeat(np.arange(texts), np.diff(ends))
         column = self.column[feature]
         common, rare = column >= 0, column < 0
-        asked = np.zeros((texts, self.dense.shape[1]), np.float32)
+        asked = np.zeros((texts, self.common.shape[1]))
         asked[row[common], column[common]] = weight[common]
+        single = asked.astype(np.float32)
         first = self.places.ends[feature[rare]]
         sizes = self.places.ends[feature[rare] + 1] - first
         low, amount = row[rare] * (blocks * BLOCK), weight[rare]
-        scores = np.zeros(texts * blocks * BLOCK)
+        exact = np.zeros(texts * blocks * BLOCK)  # of the rare words
         turn = np.cumsum(sizes) // POSTINGS
         for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(turn)) + 1):
             at = ragged(first[some], sizes[some])
             cell = np.repeat(low[some], sizes[some]) + self.places.flat[at]
-            scores += np.bincount(cell, np.repeat(amount[some], sizes[some]) * self.values.flat[at], len(scores))
-        scores = scores.reshape(texts, blocks, BLOCK)
-        bounds = scores.max(axis=2) + asked @ self.bound
-        top = np.zeros((texts, k))
+            exact += np.bincount(cell, np.repeat(amount[some], sizes[some]) * self.values.flat[at], len(exact))
+        exact = exact.reshape(texts, blocks * BLOCK)
+        scores = exact.astype(np.float32).reshape(texts, blocks, BLOCK)
+        bounds = scores.max(axis=2) + single @ self.bound
+        top = np.zeros((texts, k), np.float32)
         for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
             visit = bounds[:, b] > np.maximum(top[:, 0] - SLACK, 0)
             scores[~visit, b] = 0
             own = np.flatnonzero(visit)
             if len(own):
-                scores[own, b] += asked[own] @ self.dense[b]
+                scores[own, b] += single[own] @ self.dense[b]
                 seen = np.concatenate([top[own], scores[own, b]], axis=1)
                 top[own] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
         scores = scores.reshape(texts, blocks * BLOCK)
-        place = np.nonzero((scores >= top[:, :1] - SLACK) & (scores > 0))
-        return np.split(place[1], np.searchsorted(place[0], np.arange(1, texts)))
+        text, place = np.nonzero((scores >= top[:, :1] - SLACK) & (scores > 0))
+        found = exact[text, place]
+        for some in np.split(np.arange(len(text)), np.arange(WEIGHED, len(text), WEIGHED)):
+            found[some] += np.einsum("ij,ij->i", asked[text[some]], self.common[place[some]])
+        return text, place, found
 
     def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
         if not len(places):
@@ -347,7 +356,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
                 seen[-1] += part.num_rows
-                seen[:-1] += np.bincount(own.counts(part.column(0).to_pylist())[1], minlength=len(own))
+                seen[:-1] += own.occurrence(part.column(0).to_pylist())
         starts = np.arange(0, len(seen), COUNTED)
         yield pa.RecordBatch.from_arrays(
             [pa.array(starts), pa.array([seen[a : a + COUNTED].tobytes() for a in starts], pa.binary())], names=["low", "n"]
