@@ -2,9 +2,12 @@
 
 Questions whose encoding is proven small are shipped to every task, which scores
 its own chunks block by block and keeps the best k per question; no chunk is
-shuffled.  Larger question sets are cut, like the chunks, into blocks of bounded
-size that meet in a co-grouped join.  Either way a task only emits candidates
-for the final best-k per question.
+shuffled.  Larger question sets are cut into blocks within the same bounds; each
+block is one pass over the chunks, whose result is written before the next one
+starts.  Either way a task only emits candidates for the final best-k per question.
+
+Vectors are scored from the longest on: the product of two lengths bounds a score,
+so a tile of chunks is left out for the questions that it can no longer change.
 """
 
 from __future__ import annotations
@@ -16,21 +19,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill import values as V
 from passagemill.operators.ranking import top_per_group
+from passagemill.session import scratch_path
 
 # Bounds of what is shipped to every task, and of the arrays a task works on.
 MAX_SHIPPED_ROWS = 50_000
 MAX_SHIPPED_VALUES = 8_000_000
 MAX_CELLS = 4_000_000
+TILE_ROWS = 2_000
 SCORING_WAVES = 8
-# Block sizes of the shuffled form.
-QUERY_BLOCK_VALUES = 2_000_000
-CHUNK_BLOCK_ROWS = 50_000
+BOUND_SLACK = 2e-6  # above the rounding of a score and of its bound
 
 
 def _round(scores: np.ndarray) -> np.ndarray:
@@ -48,19 +51,23 @@ class Best:
         self.parts: list[pd.DataFrame] = []
         self.pending = 0
 
-    def offer(self, scores: np.ndarray, ids: np.ndarray, valid: np.ndarray | None = None) -> None:
-        """``scores`` is chunks x questions; ties at the cut stay until ids decide."""
+    def offer(
+        self, scores: np.ndarray, ids: np.ndarray, valid: np.ndarray | None = None,
+        queries: np.ndarray | slice = slice(None),
+    ) -> None:
+        """``scores`` is chunks x ``queries``; ties at the cut stay until ids decide."""
         if valid is not None:
             scores = np.where(valid, scores, -np.inf)
-        floor = self.floor
         if len(scores) > self.k:
             at = len(scores) - self.k
-            floor = np.maximum(floor, np.partition(scores, at, axis=0)[at])
-        row, query = np.nonzero((scores >= floor) & np.isfinite(scores))
+            own = np.where(np.isnan(scores), -np.inf, scores)
+            self.floor[queries] = np.maximum(self.floor[queries], np.partition(own, at, axis=0)[at])
+        row, query = np.nonzero((scores >= self.floor[queries]) & np.isfinite(scores))
         if len(row):
-            self.parts.append(pd.DataFrame(
-                {"query": query, "score": scores[row, query], "chunk_id": ids[row]}
-            ))
+            self.parts.append(pd.DataFrame({
+                "query": np.arange(len(self.floor))[queries][query], "score": scores[row, query],
+                "chunk_id": ids[row],
+            }))
             self.pending += len(row)
         if self.pending > max(200_000, 4 * self.k * len(self.floor)):
             self.prune()
@@ -96,6 +103,7 @@ class DenseQuestions:
     def __init__(self, table: pa.Table):
         self.ids = table.column("query_id").to_pylist()
         self.matrix = self._matrix(table.column("embedding").combine_chunks())
+        self.length = np.linalg.norm(self.matrix, axis=1)
 
     @staticmethod
     def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,9 +113,16 @@ class DenseQuestions:
     def score(self, batch: pa.RecordBatch, best: Best) -> None:
         vectors = self._matrix(batch.column("embedding"))
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-        step = max(1, MAX_CELLS // max(1, len(self.ids)))
+        lengths = np.linalg.norm(vectors, axis=1)
+        order = np.argsort(-lengths, kind="stable")  # nan last: such scores are no results
+        step = max(1, min(TILE_ROWS, MAX_CELLS // max(1, len(self.ids))))
         for at in range(0, len(ids), step):
-            best.offer(_round(vectors[at:at + step] @ self.matrix.T), ids[at:at + step])
+            tile = order[at:at + step]
+            bound = lengths[tile[0]] * self.length + BOUND_SLACK * (1 + lengths[tile[0]] * self.length)
+            within = np.flatnonzero(~(bound < best.floor))
+            if not len(within):
+                break  # what follows is shorter still
+            best.offer(_round(vectors[tile] @ self.matrix[within].T), ids[tile], queries=within)
 
 
 class TermQuestions:
@@ -184,10 +199,15 @@ def _arrow_type(spark_type: T.DataType) -> pa.DataType:
 
 
 def best_pairs(
-    queries: DataFrame, index: DataFrame, k: int, method: str = "vector"
+    queries: DataFrame, index: DataFrame, k: int, method: str = "vector", block_rows: int | None = None
 ) -> tuple[DataFrame, int]:
     """``(query_id, chunk_id, score, rank)`` of the k best chunks of each question,
-    and the number of questions, which bounds the size of the result."""
+    and the number of questions, which bounds the size of the result.
+
+    More than ``block_rows`` questions (by default the bound of what is shipped) are
+    answered block by block; the result is the same.
+    """
+    most = min(block_rows or MAX_SHIPPED_ROWS, MAX_SHIPPED_ROWS)
     kind = METHODS[method]
     wanted = [kind.value, *kind.extra]
     asked = queries.select("query_id", *wanted).where(F.col(kind.value).isNotNull())
@@ -201,18 +221,29 @@ def best_pairs(
     out = pa.schema([
         ("query_id", _arrow_type(id_type)), ("chunk_id", pa.string()), ("score", pa.float64()),
     ])
-    size = asked.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(F.size(kind.value)), F.lit(0)).alias("values")
-    ).first()
-    if size["rows"] <= MAX_SHIPPED_ROWS and size["values"] <= MAX_SHIPPED_VALUES:
-        pairs = _shipped(kind, asked, chunks, k, spark_schema, out)
-    else:
-        pairs = _blocked(kind, asked, chunks, k, spark_schema, out, size["values"])
+    size = asked.agg(*_size(kind)).first()
     order = [F.desc("score"), F.asc("chunk_id")]
-    return top_per_group(pairs, ["query_id"], order, k), size["rows"]
 
+    def ranked(part: DataFrame):
+        pairs, shared = _shipped(kind, part, chunks, k, spark_schema, out)
+        return top_per_group(pairs, ["query_id"], order, k), shared
+
+    if _fits(size, most):
+        return ranked(asked)[0], size["rows"]
+    return _in_turns(kind, asked, ranked, size, most), size["rows"]
+
+
+def _size(kind) -> list[Column]:
+    values = F.coalesce(F.sum(F.size(kind.value)), F.lit(0))
+    return [F.count("*").alias("rows"), values.alias("values")]
 
-def _shipped(kind, asked, chunks, k, spark_schema, out) -> DataFrame:
+
+def _fits(size, most: int) -> bool:
+    return size["rows"] <= most and size["values"] <= MAX_SHIPPED_VALUES
+
+
+def _shipped(kind, asked, chunks, k, spark_schema, out):
+    """Candidates of questions within the bounds, and the broadcast they need."""
     shared = chunks.sparkSession.sparkContext.broadcast(asked.toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,30 +259,25 @@ def _shipped(kind, asked, chunks, k, spark_schema, out) -> DataFrame:
     # Every task emits up to k rows per question, so a corpus of very many splits is
     # read by a few waves of larger tasks; fewer splits stay as they are.
     tasks = SCORING_WAVES * chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.coalesce(tasks).mapInArrow(run, spark_schema)
-
-
-def _blocked(kind, asked, chunks, k, spark_schema, out, values: int) -> DataFrame:
-    q_blocks = max(1, ceil(values / QUERY_BLOCK_VALUES))
-    c_blocks = max(1, ceil(chunks.count() / CHUNK_BLOCK_ROWS))
-
-    def copies(df: DataFrame, key: str, own: int, other: int, own_name: str, other_name: str):
-        return df.withColumn(own_name, F.pmod(F.xxhash64(key), F.lit(own))).withColumn(
-            other_name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other - 1).cast("bigint")))
-        )
-
-    left = copies(asked, "query_id", q_blocks, c_blocks, "qb", "cb")
-    right = copies(chunks, "chunk_id", c_blocks, q_blocks, "cb", "qb")
-
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or c.num_rows == 0:
-            return out.empty_table()
-        questions = kind(q)
-        best = Best(len(questions.ids), k)
-        for batch in c.combine_chunks().to_batches():
-            questions.score(batch, best)
-        return pa.Table.from_batches([_emit(questions, best, out)], out)
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(
-        run, spark_schema
-    )
+    return chunks.coalesce(tasks).mapInArrow(run, spark_schema), shared
+
+
+def _in_turns(kind, asked: DataFrame, ranked, size, most: int) -> DataFrame:
+    """Best pairs of questions dealt by hash to blocks that fit; the largest block is
+    measured, not estimated, and a question alone always is a block."""
+    spark = asked.sparkSession
+    blocks = 2 * max(ceil(size["rows"] / most), ceil(size["values"] / MAX_SHIPPED_VALUES))
+    while True:
+        dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        measured = dealt.groupBy("_block").agg(*_size(kind))
+        if blocks >= 4 * size["rows"] or _fits(measured.agg(*(F.max(c).alias(c) for c in ("rows", "values"))).first(), most):
+            break
+        blocks *= 2
+    path, found = scratch_path(spark, "questions"), scratch_path(spark, "best_pairs")
+    dealt.repartition("_block").write.partitionBy("_block").parquet(path)
+    stored = spark.read.schema(dealt.schema).parquet(path)
+    for block in range(blocks):
+        pairs, shared = ranked(stored.where(F.col("_block") == block).drop("_block"))
+        pairs.write.mode("append").parquet(found)
+        shared.destroy()
+    return spark.read.schema(pairs.schema).parquet(found)

@@ -43,21 +43,40 @@ def eval_rows(
     )
 
 
-def eval_metrics(rows: DataFrame, top_k: int = V.TOP_K) -> DataFrame:
-    """One row of quality metrics.
+COUNTS = ("n", "hits", "reciprocal", "precision", "hits_1", "hits_3", "hits_5")
+
 
-    Rows are counted per top score first.  Scores have a fixed number of
-    digits, so the median is taken over a bounded table of counts, however many
-    rules there are.
+def score_counts(rows: DataFrame) -> DataFrame:
+    """What metrics and the score histogram need, per top score.
+
+    Scores have a fixed number of digits, so this is a table of bounded size, however
+    many rules there are; tables of several runs add up (``merged_counts``).
     """
     rank = F.col("hit_rank")
-    counted = rows.groupBy("top1_score").agg(
+    return rows.groupBy("top1_score").agg(
         F.count("*").alias("n"),
         F.count_if("hit").alias("hits"),
         F.sum(F.when(rank.isNotNull(), 1.0 / rank).otherwise(0.0)).alias("reciprocal"),
         F.sum("precision_at_k").alias("precision"),
         *[F.count_if(F.coalesce(rank <= k, F.lit(False))).alias(f"hits_{k}") for k in (1, 3, 5)],
     )
+
+
+def merged_counts(*parts: DataFrame) -> DataFrame:
+    """Counts of all parts together, as if their rows had been counted at once."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("top1_score").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def eval_metrics(rows: DataFrame, top_k: int = V.TOP_K) -> DataFrame:
+    """One row of quality metrics."""
+    return metrics_of(score_counts(rows), top_k)
+
+
+def metrics_of(counted: DataFrame, top_k: int = V.TOP_K) -> DataFrame:
+    """One row of quality metrics from counts per score."""
     n = F.sum("n")
 
     def share(total):
@@ -91,7 +110,12 @@ def rank_histogram(rows: DataFrame) -> DataFrame:
 
 def score_histogram(rows: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins over the range of top scores, empty bins included."""
-    scores = rows.where(F.col("top1_score").isNotNull()).select("top1_score")
+    return histogram_of(rows.groupBy("top1_score").agg(F.count("*").alias("n")), bins)
+
+
+def histogram_of(counted: DataFrame, bins: int = HIST_BINS) -> DataFrame:
+    """The score histogram from counts per score."""
+    scores = counted.where(F.col("top1_score").isNotNull()).select("top1_score", "n")
     span = scores.agg(
         F.min("top1_score").alias("lo"), F.max("top1_score").alias("hi")
     ).select(
@@ -100,10 +124,8 @@ def score_histogram(rows: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     )
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     place = F.floor((F.col("top1_score") - lo) / (hi - lo) * bins)
-    counts = scores.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(
-        F.count("*").alias("n")
-    )
-    every = rows.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    counts = scores.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"))
+    every = counted.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return every.join(counts, "bin", "left").select(
         "bin",
         F.round(lo + (hi - lo) * F.col("bin") / bins, 8).alias("lower"),

@@ -19,7 +19,7 @@ MAX_BROADCAST_PAIRS = 500_000
 
 def candidates(
     queries: DataFrame, index: DataFrame | TermIndex, k: int, method: str = "vector",
-    chunks: DataFrame | None = None,
+    chunks: DataFrame | None = None, block_rows: int | None = None,
 ) -> DataFrame:
     """The k best chunks of each question with their columns: ``query_id, query,
     keywords, first_rank, score, chunk...``; no filter applied.
@@ -30,7 +30,7 @@ def candidates(
     stored = isinstance(index, TermIndex)
     if chunks is not None and not stored:  # an encoding without its chunk must not take a place among the best
         index = index.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    pairs, n_queries = best_by_terms(queries, index, k) if stored else best_pairs(queries, index, k, method)
+    pairs, n_queries = best_by_terms(queries, index, k) if stored else best_pairs(queries, index, k, method, block_rows)
     pairs = pairs.withColumnRenamed("rank", "first_rank")
     if n_queries * k <= MAX_BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
@@ -47,16 +47,17 @@ def search(
     keyword_filter: bool = True,
     internal_k: int | None = None,
     method: str = "vector",
-    chunks: DataFrame | None = None,
+    chunks: DataFrame | None = None, block_rows: int | None = None,
 ) -> DataFrame:
     """Every candidate that passes the filters, ranked again per question.
 
     The filters run after the cut to ``internal_k``, so fewer rows than
     ``top_k`` may remain; the caller cuts to ``top_k``.  Where the index holds
-    only ids and encodings, ``chunks`` gives the chunk columns.
+    only ids and encodings, ``chunks`` gives the chunk columns.  ``block_rows`` bounds
+    the questions answered in one pass over an index of encodings.
     """
     k = V.internal_k(top_k) if internal_k is None else internal_k
-    found = candidates(queries, index, k, method, chunks)
+    found = candidates(queries, index, k, method, chunks, block_rows)
     text = F.col("text")
     useful = ~is_noise(text)
     if keyword_filter:

@@ -379,6 +379,16 @@ def vector_search(spark, sf):
     return found.select("query_id", "rank", "chunk_id", "score", "title")
 
 
+@query
+def vector_search_blocks(spark, sf):
+    """The same search with more questions than go into one pass over the index."""
+    found = search.search(
+        D.vec_queries(spark, sf), D.vec_index(spark, sf), min_score=D.VECTOR_MIN_SCORE,
+        chunks=D.vec_chunks(spark, sf), block_rows=D.BLOCK_QUESTIONS,
+    )
+    return found.select("query_id", "rank", "chunk_id", "score", "title")
+
+
 def _search(spark, sf, min_score: float = D.LEXICAL_MIN_SCORE) -> DataFrame:
     return search.search(
         D.queries(spark, sf), D.lexical_index(spark, sf), min_score=min_score, method="lexical"
@@ -659,6 +669,26 @@ def eval_score_hist(spark, sf):
     return evaluation.score_histogram(rows)
 
 
+def _counts_of_parts(spark, sf) -> DataFrame:
+    """Rules that arrive in two parts: counts of each are written, then merged."""
+    rows = _eval_rows(spark, sf)
+    odd = F.coalesce(F.xxhash64("query_id") % 2 != 0, F.lit(False))
+    rows = materialize(rows, "eval")
+    return evaluation.merged_counts(*(
+        materialize(evaluation.score_counts(rows.where(part)), "counts") for part in (odd, ~odd)
+    ))
+
+
+@query
+def eval_metrics_merged(spark, sf):
+    return evaluation.metrics_of(_counts_of_parts(spark, sf))
+
+
+@query
+def eval_score_hist_merged(spark, sf):
+    return evaluation.histogram_of(materialize(_counts_of_parts(spark, sf), "counts"))
+
+
 @query
 def feedback_payload(spark, sf):
     """A record per rating; ratings are dealt to the questions in turn."""

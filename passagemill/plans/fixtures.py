@@ -28,6 +28,7 @@ CHANNEL_CAP = 50
 LEXICAL_MIN_SCORE = 0.2
 VECTOR_MIN_SCORE = 0.2
 KNOWN_BUCKETS = 16
+BLOCK_QUESTIONS = 4  # in one pass, where a search goes in blocks
 RATED_QUESTIONS = 40  # ratings are dealt to the first questions
 PAGE_DAY = dt.date(2024, 1, 3)
 

@@ -516,12 +516,14 @@ oracle("vector_normalize", """
 SELECT vec_id, array_to_string(list_transform(v, lambda x:
          CAST(CAST(round(x / sqrt(list_inner_product(v, v)), 5) AS DECIMAL(9, 5)) AS VARCHAR)), ',') AS unit
 FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label + 1)) AS v FROM embeddings)""")
-oracle("vector_search", f"""
+VECTOR_SEARCH = f"""
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS rank, chunk_id, score, title FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS first_rank FROM vec_pairs)
 WHERE first_rank <= {V.internal_k()} AND score >= {D.VECTOR_MIN_SCORE} AND NOT {noise('text')}
   AND ({has_kw("coalesce(text, '')", keywords('query'))}
-       OR {has_kw("coalesce(title, '') || ' ' || coalesce(url, '')", keywords('query'))})""", "vec_pairs")
+       OR {has_kw("coalesce(title, '') || ' ' || coalesce(url, '')", keywords('query'))})"""
+oracle("vector_search", VECTOR_SEARCH, "vec_pairs")
+oracle("vector_search_blocks", VECTOR_SEARCH, "vec_pairs")
 oracle("lexical_search", "SELECT query_id, rank, chunk_id, score FROM found", "found")
 
 add("reranked_all", ("found",), f"""
@@ -726,6 +728,7 @@ oracle("eval_rows", "SELECT * FROM rows_cut", "rows_cut")
 oracle("eval_metrics", metrics_sql("rows_cut", f""",
        round(avg(precision_at_k), 6) AS avg_precision_at_k, 'index' AS mode,
        {D.LEXICAL_MIN_SCORE}::DOUBLE AS min_score, true AS keyword_filter"""), "rows_cut")
+oracle("eval_metrics_merged", metrics_sql("rows_cut", ", round(avg(precision_at_k), 6) AS avg_precision_at_k"), "rows_cut")
 oracle("eval_report_rows", "SELECT * FROM rows_cut", "rows_cut")
 oracle("eval_report_metrics", f"""
 SELECT n, recall_at_k, mrr_at_k, hit_at_1, hit_at_3, hit_at_5, avg_precision_at_k
@@ -733,12 +736,14 @@ FROM ({metrics_sql("rows_cut", ", round(avg(precision_at_k), 6) AS avg_precision
 oracle("eval_metrics_uncut", metrics_sql("rows_all", ""), "rows_all")
 oracle("eval_hit_ratio", "SELECT hit, count(*) AS n FROM rows_cut GROUP BY hit", "rows_cut")
 oracle("eval_rank_hist", "SELECT hit_rank, count(*) AS n FROM rows_all WHERE hit GROUP BY hit_rank", "rows_all")
-oracle("eval_score_hist", """
+SCORE_HISTOGRAM = """
 SELECT bin, round(lo + (hi - lo) * bin / 10, 8) AS lower, round(lo + (hi - lo) * (bin + 1) / 10, 8) AS upper,
        (SELECT count(*) FROM rows_cut
         WHERE top1_score IS NOT NULL AND least(floor((top1_score - lo) / (hi - lo) * 10), 9) = bin) AS n
 FROM (SELECT unnest(range(10)) AS bin, lo, hi
-      FROM (SELECT min(top1_score) AS lo, max(top1_score) AS hi FROM rows_cut))""", "rows_cut")
+      FROM (SELECT min(top1_score) AS lo, max(top1_score) AS hi FROM rows_cut))"""
+oracle("eval_score_hist", SCORE_HISTOGRAM, "rows_cut")
+oracle("eval_score_hist_merged", SCORE_HISTOGRAM, "rows_cut")
 oracle("feedback_payload", f"""
 SELECT l.doc_id % {D.RATED_QUESTIONS} AS query_id, l.ts, l.rating, {strip('l.comment')} AS comment,
        left(coalesce(a.markdown, ''), {V.ANSWER_SNIP}) AS answer_snippet,

@@ -50,13 +50,41 @@ def test_shipped_form_is_exact(vectors):
 def test_blocked_form_is_exact(vectors, monkeypatch):
     q, c, want = vectors
     monkeypatch.setattr(blocks, "MAX_SHIPPED_ROWS", 3)
-    monkeypatch.setattr(blocks, "QUERY_BLOCK_VALUES", 40)
-    monkeypatch.setattr(blocks, "CHUNK_BLOCK_ROWS", 150)
+    monkeypatch.setattr(blocks, "TILE_ROWS", 7)
     pairs, _ = blocks.best_pairs(q, c, K)
     assert "Cartesian" not in pairs._jdf.queryExecution().toString()
     assert collected(pairs) == want
 
 
+def test_short_vectors_are_left_out_by_their_length(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    chunks = rng.normal(size=(400, 8)) * (1 / (1 + np.arange(400)))[:, None]
+    chunks[0], chunks[1], chunks[2] = np.nan, 0.0, chunks[7]  # nan, no length, a tie
+    asked = rng.normal(size=(6, 8))
+    asked[0] = 0.0
+
+    def batch(name, vectors):
+        names = [f"{name}{n:03}" for n in range(len(vectors))]
+        return pa.table({f"{name}_id": names, "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+
+    questions, scored = blocks.DenseQuestions(batch("query", asked)), []
+    offer = blocks.Best.offer
+    monkeypatch.setattr(blocks, "TILE_ROWS", 20)
+    monkeypatch.setattr(blocks.Best, "offer", lambda self, s, *a, **b: (scored.append(s.size), offer(self, s, *a, **b)))
+    best = blocks.Best(6, 5)
+    questions.score(batch("chunk", chunks).to_batches()[0], best)
+    assert sum(scored) < 400 * 6
+    kept = best.prune()
+    for q in range(6):
+        all_scores = blocks._round(chunks @ asked[q])
+        want = sorted((-s, f"chunk{n:03}") for n, s in enumerate(all_scores) if np.isfinite(s))[:5]
+        mine = kept[kept["query"] == q]
+        assert list(zip(-mine["score"], mine["chunk_id"])) == want
+
+
 def test_small_steps_do_not_change_the_result(vectors):
     q, c, want = vectors
     questions = blocks.DenseQuestions(q.toArrow())
@@ -104,8 +132,7 @@ def test_lexical_is_exact(spark, monkeypatch, shipped, cells):
     monkeypatch.setattr(blocks, "MAX_CELLS", cells)
     if not shipped:
         monkeypatch.setattr(blocks, "MAX_SHIPPED_ROWS", 1)
-        monkeypatch.setattr(blocks, "QUERY_BLOCK_VALUES", 12)
-        monkeypatch.setattr(blocks, "CHUNK_BLOCK_ROWS", 90)
+        monkeypatch.setattr(blocks, "MAX_SHIPPED_VALUES", 12)
     q = term_encoder("query")(spark.createDataFrame(queries, "query_id string, query string"))
     c = term_encoder("text")(spark.createDataFrame(texts, "chunk_id string, text string").repartition(3))
     pairs, _ = blocks.best_pairs(q, c, K, "lexical")
