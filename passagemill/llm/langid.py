@@ -4,11 +4,13 @@ Every language has a codeword; one binary classifier for each bit weighs the
 byte trigrams of a text by their log odds between the languages with the bit set
 and those without.  Trigram counts come from all documents to learn from, each
 with the same mass.  A bit's classifier is then scaled and its reliability
-measured on a sample of at most ``SAMPLE`` of these documents; decoding takes
+measured on a sample of at most ``SAMPLE`` of these documents, of any length, equal
+ones counted once and taken by hash; decoding takes
 the codeword of least loss, bits weighing by reliability, and flags a text whose
 two nearest codewords are close.
 
-Only a table of languages x ``BUCKETS`` numbers reaches the driver.
+Only a table of languages x ``BUCKETS`` numbers and the margins of the sample reach
+the driver, after the number of languages is known to be within ``LANGUAGES``.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without any
 labelled text all are ``und``; languages tie by code point; repeated rows count
@@ -25,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm.common import PART_BYTES, parts_of
+from passagemill.session import materialize
+
 BUCKETS = 1 << 15
 SAMPLE = 4_000
 LANGUAGES = 1_000  # a code table for more is refused
@@ -108,13 +113,23 @@ class Model:
         self.scale = np.ones(words.shape[1])
         self.trust = np.ones(words.shape[1])
 
-    def fit(self, texts: list[str], labels: list[int]) -> None:
-        """Scale of the margins and trust in each bit, from labelled texts."""
-        if not texts:
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        model = cls(state["languages"], state["words"], state["weights"])
+        model.scale, model.trust = state["scale"], state["trust"]
+        return model
+
+    def state(self) -> dict:
+        """Plain values and arrays: workers that read them need no copy of this package."""
+        return {n: getattr(self, n) for n in ("languages", "words", "weights", "scale", "trust")}
+
+    def fit(self, found: np.ndarray, labels: np.ndarray) -> None:
+        """Scale of the margins and trust in each bit, from the margins of labelled texts."""
+        if not len(found):
             return
-        right = margins(texts, self.weights) * self.words[np.array(labels)]
+        right = found * self.words[labels]
         self.scale = 2.0 / np.maximum(np.abs(right).mean(axis=0), 1e-9)
-        error = (np.sum(right <= 0, axis=0) + 0.5) / (len(texts) + 1)
+        error = (np.sum(right <= 0, axis=0) + 0.5) / (len(found) + 1)
         self.trust = np.maximum(np.log((1 - error) / error), 1e-3)
 
     def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +168,13 @@ def learn(train: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     labelled = train.where("text is not null and lang is not null").select("text", "lang")
     counted = labelled.mapInArrow(count, "lang string, bucket long, mass long").groupBy("lang", "bucket").agg(F.sum("mass").alias("mass"))
-    table = counted.toArrow()
-    languages = sorted(set(table.column("lang").to_pylist()))
+    counted = materialize(counted, "trigrams")
+    languages = sorted(r[0] for r in counted.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if not languages:
         return None
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    table = counted.toArrow()
     place = {lang: n for n, lang in enumerate(languages)}
     mass = np.zeros((len(languages), BUCKETS))
     rows = np.array([place[v] for v in table.column("lang").to_pylist()])
@@ -173,18 +189,31 @@ def learn(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     model = Model(languages, words, weights)
     number = labelled.count()
     part = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * sample / max(number, sample))
-    part = part.where(F.length("text") < 100_000).limit(sample).toArrow()
-    model.fit(part.column("text").to_pylist(), [place[v] for v in part.column("lang").to_pylist()])
+    part = part.distinct().orderBy(F.xxhash64("text"), "lang").limit(sample)  # a text counts once, however many copies it has
+    shipped = train.sparkSession.sparkContext.broadcast(model.weights)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in parts_of(batch, "text", PART_BYTES):
+                rows = margins(some.column(0).to_pylist(), shipped.value)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "margins"]
+                )
+
+    found = part.mapInArrow(measure, "lang string, margins binary").toArrow()  # at most the sample
+    shipped.destroy()
+    rows = np.frombuffer(b"".join(found.column("margins").to_pylist())).reshape(-1, words.shape[1])
+    model.fit(rows, np.array([place[v] for v in found.column("lang").to_pylist()], np.int64))
     return model
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` of whole texts."""
     model = learn(train)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(model.state() if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = Model.of(shipped.value) if shipped.value else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             known = [n for n, t in enumerate(texts) if t and LETTER.search(t)] if own else []

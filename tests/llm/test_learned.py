@@ -213,3 +213,25 @@ def test_quality_of_odd_texts(spark):
             assert {r["quality_score"] for r in got} == {0.5}
     empty = docs.limit(0)
     assert quality.with_quality(empty, quality.learn(empty, none)).collect() == []
+
+
+def test_language_calibration_counts_texts_once_and_whole(spark, monkeypatch):
+    import pickletools
+
+    from passagemill.llm import langid
+
+    rows = [("der hund und die katze " + "x" * n, "de") for n in range(8)] + [("the dog and the cat " + "y" * n, "en") for n in range(8)]
+    rows += [("the bird and the tree " * 6_000, "en")]  # over 100,000 characters
+    copies = rows + rows[:1] * 40
+    seen = []
+    fit = langid.Model.fit
+    monkeypatch.setattr(langid.Model, "fit", lambda self, found, labels: (seen.append((len(found), np.sort(labels).tolist())), fit(self, found, labels)))
+    first = langid.learn(spark.createDataFrame(copies, "text string, lang string"))
+    again = langid.learn(spark.createDataFrame(copies[::-1], "text string, lang string"))
+    assert seen[0] == seen[1] == (17, [0] * 8 + [1] * 9)
+    assert np.array_equal(first.scale, again.scale) and np.array_equal(first.trust, again.trust)
+    # workers get plain values: nothing in the broadcast is imported from the package
+    import pickle
+
+    names = [str(arg) for _, arg, _ in pickletools.genops(pickle.dumps(first.state())) if arg is not None]
+    assert not any("passagemill" in n for n in names)
