@@ -91,3 +91,35 @@ def test_index_is_written_once_and_read(spark, sf_dir):
     assert plan.count("documents.parquet") == 0 and plan.count(f"{first.path}/chunks") == 1
     with pytest.raises(FileNotFoundError):
         termindex.open_term_index(spark, scratch_path(spark, "nothing"))
+
+
+def test_entries_are_made_from_counts_in_one_shuffle(spark):
+    """Repeated chunk ids and words: places fit in postings and blocks, and no exchange moves a text."""
+    rows = chunk_rows(["alpha alpha beta", "beta", "", None]) + chunk_rows(["beta gamma"])
+    chunks = spark.createDataFrame(rows, S.CHUNK)
+    counted = {r["text"]: (dict(zip(r["terms"], r["tfs"])), r["norm2"]) for r in termindex.term_counts(chunks).collect()}
+    assert counted["alpha alpha beta"] == ({"alpha": 2, "beta": 1}, 5)
+    assert counted[""] == counted[None] == ({}, 0)
+    index = termindex.build_term_index(chunks, scratch_path(spark, "terms"))
+    blocks = {r["block"]: r for r in index.blocks.collect()}
+    found = []
+    for r in index.postings.collect():
+        own = blocks[r["block"]]
+        weights = [tf / math.sqrt(own["norms"][p]) for p, tf in zip(r["places"], r["tfs"])]
+        assert r["bound"] == max(weights)
+        found += [(own["ids"][p], r["term"], tf) for p, tf in zip(r["places"], r["tfs"])]
+    assert sorted(found) == [
+        ("c0000", "alpha", 2), ("c0000", "beta", 1), ("c0000", "beta", 1), ("c0000", "gamma", 1), ("c0001", "beta", 1)
+    ]
+    assert sum(len(b["ids"]) for b in blocks.values()) == 5
+    assert "text" not in index.postings.columns and "place" not in index.chunks.columns
+
+
+def test_scores_below_the_least_are_left_out(spark):
+    texts = ["alpha beta", "alpha gamma delta", "alpha " + "x1 x2 x3 x4 x5 x6 x7 x8"]
+    index = termindex.build_term_index(spark.createDataFrame(chunk_rows(texts), S.CHUNK), scratch_path(spark, "terms"))
+    queries = term_encoder("query")(spark.createDataFrame([(1, "alpha beta")], "query_id int, query string"))
+    every = [(r["chunk_id"], r["score"]) for r in termindex.best_by_terms(queries, index, 9)[0].orderBy("rank").collect()]
+    least = every[1][1]
+    some = [(r["chunk_id"], r["score"]) for r in termindex.best_by_terms(queries, index, 9, least)[0].orderBy("rank").collect()]
+    assert len(every) == 3 and some == every[:2]
