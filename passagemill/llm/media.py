@@ -37,6 +37,7 @@ RESTART = 8  # MCUs between restart markers
 PART_BYTES = 3 << 20
 SHIFT = 13
 LEVELS = 8  # bins of the luminance histogram
+TENSOR_GROUP_BYTES = 32 << 20  # of a row group of stored tensors
 
 # Order of the coefficients in a block (the format's zigzag).
 ZIGZAG = np.array([
@@ -537,13 +538,21 @@ def encode_media(docs: DataFrame) -> DataFrame:
     )
 
 
+def feature(rgb: np.ndarray) -> str:
+    """Height, width, sums of the channels and a histogram of the second one."""
+    sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+    light = np.bincount((rgb[..., 1] >> 5).ravel(), minlength=LEVELS)
+    return ",".join(map(str, [*rgb.shape[:2], *sums, *light]))
+
+
 DECODED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, feature string"
 
 
-def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
+def decode_media(media: DataFrame, tensors: bool = False, features: bool = True) -> DataFrame:
     """Reads stored images back: payload digests, size and a feature string of the RGB tensor.
 
-    With ``tensors`` the tensor itself (``rgb``, height x width x 3 bytes) too.
+    With ``tensors`` the tensor itself (``rgb``, height x width x 3 bytes) too; without
+    ``features`` the feature string is left null.
     """
     names = [f.split()[0] for f in DECODED.split(", ")]
 
@@ -558,12 +567,9 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
                     own = tiles[ends[n] : ends[n + 1]]
                     back = payload(coefs[ends[n] * 6 : ends[n + 1] * 6], struct.unpack(">Q", image.comment)[0])
                     full = tensor(image, own)
-                    sums = full.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-                    light = np.bincount((full[..., 1] >> 5).ravel(), minlength=LEVELS)
                     rows.append((
                         len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data),
-                        hashlib.sha256(data).hexdigest(), image.height, image.width,
-                        ",".join(map(str, [image.height, image.width, *sums, *light])),
+                        hashlib.sha256(data).hexdigest(), image.height, image.width, feature(full) if features else None,
                     ))
                     if tensors:
                         rgb.append(full.tobytes())
@@ -582,3 +588,25 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
 def store_media(docs: DataFrame) -> DataFrame:
     """The images as a stored table, compressed once more by it."""
     return materialize(encode_media(docs), "media", compression="zstd")
+
+
+def store_tensors(media: DataFrame) -> DataFrame:
+    """Images decoded to full-resolution RGB tensors, as a stored table; features come from what is read back."""
+    decoded = decode_media(media, tensors=True, features=False).drop("feature")
+    return materialize(decoded, "tensors", compression="zstd", **{"parquet.block.size": str(TENSOR_GROUP_BYTES)})
+
+
+def with_features(tensors: DataFrame) -> DataFrame:
+    """The rows of stored tensors with their ``feature`` in place of ``rgb``."""
+    kept = [c for c in tensors.columns if c != "rgb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = zip(*(batch.column(n).to_pylist() for n in ("height", "width")))
+            found = [
+                feature(np.frombuffer(rgb.as_buffer(), np.uint8).reshape(height, width, 3))
+                for rgb, (height, width) in zip(batch.column("rgb"), shapes)
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found, pa.string())], names=[*kept, "feature"])
+
+    return tensors.select(*kept, "rgb").mapInArrow(run, tensors.select(*kept).schema.add("feature", "string"))

@@ -443,3 +443,35 @@ def test_media_round_trip_of_whole_payloads(odd):
     texts = [(r["text"] or "").encode() for r in odd.collect()]
     want = Counter(hashlib.sha256(t + bytes(-len(t) % 64 if t else 64)).hexdigest() for t in texts)
     assert Counter(r["payload_sha256"] for r in rows) == want
+
+
+def test_media_features_come_from_stored_tensors(spark, odd, sf_dir, monkeypatch):
+    """The query writes RGB tensors and reads them back; features equal those of the decoder."""
+    written = []
+    real = media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, name, **how: written.append((name, real(df, name, **how))) or written[-1][1])
+    stored = media.store_tensors(media.store_media(odd))
+    assert [name for name, _ in written] == ["media", "tensors"]
+    for row in stored.collect():
+        assert len(row["rgb"]) == row["height"] * row["width"] * 3
+    direct = media.decode_media(media.encode_media(odd))
+    found = media.with_features(stored)
+    assert found.columns == direct.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, direct.collect()))
+    # a stored tensor that differs changes the feature
+    black = stored.withColumn("rgb", F.unhex(F.repeat(F.lit("00"), F.length("rgb"))))
+    assert all(r["feature"].split(",")[2:5] == ["0", "0", "0"] for r in media.with_features(black).collect())
+    written.clear()
+    assert QUERIES["op5_media"](spark, sf_dir).count() and [name for name, _ in written] == ["media", "tensors"]
+
+
+def test_cut_goes_part_by_part(spark, monkeypatch):
+    """Rows are cut in parts of bounded bytes, in place and with the same results."""
+    r = random.Random(4)
+    same = "".join(r.choice("abcdef ") for _ in range(500))
+    texts = [same + "x" * n for n in range(3)] + ["plain", None, same]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, suffix.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix, "PART_BYTES", 10)
+    assert sorted(map(tuple, suffix.remove_repeats(docs).collect())) == whole
+    assert [row[2] for row in whole] == [500, 501, 501, 0, 0, 500]  # an x after the passage repeats too
