@@ -235,3 +235,25 @@ def test_top_per_group_with_a_hot_key(spark, n):
 def test_keep_first(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5)], "k string, o int")
     assert sorted((r["k"], r["o"]) for r in keep_first(df, "k", [F.asc("o")]).collect()) == [("a", 1), ("b", 5)]
+
+
+def test_signed_vectors_equal_word_by_word_sums(spark):
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from passagemill.operators import encoding
+
+    texts = ["one two two three", "", None, "Zwei zwei eins", "a b c d e f g " * 40]
+    rows = spark.createDataFrame([(n, t, {"k": "v"}) for n, t in enumerate(texts)], "n int, text string, extra map<string,string>")
+    got = {r["n"]: r for r in encoding.signed_encoder(16)(rows).collect()}
+    for n, text in enumerate(texts):
+        sums = np.zeros(16)
+        for word in (text or "").lower().split():
+            digest = hashlib.sha1(word.encode()).hexdigest()
+            sums[int(digest[:8], 16) % 16] += -1 if int(digest[8], 16) % 2 else 1
+        length = np.sqrt((sums * sums).sum())
+        assert got[n]["embedding"] == (sums / length if length else sums).astype(np.float32).tolist()
+        assert got[n]["text"] == text and got[n]["extra"] == {"k": "v"}
+    assert encoding.signed_vectors(pa.array(["", "x"]), 4).shape == (2, 4)
