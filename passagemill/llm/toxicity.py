@@ -48,7 +48,7 @@ SAMPLE = 12_000  # labelled rows to fit on, by hash of the id
 TERMS = 2_048
 NEIGHBOURS = 15
 BLOCK = 512
-BATCH = 64  # texts scored together
+BATCH = 128  # texts scored together
 COMMON = 1 / 16  # share of the examples from which a feature is multiplied out
 POSTINGS = 1 << 19  # added up together, however long a text is
 WEIGHED = 1 << 10  # examples weighed together
@@ -58,6 +58,8 @@ PART_BYTES = 2 << 20  # of texts split into words together
 SUPPORT = 5  # examples a term needs
 EVIDENCE = 10.0  # log-likelihood ratio a term needs: the sample has some e**10 terms, so chance alone yields about one
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")  # signs around a word
+SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+CASED = r"[\x{130}-\x{10ffff}]"  # below these, Arrow's lower case is Python's
 PREFIXES = (4, 5, 6)
 COUNTED = 1 << 14  # features whose counts travel together
 LEANING = 4  # numbers of leaning words told apart: none, one, two, three, more
@@ -76,16 +78,38 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def coded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def lowered(texts: list[str | None] | pa.Array) -> pa.Array:
+    """Texts in lower case as Python has it, null as empty."""
+    given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    given = pa.compute.fill_null(given.cast(pa.large_string()), "")
+    cased = pa.compute.match_substring_regex(given, CASED)
+    out = pa.compute.utf8_lower(given)
+    if not cased.true_count:
+        return out
+    return pa.compute.replace_with_mask(out, cased, pa.array([t.lower() for t in given.filter(cased).to_pylist()], pa.large_string()))
+
+
+def without_signs(word: str) -> str:
+    """The word without what is no letter or digit around it; plain signs go first, as most words have no others."""
+    word = word.strip(SIGNS)
+    return word if word[:1].isalnum() and word[-1:].isalnum() else EDGE.sub("", word)
+
+
+def coded_words(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words of lower-cased texts: text number and code of each, and the words by code."""
-    lowered = pa.array([(t or "").lower() for t in texts], pa.large_string())
-    parts = pa.compute.utf8_split_whitespace(lowered)
+    parts = pa.compute.utf8_split_whitespace(lowered(texts))
     coded = parts.values.dictionary_encode()
-    words = [w if w.isalnum() else EDGE.sub("", w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    words = [w if w.isalnum() else without_signs(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     text = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
     return text, coded.indices.to_numpy(), words
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in order, each once; ``np.unique`` without counts hashes them, which takes ten times as long."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=-1) != 0]
+
+
 def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
@@ -96,7 +120,7 @@ class Terms:
     def __init__(self, terms: list[str], words: pa.Array | None = None):
         self.whole = pa.array(sorted(t for t in terms if not t.endswith("*")), pa.string())
         self.starts = pa.array(sorted(t[:-1] for t in terms if t.endswith("*")), pa.string())
-        self.number = {} if words is None else dict(zip(words.to_pylist(), range(len(words))))
+        self.number = {} if words is None else dict(zip(words.to_numpy(zero_copy_only=False).tolist(), range(len(words))))
 
     def __len__(self) -> int:
         return len(self.number)
@@ -116,7 +140,7 @@ class Terms:
         known = word >= 0
         return text[known] * max(len(self), 1) + word[known]
 
-    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ends of the texts from 0 on, their words by number and how often, and the leaning words of each text."""
         text, code, words = coded_words(texts)
         hits = np.bincount(text[self.leaning(pa.array(words, pa.string()))[code]], minlength=len(texts))
@@ -124,10 +148,10 @@ class Terms:
         row, feature = np.divmod(cells, max(len(self), 1))
         return np.searchsorted(row, np.arange(len(texts) + 1)), feature, number, np.minimum(hits, LEANING)
 
-    def occurrence(self, texts: list[str | None]) -> np.ndarray:
+    def occurrence(self, texts: list[str | None] | pa.Array) -> np.ndarray:
         """In how many of the texts each word is."""
         text, code, words = coded_words(texts)
-        cells = np.unique(self.cells(text, code, words))
+        cells = distinct(self.cells(text, code, words))
         return np.bincount(cells % max(len(self), 1), minlength=len(self))
 
 
@@ -164,21 +188,33 @@ class Index:
             span = slice(ends[0], ends[-1])
             self.weight[span] = self.weighted(ends - ends[0], self.feature[span], self.number[span])
         row = np.repeat(np.arange(number, dtype=np.int32), np.diff(self.ends))
-        order = np.argsort(self.feature, kind="stable")
         sizes = np.bincount(self.feature, minlength=features)
-        ends = np.r_[0, np.cumsum(sizes)]
-        self.places = Lists(row[order], ends)
-        self.values = Lists(self.weight[order], ends)
-        del order
         common = np.flatnonzero(sizes > number * COMMON)
         self.column = np.full(features, -1, np.int32)
         self.column[common] = np.arange(len(common))
         blocks = max(1, -(-number // BLOCK))
-        self.common = np.zeros((blocks * BLOCK, len(common)))  # weights of common words by example
         cell = np.flatnonzero(self.column[self.feature] >= 0)
-        self.common[row[cell], self.column[self.feature[cell]]] = self.weight[cell]
-        self.dense = np.stack([np.ascontiguousarray(part.T, np.float32) for part in np.split(self.common, blocks)])
-        self.bound = self.dense.max(axis=2).T
+        at, weight = (row[cell], self.column[self.feature[cell]]), self.weight[cell]
+        self.near = np.zeros((blocks * BLOCK, len(common)), np.float32)  # weights of common words by example
+        self.near[at] = weight
+        self.rest = np.zeros_like(self.near)  # what single precision leaves of them
+        self.rest[at] = weight - weight.astype(np.float32)
+        del cell, at, weight
+        self.dense = self.near.reshape(blocks, BLOCK, len(common))
+        self.bound = self.dense.max(axis=1).T
+        order = np.flatnonzero(self.column[self.feature] < 0)  # cells of rare words, to be sorted by word and example
+        order |= self.feature[order].astype(np.int64) << 32
+        order.sort()
+        order &= (1 << 32) - 1
+        sizes[common] = 0
+        ends = np.r_[0, np.cumsum(sizes)]
+        self.places = Lists(row[order], ends)
+        self.values = Lists(self.weight[order], ends)
+
+    def forget(self) -> Index:
+        """Without what only the calibration reads."""
+        del self.weight, self.feature, self.number
+        return self
 
     def weighted(self, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
         """TF-IDF weights of the words of each text, of length one."""
@@ -208,19 +244,21 @@ class Index:
         row = np.repeat(np.arange(texts), np.diff(ends))
         column = self.column[feature]
         common, rare = column >= 0, column < 0
-        asked = np.zeros((texts, self.common.shape[1]))
+        asked = np.zeros((texts, self.near.shape[1]))
         asked[row[common], column[common]] = weight[common]
         single = asked.astype(np.float32)
         first = self.places.ends[feature[rare]]
         sizes = self.places.ends[feature[rare] + 1] - first
-        low, amount = row[rare] * (blocks * BLOCK), weight[rare]
-        exact = np.zeros(texts * blocks * BLOCK)  # of the rare words
+        own, amount = row[rare], weight[rare]
+        exact = np.zeros((texts, blocks * BLOCK))  # of the rare words
+        # one text after another, so that its postings and sums stay in the cache
         turn = np.cumsum(sizes) // POSTINGS
-        for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(turn)) + 1):
+        cuts = np.flatnonzero((np.diff(own) > 0) | (np.diff(turn) > 0)) + 1
+        for some in map(slice, [0, *cuts], [*cuts, len(own)] if len(own) else []):
             at = ragged(first[some], sizes[some])
-            cell = np.repeat(low[some], sizes[some]) + self.places.flat[at]
-            exact += np.bincount(cell, np.repeat(amount[some], sizes[some]) * self.values.flat[at], len(exact))
-        exact = exact.reshape(texts, blocks * BLOCK)
+            value = np.repeat(amount[some], sizes[some])
+            value *= self.values.flat.take(at, mode="clip")
+            exact[own[some.start]] += np.bincount(self.places.flat.take(at, mode="clip"), value, blocks * BLOCK)
         scores = exact.astype(np.float32).reshape(texts, blocks, BLOCK)
         bounds = scores.max(axis=2) + single @ self.bound
         top = np.zeros((texts, k), np.float32)
@@ -229,14 +267,17 @@ class Index:
             scores[~visit, b] = 0
             own = np.flatnonzero(visit)
             if len(own):
-                scores[own, b] += single[own] @ self.dense[b]
+                scores[own, b] += single[own] @ self.dense[b].T
                 seen = np.concatenate([top[own], scores[own, b]], axis=1)
                 top[own] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:]
         scores = scores.reshape(texts, blocks * BLOCK)
-        text, place = np.nonzero((scores >= top[:, :1] - SLACK) & (scores > 0))
+        least = np.maximum(top[:, :1] - np.float32(SLACK), np.nextafter(np.float32(0), np.float32(1)))
+        text, place = np.divmod(np.flatnonzero(scores >= least), blocks * BLOCK)
         found = exact[text, place]
         for some in np.split(np.arange(len(text)), np.arange(WEIGHED, len(text), WEIGHED)):
-            found[some] += np.einsum("ij,ij->i", asked[text[some]], self.common[place[some]])
+            weights = self.near[place[some]].astype(float)
+            weights += self.rest[place[some]]
+            found[some] += np.einsum("ij,ij->i", asked[text[some]], weights)
         return text, place, found
 
     def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
@@ -251,7 +292,7 @@ class Index:
         lean = float(self.lean[hits])
         return float(odds(vote)) + (max(lean, 0.0) if copy else lean)
 
-    def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+    def score(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[float, list[int], list[float]]]:
         """Rate of toxicity and the evidence for each text."""
         if not len(self.ids):
             yield from ((self.empty, [], []) for _ in texts)
@@ -310,21 +351,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     # the sample is bounded, so it is broadcast
     train = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "text")
+    train = materialize(train, "toxicity_sample")  # read twice
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts_of(whole, "text", PART_BYTES):
                 bad = batch.column(1).to_numpy().astype(np.int64)
-                text, code, words = coded_words(batch.column(2).to_pylist())
+                text, code, words = coded_words(batch.column(2))
                 number: dict[str, int] = {"": 0}  # counts the documents
                 lists = [[number.setdefault(t, len(number)) for t in terms_of(w)] if w else [] for w in words]
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists))
                 flat = np.fromiter((t for own in lists for t in own), np.int64, int(sizes.sum()))
-                pair = np.unique(text * len(words) + code)  # each word once a text
+                pair = distinct(text * len(words) + code)  # each word once a text
                 text, code = np.divmod(pair, max(len(words), 1))
                 low = np.cumsum(sizes) - sizes
                 term = flat[ragged(low[code], sizes[code])]
-                pair = np.unique(np.repeat(text, sizes[code]) * len(number) + term)
+                pair = distinct(np.repeat(text, sizes[code]) * len(number) + term)
                 text, term = np.divmod(pair, len(number))
                 often, toxic = np.bincount(term, minlength=len(number)), np.bincount(term, bad[text], len(number)).astype(np.int64)
                 often[0], toxic[0] = len(bad), bad.sum()
@@ -356,7 +398,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
                 seen[-1] += part.num_rows
-                seen[:-1] += own.occurrence(part.column(0).to_pylist())
+                seen[:-1] += own.occurrence(part.column(0))
         starts = np.arange(0, len(seen), COUNTED)
         yield pa.RecordBatch.from_arrays(
             [pa.array(starts), pa.array([seen[a : a + COUNTED].tobytes() for a in starts], pa.binary())], names=["low", "n"]
@@ -375,7 +417,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         own = own_terms()
         for batch in batches:
             for part in parts_of(batch, "text", PART_BYTES):
-                ends, feature, number, hits = own.counts(part.column(2).to_pylist())
+                ends, feature, number, hits = own.counts(part.column(2))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (feature, number)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, pa.int32()), *lists], names=["id", "y", "hits", "term", "n"])
 
@@ -426,11 +468,11 @@ def scored(docs: DataFrame, state: dict) -> DataFrame:
         given = given.withColumn("text", F.col("row.text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shipped.value)  # gone with the task: workers live on
+        index = Index(shipped.value).forget()  # gone with the task: workers live on
         give_back()
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(0).field(own[0]) if own else batch.column(1)], names=["text"])
-            found = [f for part in parts_of(texts, "text", PART_BYTES) for f in index.score(part.column(0).to_pylist())]
+            found = [f for part in parts_of(texts, "text", PART_BYTES) for f in index.score(part.column(0))]
             scores = np.clip([f[0] for f in found], 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [

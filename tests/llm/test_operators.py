@@ -10,6 +10,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,3 +476,36 @@ def test_cut_goes_part_by_part(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PART_BYTES", 10)
     assert sorted(map(tuple, suffix.remove_repeats(docs).collect())) == whole
     assert [row[2] for row in whole] == [500, 501, 501, 0, 0, 500]  # an x after the passage repeats too
+
+
+def test_toxicity_words_are_those_of_python():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [a + "Σ." + a for a in every] + [None, "", "ΟΔΥΣΣΕΥΣ (İ) _x_ «Ä» a-b ..."]
+    assert toxicity.lowered(pa.array(texts)).to_pylist() == [(t or "").lower() for t in texts]
+    signs = [a + "-x" + b + "_" for a, b in zip(every, reversed(every))]
+    assert [toxicity.without_signs(w) for w in signs] == [toxicity.EDGE.sub("", w) for w in signs]
+    assert toxicity.distinct(np.array([3, 0, 3, 1, 0])).tolist() == [0, 1, 3] and not len(toxicity.distinct(np.zeros(0, np.int64)))
+
+
+def test_toxicity_lists_hold_rare_words_only():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["the", "all"] * int(rng.integers(0, 2)) + [f"w{n}" for n in rng.integers(0, 400, 30)]) for _ in range(300)]
+    words = pa.array(sorted({w for t in texts for w in t.split()}))
+    known = {"terms": [], "words": words, "idf": rng.random(len(words)) + 0.1}
+    ends, feature, number, hits = toxicity.Terms([], words).counts(texts)
+    state = toxicity.arranged(known, np.arange(300), rng.integers(0, 2, 300).astype(float), hits, ends, feature, number)
+    index = toxicity.Index(state)
+    sizes = np.bincount(feature, minlength=len(words))
+    common = sizes > 300 * toxicity.COMMON
+    assert common.any() and len(index.places.flat) == sizes[~common].sum()
+    vectors = np.zeros((300, len(words)))
+    vectors[np.repeat(np.arange(300), np.diff(index.ends)), index.feature] = index.weight
+    index.forget()
+    assert not hasattr(index, "weight")
+    asked = texts[:70] + ["the", "w1 the", "none"]
+    ends, feature, number, _ = index.terms.counts(asked)
+    weight = index.weighted(ends, feature, number)
+    for t, (places, scores) in enumerate(index.best(ends, feature, weight)):
+        whole = vectors[:, feature[ends[t] : ends[t + 1]]] @ weight[ends[t] : ends[t + 1]]
+        near = [n for n in np.lexsort((index.ids, -np.round(whole, 9))) if whole[n] > 0][: toxicity.NEIGHBOURS]
+        assert places.tolist() == near and np.allclose(scores, whole[near], atol=1e-12)
