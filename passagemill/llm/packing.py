@@ -30,24 +30,56 @@ from passagemill.session import materialize
 SEQUENCE = 1024
 GRID = 32  # what a document leaves after whole sequences is cut at a multiple of it
 TOLERANCE = 0.002  # gap between the linear program and its bound at which to stop
-CACHED_WORDS = 400_000  # of a worker's cache; beyond it starts anew
-PART_TEXT = 4 << 20  # bytes of texts encoded together
-RUN_WORDS = 1_000  # new words encoded together
+CACHED_UNITS = 400_000  # of a worker's cache; beyond it starts anew
+PART_TEXT = 2 << 20  # bytes of texts encoded together
+RUN_UNITS = 1_000  # new units that stand in one run
+RUNS = 32  # runs encoded together; the tokenizer keeps about 100 bytes for each id of them
 RANK_ROWS = 50_000  # pieces ranked together
 SPACE_RUN = re.compile(r"\s ")
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
-class Encoder:
-    """Whole texts to ids of a byte-level tokenizer, words encoded once.
+LETTER, DIGIT, MARK, BREAK, SPACE, ODD = range(6)
+
+
+def byte_classes() -> np.ndarray:
+    """Classes of bytes as the tokenizer's pattern takes them apart; Latin letters have lead bytes C3 to C9.
+
+    Whatever else, the apostrophe included, which may begin a contraction, is odd.
+    """
+    out = np.full(256, ODD, np.uint8)
+    out[33:127] = MARK
+    out[ord("0") : ord("9") + 1] = DIGIT
+    for low, high in ("AZ", "az"):
+        out[ord(low) : ord(high) + 1] = LETTER
+    out[0x80:0xC0] = out[0xC3:0xCA] = LETTER
+    out[ord("'")], out[ord("\n")], out[ord(" ")] = ODD, BREAK, SPACE
+    return out
 
-    The tokenizer never joins a space to what stands before it, so a text may be
-    cut before each space that follows a character which is no white space.
-    Arrow tells the words apart, so Python sees each once per call; new ones are
-    encoded as runs of text, which the byte lengths of their ids cut again.
+
+def byte_letters() -> np.ndarray:
+    """The letter (UTF-16) that stands for each byte in a byte-level vocabulary."""
+    out = np.arange(256, dtype="<u2")
+    shown = np.r_[33:127, 161:173, 174:256]
+    rest = np.setdiff1d(np.arange(256), shown)
+    out[rest] = 256 + np.arange(len(rest))
+    return out
+
+
+class Encoder:
+    """Whole texts to ids of a byte-level tokenizer, units encoded once.
+
+    Units are what the tokenizer's pattern takes apart and encodes one by one:
+    runs of letters, digits or marks, with the space before them, and line breaks
+    between such runs.  They are found for all texts at once by the classes of
+    their bytes; Arrow tells them apart, so Python sees each once per call.  New
+    ones go to the tokenizer's model in the letters that stand for their bytes,
+    as runs of text, which the byte lengths of their ids cut again.  A word with
+    anything else in it is one unit and goes through the whole tokenizer.
     Texts with white space before a space or at an end are encoded uncut, and so
-    are texts with the literal of an added token, which the tokenizer takes out first.
+    are texts with the literal of an added token, which the tokenizer takes out
+    first, and all texts if the tokenizer has another pattern.
     """
 
     def __init__(self, path: str):
@@ -55,18 +87,27 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        split = self.tokenizer.pre_tokenizer
+        self.cuts = (
+            isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
+            and self.tokenizer.normalizer is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
+        )
+        self.units = Tokenizer(self.tokenizer.model)  # the same model, for units in the letters of their bytes
+        self.units.pre_tokenizer = WhitespaceSplit()
         names = self.tokenizer.get_vocab()
         self.width = np.zeros(max(names.values()) + 1, np.int64)
         for name, number in names.items():
             self.width[number] = len(name)  # one letter stands for one byte
+        self.kinds, self.letters = byte_classes(), byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint16)
         self.end = np.zeros(1 << 16, np.int64)
 
@@ -74,49 +115,84 @@ class Encoder:
         """Ids of each text, straight from the tokenizer."""
         return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, words: list[str]) -> None:
-        """Remembers the ids of words as they stand after a space."""
-        runs = [" " + " ".join(words[n : n + RUN_WORDS]) for n in range(0, len(words), RUN_WORDS)]
-        flat = np.concatenate(self.whole(runs))
-        sizes = pa.compute.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1
-        ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(sizes)) + 1
-        if self.ids.dtype == np.uint16 and flat.max() > 65535:
+    def keep(self, units: list[bytes], flat: np.ndarray, ends: np.ndarray) -> None:
+        """Remembers the ids of units, given in a row."""
+        if self.ids.dtype == np.uint16 and flat.max(initial=0) > 65535:
             self.ids = self.ids.astype(np.uint32)
         base = len(self.known)
         used = int(self.end[base])
         if used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (used + len(flat)))
-        if base + len(words) >= len(self.end):
-            self.end = np.resize(self.end, 2 * (base + len(words)))
+        if base + len(units) >= len(self.end):
+            self.end = np.resize(self.end, 2 * (base + len(units)))
         self.ids[used : used + len(flat)] = flat
-        self.end[base + 1 : base + len(words) + 1] = used + ends
-        self.known.update(zip(words, range(base, base + len(words))))
+        self.end[base + 1 : base + len(units) + 1] = used + ends
+        self.known.update(zip(units, range(base, base + len(units))))
+
+    def add(self, units: list[bytes]) -> None:
+        """Encodes and remembers units of one class each."""
+        for low in range(0, len(units), RUN_UNITS * RUNS):
+            some = units[low : low + RUN_UNITS * RUNS]
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            letters = np.insert(self.letters[np.frombuffer(b"".join(some), np.uint8)], np.cumsum(size) - size, ord(" "))
+            cuts = np.r_[0, np.cumsum(size + 1)][[*range(0, len(some), RUN_UNITS), len(some)]]
+            runs = [letters[a:b].tobytes().decode("utf-16-le") for a, b in zip(cuts[:-1], cuts[1:])]
+            coded = self.units.encode_batch_fast(runs, add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, np.int64) for e in coded])
+            self.keep(some, flat, np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(size)) + 1)
+
+    def starts(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where units start in texts that start at ``first``, and which starts are those of odd words."""
+        kind = self.kinds[data]
+        sign = (data[1:] == 0x97) | (data[1:] == 0xB7)  # the signs of multiplication and division, C3 97 and C3 B7
+        sign &= data[:-1] == 0xC3
+        kind[1:][sign] = ODD
+        start = np.ones(len(data), bool)
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        after = kind[:-1] == SPACE  # stands with what follows it
+        start[1:] &= ~after
+        start[first] = True
+        breaks = np.flatnonzero(kind == BREAK)  # neither first nor last in a text
+        odd = np.r_[np.flatnonzero(kind == ODD), breaks[(kind[breaks - 1] >= BREAK) | (kind[breaks + 1] >= BREAK)]]
+        if not len(odd):
+            return np.flatnonzero(start), odd
+        word = kind == SPACE
+        word[first] = True
+        word = np.r_[np.flatnonzero(word), len(data)]
+        odd = np.unique(np.searchsorted(word, odd, side="right") - 1)
+        start[ragged(word[odd] + 1, word[odd + 1] - word[odd] - 1)] = False
+        return np.flatnonzero(start), word[odd]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_UNITS:
             self.clear()
         uncut = [
-            t[:1].isspace() or t[-1:].isspace() or SPACE_RUN.search(t) is not None or (self.added and self.added.search(t)) is not None
+            not self.cuts or t[:1].isspace() or t[-1:].isspace() or SPACE_RUN.search(t) is not None
+            or (self.added and self.added.search(t)) is not None
             for t in texts
         ]
-        # the part before the first space stands after none: it is encoded by itself, as an uncut text is
-        heads = self.whole([t if whole else t.partition(" ")[0] for t, whole in zip(texts, uncut)])
-        rest = pa.array(["" if whole else t.partition(" ")[2] for t, whole in zip(texts, uncut)], pa.large_string())
-        parts = pa.compute.split_pattern(rest, " ")
-        coded = parts.values.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self.known
-        fresh = [w for w in words if w and w not in known]
+        heads = self.whole([t if whole else "" for t, whole in zip(texts, uncut)])
+        rest = pa.array(["" if whole else t for t, whole in zip(texts, uncut)], pa.large_string())
+        bounds = np.frombuffer(rest.buffers()[1], np.int64)[: len(rest) + 1]
+        data = np.frombuffer(rest.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        low, odd = self.starts(data, bounds[:-1][np.diff(bounds) > 0])
+        parts = pa.Array.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(np.r_[low, len(data)]), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        code, units, known = coded.indices.to_numpy(), coded.dictionary.to_pylist(), self.known
+        words = {units[n] for n in np.unique(code[np.searchsorted(low, odd)]).tolist()}
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            own = self.whole([w.decode() for w in fresh])
+            self.keep(fresh, np.concatenate(own), np.cumsum(np.fromiter(map(len, own), np.int64, len(own))))
+        fresh = [u for u in units if u not in known]
         if fresh:
             self.add(fresh)
-        at = np.array([known[w] if w else -1 for w in words], np.int64)
-        low, size = self.end[at], self.end[at + 1] - self.end[at]
-        low[at < 0], size[at < 0] = 0, 0  # an empty rest is one empty part
-        code = coded.indices.to_numpy()
+        at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        begin, size = self.end[at], self.end[at + 1] - self.end[at]
         sizes = size[code]
-        ends = np.r_[0, np.cumsum(sizes)][parts.offsets.to_numpy()]
-        tail = self.ids[ragged(low[code], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][np.searchsorted(low, bounds)]
+        tail = self.ids[ragged(begin[code], sizes)]
         first = np.fromiter(map(len, heads), np.int64, len(heads))
         ids = np.insert(tail.astype(np.uint32), np.repeat(ends[:-1], first), np.concatenate([np.zeros(0, np.int64), *heads]))
         return ids, first + np.diff(ends)

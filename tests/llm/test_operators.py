@@ -125,6 +125,28 @@ def test_encoder_gives_the_tokenizers_ids():
     assert [len(a) for a in encoder.encode([])] == [0, 0]
 
 
+def test_encoder_encodes_each_unit_once_in_bounded_runs():
+    """Words that differ in marks or stand around line breaks share their units; signs among letters are no letters."""
+    encoder, model, sent = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path()).units, []
+
+    class Watched:
+        def encode_batch_fast(self, runs, add_special_tokens):
+            sent.append([r.split(" ")[1:] for r in runs])
+            return model.encode_batch_fast(runs, add_special_tokens=add_special_tokens)
+
+    encoder.units = Watched()
+    r = random.Random(8)
+    texts = ["foo foo, foo. foo\nfoo foo!! foo??", *("".join(r.choices("aé×÷ßɏ \n.,(12'œʯ", k=r.randrange(30))) for _ in range(2000))]
+    texts += [" ".join(f"w{n}x" for n in range(low, low + 1000)) for low in range(0, 40_000, 1000)]
+    for _ in range(2):
+        ids, counts = encoder.encode(texts)
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == own.tolist()
+    units = [u for runs in sent for run in runs for u in run]
+    assert len(units) == len(set(units)) and units.count("Ġfoo") == units.count("foo") == 1
+    assert len(sent) > 1 and max(map(len, sent)) <= packing.RUNS and max(len(run) for runs in sent for run in runs) <= packing.RUN_UNITS
+
+
 def test_packing_keeps_every_id_once(spark, odd, none):
     rows = packing.pack(odd, tokenizer_path(), 128).collect()
     from tokenizers import Tokenizer
