@@ -82,10 +82,14 @@ def take_once(
     """The newest message of each key that was neither known nor taken before.
 
     Columns must be of plain types other than binary.  Repeats within an Arrow
-    batch go before the shuffle, so a key that holds many rows is no heavy task;
-    a key's rows are folded one batch at a time.  State is a flag per key; with
-    ``life_days`` a key is forgotten that long after it was last met, which is
-    safe where a message never comes again with a later time.
+    batch go before the shuffle, so a key that holds many rows is no heavy task.
+    State is a key alone: the rows of a batch are dealt by key, a task keeps the
+    best row of each of its keys, and Spark's own deduplication tells which keys
+    are new, so that no Python runs for single keys.  With ``life_days`` a key is
+    forgotten that long after it was last met, which is safe where a message
+    never comes again with a later time; then state is a flag per key, and a
+    key's rows are folded one batch at a time.  A checkpoint stays with the form
+    of state it was begun with.
     """
     fields = [f for f in messages.schema.fields if f.name != KEY]
     names = [f.name for f in fields]
@@ -112,10 +116,30 @@ def take_once(
         KEY, *(F.lit(None).cast("string").alias(n) for n in names), F.lit(SEED).alias("_at")
     )
     seen = F.when(F.col("_at") > NO_TIME, F.least(F.timestamp_micros("_at"), now)).otherwise(now)
-    rows = texts.mapInPandas(thin, texts.schema).unionByName(seeds).withColumn("_seen", seen)
-    rows = rows.withColumn("_ms", F.unix_millis("_seen"))
-    if life_days is not None:  # a day more, so that no row within the allowed age counts as late
-        rows = rows.withWatermark("_seen", f"{max(since_days or life_days, 0) + 1} days")
+    rows = texts.mapInPandas(thin, texts.schema).unionByName(seeds)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, ascending=falling)
+        return rows.assign(_own=rows["_at"] != SEED).sort_values("_own", kind="stable").drop_duplicates(KEY).drop(columns="_own")
+
+    def best_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, parts, held = None, [], 0
+        for part in batches:
+            parts.append(part)
+            held += len(part)
+            if best is None or held > len(best):  # what is kept doubles before it is sorted again
+                best, parts, held = fold(pd.concat(parts if best is None else [best, *parts])), [], 0
+        if parts:
+            best = fold(pd.concat([best, *parts]))
+        if best is not None:
+            yield best
+
+    if life_days is None:  # a known key's mark comes first, so that its messages go with it
+        once = rows.repartition(KEY).mapInPandas(best_rows, rows.schema).dropDuplicates([KEY]).where(F.col("_at") > SEED)
+        return once.select(KEY, *map(as_given, fields))
+    rows = rows.withColumn("_seen", seen).withColumn("_ms", F.unix_millis("_seen"))
+    # a day more, so that no row within the allowed age counts as late
+    rows = rows.withWatermark("_seen", f"{max(since_days or life_days, 0) + 1} days")
 
     def take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -133,14 +157,12 @@ def take_once(
                 best = part.sort_values(order, ascending=falling).head(1)
         if not held:
             state.update((True,))
-        if life_days is not None:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + life_days * DAY_MS)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + life_days * DAY_MS)
         if not taken and best is not None:
             yield best[[KEY, *names]]
 
-    timeout = GroupStateTimeout.NoTimeout if life_days is None else GroupStateTimeout.EventTimeTimeout
     strings = T.StructType([T.StructField(n, T.StringType()) for n in (KEY, *names)])
-    once = rows.groupBy(KEY).applyInPandasWithState(take, strings, "taken boolean", "append", timeout)
+    once = rows.groupBy(KEY).applyInPandasWithState(take, strings, "taken boolean", "append", GroupStateTimeout.EventTimeTimeout)
     return once.select(KEY, *map(as_given, fields))
 
 

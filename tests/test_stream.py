@@ -119,3 +119,23 @@ def test_new_chunks_are_indexed_by_the_same_commit(spark):
     before = feed.store.latest()
     feed.drain(encoder=signed_encoder())
     assert feed.store.latest() == before
+
+
+def test_state_runs_no_python_for_single_keys(spark):
+    """Spark's own deduplication holds the keys; a known key takes its newer messages with it, the newest of the others stays."""
+    feed = Feed(spark)
+    many = spark.createDataFrame(
+        [("ch", n, None, f"text {n}", f"tg:ch:{n}", "kept") for n in range(3)],
+        "channel string, msg_id bigint, ts timestamp, text string, message_key string, status string",
+    )
+    old = message_chunks(many, spark.createDataFrame([], S.CHUNK)).select(*S.CHUNK_COLUMNS)
+    feed.store.add([feed.store.write_part(old, "corpus")])
+    feed.arrive(message(1, text="later"), message(5, text="b"), message(5, text="a"), message(5, text="0", ts=None))
+    feed.arrive(message(2, ts=None), message(5, text="newest", ts="2024-01-02T11:00:00"), message(6, ts=None))
+    done = feed.drain()
+    assert {o["operatorName"] for p in done for o in p["stateOperators"]} == {"dedupe"}
+    texts = {r["extra"]["message_key"]: r["text"] for r in feed.store.corpus().collect()}
+    assert texts == {"tg:ch:0": "text 0", "tg:ch:1": "text 1", "tg:ch:2": "text 2", "tg:ch:5": "newest", "tg:ch:6": "some words"}
+    feed.arrive(message(6), message(0), message(7))
+    feed.drain()
+    assert len(feed.keys()) == 6 and "tg:ch:7" in feed.keys()
