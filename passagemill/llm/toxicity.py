@@ -31,9 +31,9 @@ named like the added ones are replaced.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,7 @@ LAID_OUT = {
     "empty": np.float64, "lean": np.float64, "votes": np.float64, "rates": np.float64,
 }
 SCORED = "toxic_score double, toxic int, evidence_id array<long>, evidence_similarity array<double>"
+CELLS = ("feature", "number")  # one entry a word and example: by far the longest arrays, they travel compressed
 ADDED = tuple(f.split()[0] for f in SCORED.split(", "))
 
 
@@ -115,15 +116,15 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Leaning terms, and the words of all examples by number."""
+    """Leaning terms, and the words of all examples by number; these stay in Arrow, as a dict takes many times their size."""
 
     def __init__(self, terms: list[str], words: pa.Array | None = None):
         self.whole = pa.array(sorted(t for t in terms if not t.endswith("*")), pa.string())
         self.starts = pa.array(sorted(t[:-1] for t in terms if t.endswith("*")), pa.string())
-        self.number = {} if words is None else dict(zip(words.to_numpy(zero_copy_only=False).tolist(), range(len(words))))
+        self.words = pa.array([], pa.string()) if words is None else words
 
     def __len__(self) -> int:
-        return len(self.number)
+        return len(self.words)
 
     def leaning(self, words: pa.Array) -> np.ndarray:
         """Which words are leaning terms or go on from one of the leaning starts (``terms_of``)."""
@@ -136,7 +137,8 @@ class Terms:
 
     def cells(self, text: np.ndarray, code: np.ndarray, words: list[str]) -> np.ndarray:
         """Text and number of each word of an example, as one integer, by text."""
-        word = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))[code]
+        found = pa.compute.index_in(pa.array(words, pa.string()), value_set=self.words)
+        word = pa.compute.fill_null(found, -1).to_numpy().astype(np.int64)[code]
         known = word >= 0
         return text[known] * max(len(self), 1) + word[known]
 
@@ -165,6 +167,30 @@ class Lists:
         return self.flat[self.ends[n] : self.ends[n + 1]]
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Slices of the values in a row, taken some at a time."""
+    out, done = np.empty(int(sizes.sum()), np.int32), 0
+    for low in range(0, len(starts), WEIGHED):
+        at = ragged(starts[low : low + WEIGHED], sizes[low : low + WEIGHED])
+        out[done : done + len(at)] = values[at]
+        done += len(at)
+    return out
+
+
+def closed(values: np.ndarray) -> bytes:
+    """The numbers, steps from one to the next in as few bytes as all of them need, compressed."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    kind = np.result_type(np.min_scalar_type(int(steps.min(initial=0))), np.min_scalar_type(int(steps.max(initial=0))), np.int8)
+    data = steps.astype(kind).tobytes()
+    return pickle.dumps((kind.str, len(data), pa.compress(data, "zstd", asbytes=True) if data else b""))
+
+
+def opened(data: bytes) -> np.ndarray:
+    kind, size, data = pickle.loads(data)
+    steps = np.frombuffer(pa.decompress(data, size, "zstd") if size else b"", kind)
+    return np.cumsum(steps, dtype=np.int32)
+
+
 def odds(rate):
     rate = np.clip(rate, CERTAIN, 1 - CERTAIN)
     return np.log(rate / (1 - rate))
@@ -175,53 +201,81 @@ class Index:
 
     def __init__(self, state: dict):
         self.idf, self.ids, self.labels, self.ends = state["idf"], state["ids"], state["labels"], state["ends"]
-        self.feature, self.number = state["feature"], state["number"]
+        self.feature, self.number = (opened(state[n]) if isinstance(state[n], bytes) else state[n] for n in CELLS)
         self.empty, self.lean, self.steps = float(state["empty"][0]), state["lean"], (state["votes"], state["rates"])
         self.terms = Terms(state["terms"], state["words"])
         self.build()
 
     def build(self) -> None:
         number, features = len(self.ids), len(self.idf)
-        self.weight = np.empty(len(self.feature))
-        for low in range(0, number, WEIGHED):
-            ends = self.ends[low : low + WEIGHED + 1]
-            span = slice(ends[0], ends[-1])
-            self.weight[span] = self.weighted(ends - ends[0], self.feature[span], self.number[span])
-        row = np.repeat(np.arange(number, dtype=np.int32), np.diff(self.ends))
         sizes = np.bincount(self.feature, minlength=features)
         common = np.flatnonzero(sizes > number * COMMON)
         self.column = np.full(features, -1, np.int32)
         self.column[common] = np.arange(len(common))
         blocks = max(1, -(-number // BLOCK))
-        cell = np.flatnonzero(self.column[self.feature] >= 0)
-        at, weight = (row[cell], self.column[self.feature[cell]]), self.weight[cell]
         self.near = np.zeros((blocks * BLOCK, len(common)), np.float32)  # weights of common words by example
-        self.near[at] = weight
-        self.rest = np.zeros_like(self.near)  # what single precision leaves of them
-        self.rest[at] = weight - weight.astype(np.float32)
-        del cell, at, weight
+        amount = int(sizes[common].sum())
+        # what single precision leaves of them, example by example
+        self.rest, self.rest_column = np.empty(amount, np.float32), np.empty(amount, np.int32)
+        self.rest_ends = np.zeros(blocks * BLOCK + 1, np.int64)
+        sizes[common] = 0
+        ends = np.r_[0, np.cumsum(sizes)]
+        order = np.empty(len(self.feature) - amount, np.int64)  # cells of rare words, to be sorted by word and example
+        self.length = np.ones(number)
+        rare = done = 0
+        for low in range(0, number, WEIGHED):
+            own = self.ends[low : low + WEIGHED + 1]
+            first, span = own[0], slice(own[0], own[-1])
+            row = np.repeat(np.arange(low, low + len(own) - 1, dtype=np.int32), np.diff(own))
+            raw = self.raw(self.feature[span], self.number[span])
+            self.length[low : low + len(own) - 1] = self.lengths(own, raw)
+            weight = raw / self.length[row]
+            column = self.column[self.feature[span]]
+            cell = np.flatnonzero(column >= 0)
+            at, weight = (row[cell], column[cell]), weight[cell]
+            self.near[at] = weight
+            self.rest[done : done + len(cell)] = weight - weight.astype(np.float32)
+            self.rest_column[done : done + len(cell)] = at[1]
+            np.add.at(self.rest_ends, at[0] + 1, 1)
+            done += len(cell)
+            cell = np.flatnonzero(column < 0) + first
+            order[rare : rare + len(cell)] = self.feature[cell].astype(np.int64) << 32 | cell
+            rare += len(cell)
+        np.cumsum(self.rest_ends, out=self.rest_ends)
         self.dense = self.near.reshape(blocks, BLOCK, len(common))
         self.bound = self.dense.max(axis=1).T
-        order = np.flatnonzero(self.column[self.feature] < 0)  # cells of rare words, to be sorted by word and example
-        order |= self.feature[order].astype(np.int64) << 32
         order.sort()
         order &= (1 << 32) - 1
-        sizes[common] = 0
-        ends = np.r_[0, np.cumsum(sizes)]
-        self.places = Lists(row[order], ends)
-        self.values = Lists(self.weight[order], ends)
+        places, values = np.empty(len(order), np.int32), np.empty(len(order))
+        for low in range(0, len(order), POSTINGS):
+            cell = order[low : low + POSTINGS]
+            row = np.searchsorted(self.ends, cell, side="right") - 1
+            places[low : low + POSTINGS] = row
+            values[low : low + POSTINGS] = self.raw(self.feature[cell], self.number[cell]) / self.length[row]
+        self.places, self.values = Lists(places, ends), Lists(values, ends)
 
     def forget(self) -> Index:
         """Without what only the calibration reads."""
-        del self.weight, self.feature, self.number
+        del self.feature, self.number
         return self
 
-    def weighted(self, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """TF-IDF weights of the words of each text, of length one."""
-        raw = (1 + np.log(number)) * self.idf[feature]
+    def raw(self, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (1 + np.log(number.astype(float))) * self.idf[feature]
+
+    def lengths(self, ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         length = np.sqrt(np.bincount(row, raw**2, len(ends) - 1))
-        return raw / np.where(length > 0, length, 1.0)[row]
+        return np.where(length > 0, length, 1.0)
+
+    def weighted(self, ends: np.ndarray, feature: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """TF-IDF weights of the words of each text, of length one."""
+        raw = self.raw(feature, number)
+        return raw / np.repeat(self.lengths(ends, raw), np.diff(ends))
+
+    @property
+    def weight(self) -> np.ndarray:
+        """Weights of all examples' words, made anew each time."""
+        return self.weighted(self.ends, self.feature, self.number)
 
     def best(self, ends: np.ndarray, feature: np.ndarray, weight: np.ndarray, skip: np.ndarray | None = None) -> Iterator[tuple]:
         """For each text its nearest examples and their cosines, best first: exactly the k best above zero."""
@@ -276,7 +330,9 @@ class Index:
         found = exact[text, place]
         for some in np.split(np.arange(len(text)), np.arange(WEIGHED, len(text), WEIGHED)):
             weights = self.near[place[some]].astype(float)
-            weights += self.rest[place[some]]
+            first, sizes = self.rest_ends[place[some]], np.diff(self.rest_ends)[place[some]]
+            at = ragged(first, sizes)
+            weights[np.repeat(np.arange(len(some)), sizes), self.rest_column[at]] += self.rest[at]
             found[some] += np.einsum("ij,ij->i", asked[text[some]], weights)
         return text, place, found
 
@@ -308,22 +364,21 @@ def arranged(words: dict, ids: np.ndarray, labels: np.ndarray, hits: np.ndarray,
     sizes = np.diff(ends)
     order = np.lexsort((ids, sizes))  # of similar length in one block
     order = order[sizes[order] > 0]
-    at = ragged(ends[order], sizes[order])
     base = float(labels.sum()) / max(len(ids), 1)
     without = labels[sizes == 0]
     empty = (float(without.sum()) + base) / (len(without) + 1) if len(ids) else 0.0
     told = [np.bincount(hits[labels == y], minlength=LEANING + 1) + 0.5 for y in (0, 1)]
     state = words | {
         "ids": ids[order], "labels": labels[order].astype(float), "ends": np.r_[0, np.cumsum(sizes[order])].astype(np.int64),
-        "feature": feature[at].astype(np.int32), "number": number[at].astype(np.int32), "empty": np.array([empty]),
+        "feature": gathered(feature, ends[order], sizes[order]), "number": gathered(number, ends[order], sizes[order]), "empty": np.array([empty]),
         "lean": np.log(told[1] / told[1].sum()) - np.log(told[0] / told[0].sum()), "votes": np.zeros(1), "rates": np.full(1, base),
     }
     index = Index(state)
     own = np.arange(0, len(index.ids), max(1, -(-len(index.ids) // CALIBRATION)))
     if len(own):
         at = ragged(index.ends[own], np.diff(index.ends)[own])
-        asked = np.r_[0, np.cumsum(np.diff(index.ends)[own])], index.feature[at], index.weight[at]
-        near = index.best(*asked, skip=own)
+        ends = np.r_[0, np.cumsum(np.diff(index.ends)[own])]
+        near = index.best(ends, index.feature[at], index.weighted(ends, index.feature[at], index.number[at]), skip=own)
         told = [index.told(index.vote(*found), found[1], hit) for found, hit in zip(near, hits[order][own].tolist())]
         state["votes"], state["rates"] = isotonic(np.array(told), index.labels[own])
     return state
@@ -432,30 +487,32 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         rows = [b for b in batches if b.num_rows]
         ids, labelled, hits = (np.concatenate([np.zeros(0, np.int64), *(b.column(c).to_numpy() for b in rows)]) for c in ("id", "y", "hits"))
         sizes = np.concatenate([np.zeros(0, np.int64), *(pa.compute.list_value_length(b.column("term")).to_numpy() for b in rows)]).astype(np.int64)
-        flat = [np.concatenate([np.zeros(0, np.int32), *(b.column(c).flatten().to_numpy() for b in rows)]) for c in ("term", "n")]
+        feature, number = (np.concatenate([np.zeros(0, np.int32), *(b.column(c).flatten().to_numpy() for b in rows)]) for c in ("term", "n"))
+        del rows
         # repeated ids: one row each, the one of the fewest and least words
         low = np.cumsum(sizes) - sizes
-        order = sorted(range(len(ids)), key=lambda r: (ids[r], sizes[r], flat[0][low[r] : low[r] + sizes[r]].tobytes()))
-        order = np.array([r for n, r in enumerate(order) if not n or ids[r] != ids[order[n - 1]]], np.int64)
-        at = ragged(low[order], sizes[order])
-        ends = np.r_[0, np.cumsum(sizes[order])].astype(np.int64)
+        order = sorted(range(len(ids)), key=lambda r: (ids[r], sizes[r], feature[low[r] : low[r] + sizes[r]].tobytes()))
+        kept = np.sort(np.array([r for n, r in enumerate(order) if not n or ids[r] != ids[order[n - 1]]], np.int64))
+        if len(kept) < len(order):
+            feature, number = gathered(feature, low[kept], sizes[kept]), gathered(number, low[kept], sizes[kept])
+        ends = np.r_[0, np.cumsum(sizes[kept])].astype(np.int64)
         known = {"terms": shipped.value[0], "words": shipped.value[1], "idf": weights.value}
-        feature, number = flat[0][at], flat[1][at]
-        del rows, flat, at
-        state = arranged(known, ids[order], labelled[order], hits[order], ends, feature, number)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(LAID_OUT)), pa.array([np.asarray(state[n], t).tobytes() for n, t in LAID_OUT.items()], pa.binary())], names=["name", "data"]
-        )
-        del state
+        state = arranged(known, ids[kept], labelled[kept], hits[kept], ends, feature, number)
+        del feature, number
+        for name, kind in LAID_OUT.items():
+            data = closed(state.pop(name)) if name in CELLS else np.asarray(state.pop(name), kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["name", "data"])
         give_back()
 
     described = train.mapInArrow(describe, "id long, y int, hits int, term array<int>, n array<int>")
     laid_out = described.repartition(1).mapInArrow(lay_out, "name string, data binary").collect()  # at most the sample
     state = {"terms": terms, "words": words, "idf": np.log((int(seen[-1]) + 1) / (seen[:-1] + 1)) + 1e-3}
     state |= {n: np.zeros(1 if n in ("empty", "votes", "rates") else LEANING + 1 if n == "lean" else 0, t) for n, t in LAID_OUT.items()}
-    state |= {row["name"]: np.frombuffer(row["data"], LAID_OUT[row["name"]]) for row in laid_out}
+    state |= {row["name"]: bytes(row["data"]) if row["name"] in CELLS else np.frombuffer(row["data"], LAID_OUT[row["name"]]) for row in laid_out}
     shipped.destroy()
     weights.destroy()
+    del laid_out, seen, parts
+    give_back()
     return state
 
 
@@ -471,16 +528,17 @@ def scored(docs: DataFrame, state: dict) -> DataFrame:
         index = Index(shipped.value).forget()  # gone with the task: workers live on
         give_back()
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(0).field(own[0]) if own else batch.column(1)], names=["text"])
-            found = [f for part in parts_of(texts, "text", PART_BYTES) for f in index.score(part.column(0))]
-            scores = np.clip([f[0] for f in found], 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),
-                    pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64())),
-                ],
-                names=["row", *ADDED],
-            )
+            pair = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(own[0]) if own else batch.column(1)], names=["row", "text"])
+            for part in parts_of(pair, "text", PART_BYTES):
+                found = list(index.score(part.column(1)))
+                scores = np.clip([f[0] for f in found], 0.0, 1.0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)),
+                        pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64())),
+                    ],
+                    names=["row", *ADDED],
+                )
 
     return given.mapInArrow(run, StructType([given.schema["row"], *StructType.fromDDL(SCORED).fields]))
 

@@ -531,3 +531,42 @@ def test_toxicity_lists_hold_rare_words_only():
         whole = vectors[:, feature[ends[t] : ends[t + 1]]] @ weight[ends[t] : ends[t + 1]]
         near = [n for n in np.lexsort((index.ids, -np.round(whole, 9))) if whole[n] > 0][: toxicity.NEIGHBOURS]
         assert places.tolist() == near and np.allclose(scores, whole[near], atol=1e-12)
+
+
+def test_toxicity_cells_travel_compressed(spark):
+    """What is long in a learned state goes through the driver and into the tasks compressed, and comes back as it was."""
+    rng = np.random.default_rng(6)
+    for values in ([], [7], [300, 0, 300, 5], rng.integers(0, 1 << 31, 5_000), rng.integers(1, 4, 5_000)):
+        values = np.array(values, np.int32)
+        assert toxicity.opened(toxicity.closed(values)).tolist() == values.tolist()
+    assert len(toxicity.closed(rng.integers(1, 4, 5_000).astype(np.int32))) < 2_500
+    texts = [(n, " ".join(f"w{x}" for x in rng.integers(0, 90, 40))) for n in range(60)]
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, toxic int")
+    state = toxicity.learn(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    assert all(type(state[n]) is bytes for n in toxicity.CELLS)
+    index = toxicity.Index(state)
+    words = state["words"].to_pylist()
+    for n, low, high in zip(index.ids.tolist(), index.ends[:-1], index.ends[1:]):
+        found = {words[f]: c for f, c in zip(index.feature[low:high].tolist(), index.number[low:high].tolist())}
+        own = texts[n][1].split()
+        assert found == {w: own.count(w) for w in own}
+
+
+def test_toxicity_index_holds_no_weights_twice(spark):
+    """An index keeps rare words as postings and common ones by example; a part's results leave before the next is read."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in np.minimum(rng.geometric(0.02, 50), 300)) for _ in range(400)]
+    words = pa.array(sorted({w for t in texts for w in t.split()}))
+    known = {"terms": [], "words": words, "idf": rng.random(len(words)) + 0.1}
+    ends, feature, number, hits = toxicity.Terms([], words).counts(texts)
+    state = toxicity.arranged(known, np.arange(400), rng.integers(0, 2, 400).astype(float), hits, ends, feature, number)
+    index = toxicity.Index(state)
+    whole, exact = index.weight, index.near.astype(float)
+    row = np.repeat(np.arange(len(index.near)), np.diff(index.rest_ends))
+    exact[row, index.rest_column] += index.rest
+    held = index.column[index.feature] >= 0
+    example = np.repeat(np.arange(400), np.diff(index.ends))
+    assert 0 < held.sum() == len(index.rest) < len(held)
+    assert np.allclose(exact[example[held], index.column[index.feature[held]]], whole[held], rtol=1e-13, atol=0)
+    assert sorted(index.values.flat.tolist()) == sorted(whole[~held].tolist())
+    assert not isinstance(index.terms.__dict__.get("number"), dict)
